@@ -1,24 +1,57 @@
-"""The corpus pipeline: stages over documents, each on all that the one before kept."""
+"""The corpus pipeline: stages over documents, each on all that the one before kept.
+
+quality rules -> SimHash near-dedup -> PII surrogates -> mixing to target weights -> BPE encoding and decoding
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, mixing, pii, quality, simhash
+from tidemark.llm.common import as_parquet
+
+#: Parameters of the stages. The key of a production run comes from a secret store.
+PII_KEY = b"tidemark-surrogates"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the line-first rules go; the others stay as they are."""
+    return quality.clean(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays: the one with the smallest doc_id."""
+    return simhash.dedup(docs)
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets in the texts give way to keyed surrogates."""
+    return pii.pseudonymise(docs, PII_KEY).drop("entities")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat, or go, as the mix of sources takes them, in training order."""
+    return mixing.take(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding of the final texts, decoded again as a check on the round trip."""
-    return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Token counts and digests of ids and decoded text of every document of the mix."""
+    return bpe.round_trip(docs, TOKENIZER)
+
 
+STAGES = [("quality_rules", quality_rules), ("simhash_dedup", near_dedup), ("pii_surrogates", pii_surrogates), ("mix_sources", mix_sources), ("bpe_tokens", tokens)]
 
-STAGES = [("bpe", tokens)]
+#: Encoding, surrogates and groups of links are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each result written as Parquet in the shared folder and read from there by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = as_parquet(docs)
     return docs

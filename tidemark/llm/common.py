@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,21 +17,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there, so that later stages survive lost executors.
-
-    The folder is the session's spark.checkpoint.dir. Only where neither that nor a folder set by the caller exists,
-    as in tests in local mode, a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only where neither that nor a folder set by the caller exists, as in tests in
+    local mode, a temporary one is made."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = context.getConf().get("spark.checkpoint.dir")
         if not shared and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it from there, so that later stages survive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def as_parquet(df: DataFrame) -> DataFrame:
+    """Write df as Parquet in the shared folder and read that: for large tables, of which later jobs read few columns."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """Run a generator over the rows of each partition, as dicts of the selected columns, in Arrow batches.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, mixing, pii, quality, simhash
 from tidemark.llm.common import table
 
 
@@ -13,5 +13,27 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "passes")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
+#: The key of a production run comes from a secret store.
+PII_KEY = b"tidemark-surrogates"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text with surrogates, and entities: type, place, keyed digest of the original, surrogate."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op8_pii": op8_pii}
 ORACLES: dict[str, str] = {}
