@@ -22,6 +22,8 @@ BITS = 64
 SEED = 42
 #: A key's fingerprints are compared in chunks of about so many, so that no task holds a whole key.
 CHUNK = 4096
+#: Words of planes that one step compares with queries, all queries taken together: the memory of a step.
+PAIRED_WORDS = 1 << 15
 _SHIFTS = np.arange(BITS, dtype=np.uint64)
 
 
@@ -64,36 +66,42 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(query: int, stored: np.ndarray, n: int, radius: int) -> np.ndarray:
-    """Places among n fingerprints, stored as planes, that differ from query in at most radius bits.
+def within(queries: np.ndarray, stored: np.ndarray, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, place) of queries and the n fingerprints stored as planes that differ in at most radius bits.
 
-    Carry-save counters: counts[j] holds bit j of 64 distances a word, and over[w] the lanes that have gone beyond the
-    counters. Planes are added in turn; a word all of whose lanes are beyond the radius is abandoned.
+    A pair of a query and a word of planes has carry-save counters: counts[j] holds bit j of its 64 distances, and over the
+    lanes that went beyond the counters. Planes are added in turn; words all of whose lanes are beyond the radius are
+    abandoned.
     """
     width = (radius + 1).bit_length()  # 2 ** width > radius + 1, so that an overflow means beyond the radius
-    live = np.arange(stored.shape[1])
-    counts = [np.zeros(len(live), np.uint64) for _ in range(width)]
-    over = np.zeros(len(live), np.uint64)
+    words = stored.shape[1]
+    query, word = np.repeat(np.arange(len(queries)), words), np.tile(np.arange(words), len(queries))
+    masks = planes_of_lanes(queries)
+    counts = [np.zeros(len(query), np.uint64) for _ in range(width)]
+    over = np.zeros(len(query), np.uint64)
     everything = np.uint64(0xFFFFFFFFFFFFFFFF)
     for bit in range(BITS):
-        carry = stored[bit, live]
-        if query >> bit & 1:
-            carry = ~carry
+        carry = stored[bit, word] ^ masks[bit, query]
         for j in range(width):
             counts[j], carry = counts[j] ^ carry, counts[j] & carry
         over |= carry
         if bit % 8 == 7 and bit < BITS - 1:
             going = _beyond(counts, over, radius) != everything
-            if not going.any():
-                return np.zeros(0, np.int64)
             if not going.all():
-                live, over = live[going], over[going]
+                query, word, over = query[going], word[going], over[going]
                 counts = [c[going] for c in counts]
+                if not len(query):
+                    break
     inside = ~_beyond(counts, over, radius)
     lanes = np.unpackbits(inside.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    word, lane = np.nonzero(lanes)
-    found = live[word] * BITS + lane
-    return found[found < n]
+    row, lane = np.nonzero(lanes)
+    place = word[row] * BITS + lane
+    return query[row][place < n], place[place < n]
+
+
+def planes_of_lanes(queries: np.ndarray) -> np.ndarray:
+    """Row b has, per query, all ones or all zeros, as its bit b is."""
+    return (queries[None, :] >> _SHIFTS[:, None] & np.uint64(1)) * np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _beyond(counts: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
@@ -108,30 +116,33 @@ def _beyond(counts: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarr
     return more
 
 
-def block_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Links that join what is within the radius: among left, or between left and right. As few as join the same.
+def join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index joined to each, after the pairs (a, b) join what root joins already."""
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, before[a], low)
+        np.minimum.at(root, before[b], low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
 
-    Fingerprints are unsigned. Instead of all pairs, each link that would close a cycle among the links so far is left out.
+def block_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what is within the radius: among left, or between left and right. Fingerprints are unsigned.
+
+    Instead of all pairs, each fingerprint is linked with the least that the pairs of this block join it to.
     """
     everything = left if right is None else np.concatenate((left, right))
-    stored = planes(everything if right is None else right)
-    root = list(range(len(everything)))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    links = []
-    shift, n = (0, len(left)) if right is None else (len(left), len(right))
-    for i, query in enumerate(left.tolist()):
-        for j in within(query, stored, n, radius).tolist():
-            a, b = top(i), top(j + shift)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                links.append((int(everything[i]), int(everything[j + shift])))
-    return links
+    stored, n, shift = planes(everything if right is None else right), len(left if right is None else right), 0 if right is None else len(left)
+    root = np.arange(len(everything))
+    step = max(1, PAIRED_WORDS // stored.shape[1])
+    for at in range(0, len(left), step):
+        query, place = within(left[at : at + step], stored, n, radius)
+        query, place = query + at, place + shift
+        root = join_roots(root, query[query != place], place[query != place])
+    far = np.nonzero(root != np.arange(len(root)))[0]
+    return everything[far], everything[root[far]]
 
 
 def tables_for(n: int, radius: int) -> list[int]:
@@ -170,23 +181,24 @@ def links(fps: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
     group = ["t", "key", "i", "j"]
     ready = paired.repartition(*group).sortWithinPartitions(*group, "own")
 
-    def compare(part: pd.DataFrame) -> list[tuple[int, int]]:
-        values = part["fp"].to_numpy(np.int64).view(np.uint64)
-        i, j = part["i"].iat[0], part["j"].iat[0]
-        if i == j:
-            return block_links(values, None, radius)
-        own = part["own"].to_numpy()
-        left, right = values[own == i], values[own == j]
-        return block_links(left, right, radius) if len(left) and len(right) else []
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
         def out(frame: pd.DataFrame) -> pd.DataFrame:
             ids = frame[group].to_numpy()
+            fps, own = frame["fp"].to_numpy(np.int64).view(np.uint64), frame["own"].to_numpy()
             starts = np.concatenate(([0], np.nonzero((ids[1:] != ids[:-1]).any(axis=1))[0] + 1, [len(frame)]))
-            found = [x for a, b in zip(starts, starts[1:]) if b - a > 1 for x in compare(frame.iloc[a:b])]
-            return pd.DataFrame(np.array(found, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
+            found = []
+            for a, b in zip(starts.tolist(), starts[1:].tolist()):
+                i, j = ids[a, 2], ids[a, 3]
+                if i == j:
+                    found.append(block_links(fps[a:b], None, radius))
+                else:
+                    cut = a + int((own[a:b] == i).sum())  # sorted by own, and i < j
+                    if a < cut < b:
+                        found.append(block_links(fps[a:cut], fps[cut:b], radius))
+            sides = [np.concatenate([f[k] for f in found]).view(np.int64) if found else np.zeros(0, np.int64) for k in (0, 1)]
+            return pd.DataFrame({"a": sides[0], "b": sides[1]})
 
         for batch in batches:
             held.append(batch)
