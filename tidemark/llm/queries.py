@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, embeddings, mixing, pii, quality, simhash, toxicity
+from tidemark.llm import bpe, embeddings, mixing, pii, quality, simhash, substrings, toxicity
 from tidemark.llm.common import table
 
 
@@ -39,10 +39,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, PII_KEY)
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_embeddings": op2_embeddings, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op8_pii": op8_pii, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_bpe": op1_bpe, "op2_embeddings": op2_embeddings, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op8_pii": op8_pii, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
