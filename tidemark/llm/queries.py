@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, embeddings, mixing, pii, quality, simhash, substrings, toxicity
+from tidemark.llm import bpe, embeddings, licenses, mixing, pages, pii, quality, simhash, substrings, toxicity
 from tidemark.llm.common import table
 
 
@@ -29,6 +29,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.inherit(licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents"))))
+
+
 #: The key of a production run comes from a secret store.
 PII_KEY = b"tidemark-surrogates"
 
@@ -48,5 +56,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_embeddings": op2_embeddings, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op8_pii": op8_pii, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_embeddings": op2_embeddings,
+    "op3_mixing": op3_mixing,
+    "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
+    "op6_pages": op6_pages,
+    "op7_licenses": op7_licenses,
+    "op8_pii": op8_pii,
+    "op9_substrings": op9_substrings,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLES = {"op7_licenses": licenses.oracle_sql()}
