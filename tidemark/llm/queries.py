@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, embeddings, licenses, mixing, pages, pii, quality, simhash, substrings, toxicity
+from tidemark.llm import bpe, embeddings, licenses, mixing, oracles, pages, pii, quality, simhash, substrings, toxicity
 from tidemark.llm.common import table
 
 
@@ -14,7 +14,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).drop("audited_recall")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,4 @@ QUERIES = {
     "op9_substrings": op9_substrings,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op7_licenses": licenses.oracle_sql()}
+ORACLES = oracles.ORACLES
