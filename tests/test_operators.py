@@ -179,3 +179,31 @@ def test_streamed_hours_match_batch(spark):
     batch = tables.hourly_series(spark, "/root/testdata/sf0.001")
     got = spark.sql("select domain, start_ts, ot from hours")
     assert got.count() > 800 and got.exceptAll(batch.select("domain", "start_ts", "ot")).count() == 0
+
+
+def test_dual_solution_equals_the_primal():
+    rng = np.random.default_rng(5)
+    x, y, at = rng.normal(size=(12, 30)), rng.normal(size=(12, 2)), rng.normal(size=(4, 30))
+    for (w, c), p in zip(ridge.solve(x, y, (0.5, 20.0)), ridge.dual_predict(x, y, at, (0.5, 20.0))):
+        assert np.allclose(at @ w + c, p)
+
+
+def test_rotation_is_a_shift_that_moves_rows():
+    for n in (4, 20, 101):
+        order = ridge.rotated(n, np.random.default_rng(n), 4)
+        assert sorted(order) == list(range(n)) and len({(a - b) % n for a, b in zip(order, range(n))}) == 1 and order[0] != 0
+
+
+def test_aligned_text_that_tells_beats_its_permutations(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(160):
+        e = rng.normal(size=3)
+        x = rng.normal(size=4)
+        rows.append(("a", 1, i, "train" if i < 80 else "cal" if i < 110 else "dec", 1 if i < 135 else 2, x.tolist(), [float(x[-1] + e[0])], e.tolist(), [0.0, 1.0]))
+    df = spark.createDataFrame(rows, "domain string, horizon int, i int, segment string, half int, x array<double>, y array<double>, e array<double>, q array<double>")
+    scores = {r["variant"]: r for r in ridge.residual_candidates(df).collect()}
+    assert scores["semantic"]["mse"] < 0.2 * scores["numeric"]["mse"] and set(scores) == {"numeric", "semantic", "frequency", "fourier"}
+    for mode in ("row", "circular"):
+        nulls = ridge.null_scores(df, "semantic", 9, mode, chunk=4).collect()
+        assert len(nulls) == 9 and min(r["null_score"] for r in nulls) > scores["semantic"]["mse"]

@@ -83,10 +83,13 @@ class Builder:
         self.x = Scale(train["x"])
         if variant != "numeric":
             self.e, self.q = Components(train["e"]), Scale(train["q"])
-        if variant == "frequency":
-            f = frequencies(train["x"])
-            self.f = Scale(f)
-            self.cross = Scale(_interactions(self.f(f)[:, :8], self.e(train["e"])))
+        if variant in ("frequency", "fourier"):
+            self.f = Scale(frequencies(train["x"]))
+            self.cross = Scale(self._extra(train))
+
+    def _extra(self, rows: dict[str, np.ndarray]) -> np.ndarray:
+        parts, f = self.e(rows["e"]), self.f(frequencies(rows["x"]))[:, :8]
+        return _interactions(f, parts) if self.variant == "frequency" else random_fourier(self.x(rows["x"]), f.shape[1] * parts.shape[1], 2026)
 
     def __call__(self, rows: dict[str, np.ndarray]) -> np.ndarray:
         x = self.x(rows["x"])
@@ -94,9 +97,8 @@ class Builder:
             return x
         parts = self.e(rows["e"])
         out = [x, parts, self.q(rows["q"])]
-        if self.variant == "frequency":
-            f = self.f(frequencies(rows["x"]))
-            out += [f, self.cross(_interactions(f[:, :8], parts))]
+        if self.variant in ("frequency", "fourier"):
+            out += [self.f(frequencies(rows["x"])), self.cross(self._extra(rows))]
         return np.hstack(out)
 
 
@@ -133,7 +135,7 @@ def ar_ridge(windows: DataFrame) -> DataFrame:
 CANDIDATE = "domain string, horizon int, variant string, alpha double, calibration_mse double, mse double, mse_first double, mse_second double, fallback_mse double, fallback_first double, fallback_second double"
 
 
-def residual_candidates(windows: DataFrame, variants: tuple[str, ...] = ("numeric", "semantic", "frequency")) -> DataFrame:
+def residual_candidates(windows: DataFrame, variants: tuple[str, ...] = ("numeric", "semantic", "frequency", "fourier")) -> DataFrame:
     """Errors on the decision span of ridge on the residual from the last value, per variant, beside that value's own.
 
     windows: domain, horizon, i, segment ('train', 'cal', 'dec'), half (1, 2 or null), x, y, e (text vector), q (quality).
@@ -157,29 +159,58 @@ def residual_candidates(windows: DataFrame, variants: tuple[str, ...] = ("numeri
     return each.groupBy("domain", "horizon", "variant").applyInPandas(fit, CANDIDATE)
 
 
-def row_permutation_null(windows: DataFrame, variant: str, draws: int, chunk: int = 25) -> DataFrame:
-    """(domain, horizon, draw, null_score): the error when text rows are permuted within every segment, penalty chosen anew.
+def dual_predict(x: np.ndarray, y: np.ndarray, at: np.ndarray, alphas: tuple[float, ...]) -> list[np.ndarray]:
+    """Predictions per penalty, solved in the space of rows: one eigendecomposition serves all, for more columns than rows."""
+    mx, my = x.mean(axis=0), y.mean(axis=0)
+    a = x - mx
+    values, vectors = np.linalg.eigh(a @ a.T)
+    kernel, turned = (at - mx) @ a.T @ vectors, vectors.T @ (y - my)
+    return [my + kernel @ (turned / (np.maximum(values, 0.0) + alpha)[:, None]) for alpha in alphas]
+
+
+def random_fourier(x: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """So many random cosine features of scaled rows: a control as wide as the interactions, without their text."""
+    rng = np.random.default_rng(seed)
+    w = rng.normal(size=(x.shape[1], width)) / np.sqrt(x.shape[1])
+    return np.sqrt(2.0 / width) * np.cos(x @ w + rng.uniform(0, 2 * np.pi, width))
+
+
+def rotated(n: int, rng: np.random.Generator, guard: int) -> np.ndarray:
+    """Positions turned by a random shift of at least guard rows either way; a quarter of the rows where there are too few."""
+    guard = min(guard, max(1, n // 4))
+    return np.roll(np.arange(n), int(rng.integers(guard, max(guard + 1, n - guard + 1))) % n)
+
+
+def null_scores(windows: DataFrame, variant: str, draws: int, mode: str = "row", refit: bool = False, guard: int = 24, chunk: int = 25) -> DataFrame:
+    """(domain, horizon, draw, null_score): errors on the decision span when text is parted from its rows.
 
-    Draw k permutes by the generator of seed 1001 + k, train first, then calibration, then decision. Chunks of draws are
-    tasks of their own, so that many draws spread over a cluster.
+    row: text rows are permuted within every segment, by the generator of seed 1001 + draw, training first, then
+    calibration, then decision; the penalty is chosen anew. circular: training and decision text is turned by a shift,
+    calibration stays, and so does the aligned penalty. refit fits scales of interactions on the moved text too, where the
+    frozen gate keeps those of the aligned text. Chunks of draws are tasks of their own, so that many draws spread out.
     """
+    if mode not in ("row", "circular"):
+        raise ValueError(f"no such mode: {mode}")
     each = windows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // chunk))))
 
     def score(part: pd.DataFrame) -> pd.DataFrame:
         train, cal, dec = (design(part, s) for s in ("train", "cal", "dec"))
         out = []
         if min(len(d["x"]) for d in (train, cal, dec)) >= 2:
-            build = Builder(variant, train)  # fitted on aligned text
+            rest = lambda d: d["y"] - d["x"][:, -1:]
+            build = Builder(variant, train)
+            alpha, _, _ = best_fit((build(train), rest(train)), (build(cal), rest(cal)))
             first = int(part["chunk"].iat[0]) * chunk
             for k in range(first, min(draws, first + chunk)):
                 rng = np.random.default_rng(1001 + k)
                 moved = []
-                for d in (train, cal, dec):
-                    order = rng.permutation(len(d["x"]))
+                for which, d in enumerate((train, cal, dec)):
+                    n = len(d["x"])
+                    order = rng.permutation(n) if mode == "row" else np.arange(n) if which == 1 else rotated(n, rng, guard)
                     moved.append(d | {"e": d["e"][order], "q": d["q"][order]})
-                rest = lambda d: d["y"] - d["x"][:, -1:]
-                _, _, (w, c) = best_fit((build(moved[0]), rest(train)), (build(moved[1]), rest(cal)))
-                out.append({"domain": part["domain"].iat[0], "horizon": part["horizon"].iat[0], "draw": k, "null_score": mse(rest(dec), build(moved[2]) @ w + c)})
+                use = Builder(variant, moved[0]) if refit else build
+                _, _, (w, c) = best_fit((use(moved[0]), rest(train)), (use(moved[1]), rest(cal)), ALPHAS if mode == "row" else (alpha,))
+                out.append({"domain": part["domain"].iat[0], "horizon": part["horizon"].iat[0], "draw": k, "null_score": mse(rest(dec), use(moved[2]) @ w + c)})
         return pd.DataFrame(out, columns=["domain", "horizon", "draw", "null_score"])
 
     return each.groupBy("domain", "horizon", "chunk").applyInPandas(score, "domain string, horizon int, draw int, null_score double")

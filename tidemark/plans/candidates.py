@@ -52,9 +52,23 @@ def candidate_routes(spark, sf_dir):
     """Candidates, their permutation p-values and the gate's route per series and horizon."""
     windows = task_windows(spark, sf_dir, True)
     scores = ridge.residual_candidates(windows, ("semantic",))
-    nulls = ridge.row_permutation_null(windows, "semantic", 39, 13)
+    nulls = ridge.null_scores(windows, "semantic", 39, chunk=13)
     keys = ["domain", "horizon"]
     p = R.empirical_p(nulls.join(scores.select(*keys, F.col("mse").alias("aligned")), keys), keys)
     gated = R.gate(scores.join(p, keys), keys)
     routes = R.route(gated, keys, ["semantic"])
     return gated.select(*keys, "draws", rounded("p").alias("p"), rounded("mse").alias("mse")).join(routes, keys)
+
+
+@query()
+def null_sensitivity(spark, sf_dir):
+    """p-values of the frequency candidate under four nulls: rows or shifts moved, interaction scales kept or fitted anew."""
+    windows, keys = task_windows(spark, sf_dir, True).where(F.col("horizon") == STEPS[0]), ["domain", "horizon"]
+    aligned = ridge.residual_candidates(windows, ("frequency",)).select(*keys, F.col("mse").alias("aligned"))
+    kinds = [(mode, refit) for mode in ("row", "circular") for refit in (False, True)]
+    out = None
+    for mode, refit in kinds:
+        p = R.empirical_p(ridge.null_scores(windows, "frequency", 19, mode, refit, chunk=10).join(aligned, keys), keys)
+        p = p.select(*keys, F.lit(mode).alias("mode"), F.lit(refit).alias("refit"), "draws", rounded("p").alias("p"))
+        out = p if out is None else out.unionByName(p)
+    return out
