@@ -207,3 +207,13 @@ def test_aligned_text_that_tells_beats_its_permutations(spark):
     for mode in ("row", "circular"):
         nulls = ridge.null_scores(df, "semantic", 9, mode, chunk=4).collect()
         assert len(nulls) == 9 and min(r["null_score"] for r in nulls) > scores["semantic"]["mse"]
+
+
+def test_lists_and_settings(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a", "b, c"]), (2, [])], "i int, ids array<string>")
+    sinks.write_csv(df, str(tmp_path / "lists"))
+    back = tables.read_lists(spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "lists")), "ids")
+    assert {(r["i"], tuple(r["ids"])) for r in back.collect()} == {("1", ("a", "b, c")), ("2", ())}
+    (tmp_path / "s.json").write_text('{"domains": {"A": {"input_len": 24, "horizons": [1, 30], "seasonal_period": 12}}}')
+    grid = tables.task_grid(tables.read_settings(spark, str(tmp_path / "s.json")), 3).collect()
+    assert {(r["horizon"], r["fold"], r["block"]) for r in grid} == {(h, f, b) for h, b in ((1, 12), (30, 30)) for f in (1, 2, 3)}

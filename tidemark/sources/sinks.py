@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header. Arrays, maps and structs become JSON, which read_lists turns back."""
+    nested = {n: F.to_json(n) for n, t in df.dtypes if t.startswith(("array", "map", "struct"))}
+    df = df.withColumns(nested) if nested else df
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 

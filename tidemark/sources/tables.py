@@ -81,3 +81,21 @@ def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     """(path, bytes, sha256) of the files below a folder: a manifest to compare with a stored one."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def read_lists(df: DataFrame, *columns: str) -> DataFrame:
+    """df with JSON lists of texts in these columns as arrays; a null or broken list is null."""
+    return df.withColumns({c: F.from_json(c, "array<string>") for c in columns})
+
+
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    """(domain, input_len, horizons, seasonal_period) of a JSON file of settings by domain."""
+    schema = "domains map<string,struct<input_len:int,horizons:array<int>,seasonal_period:int>>"
+    raw = spark.read.schema(schema).json(path, multiLine=True)
+    return raw.select(F.explode("domains").alias("domain", "s")).select("domain", "s.*")
+
+
+def task_grid(settings: DataFrame, folds: int) -> DataFrame:
+    """Every task of the settings: domain, input_len, seasonal_period, horizon, fold, and the length of its blocks."""
+    each = settings.withColumn("horizon", F.explode("horizons")).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds)))).drop("horizons")
+    return each.withColumn("block", F.greatest("horizon", F.least("seasonal_period", F.lit(24))))
