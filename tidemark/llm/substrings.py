@@ -176,7 +176,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_doc
                 held = np.array(row["hs"], np.int64).view(np.uint64)
                 starts = np.nonzero(np.isin(_mix(codes, phrase)[anchors(codes, window, phrase)], held))[0]
             if len(starts):
-                yield {"doc_id": row["doc_id"], "text": row["text"], "starts": starts.tolist(), "ws": _long(_mix(codes, window)[starts])}
+                ws, at = np.unique(_mix(codes, window)[starts], return_index=True)  # a window that repeats in a text counts once
+                yield {"doc_id": row["doc_id"], "text": row["text"], "starts": starts[at].tolist(), "ws": _long(ws)}
             else:
                 yield {"doc_id": row["doc_id"], **_result(words, None), "text": None, "starts": None, "ws": None}
 
