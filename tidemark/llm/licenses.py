@@ -118,8 +118,10 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: fl
     each = some.select("_key", F.posexplode("_n").alias("pos", "notice")).withColumn("h", F.md5(F.col("notice").cast("binary")))
     scored = score_notices(each.groupBy("h").agg(F.first("notice").alias("notice"))).where(F.col("score") >= threshold)
     best = each.select("_key", "pos", "h").join(scored, "h").groupBy("_key").agg(F.min(F.struct((-F.col("score")).alias("s"), "pos", "license")).alias("_b"))
-    out = rows.drop("_n").join(best, "_key", "left")
-    return out.select(*kept, "n_notices", F.col("_b.license").alias("own_license"), (-F.col("_b.s")).alias("own_score"))
+    out = rows.where("n_notices > 0").drop("_n").join(best, "_key", "left")
+    out = out.select(*kept, "n_notices", F.col("_b.license").alias("own_license"), (-F.col("_b.s")).alias("own_score"))
+    rest = rows.where("n_notices = 0").select(*kept, "n_notices", F.lit(None).cast("string").alias("own_license"), F.lit(None).cast("double").alias("own_score"))
+    return out.unionByName(rest)  # files without a notice, mostly all, need no shuffle
 
 
 def parent(path: Column) -> Column:
