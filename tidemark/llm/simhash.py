@@ -217,15 +217,17 @@ def links(fps: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) per document; component_id is the smallest doc_id that links reach.
 
-    Equal fingerprints are one class, represented by its smallest doc_id, and only classes are compared. A null or empty
-    text has fingerprint zero, which links like any other. A null doc_id keeps its row; its class counts other ids only.
+    Equal fingerprints are one class, represented by its smallest doc_id, and only classes are compared; so a component's
+    smallest id comes out of the contraction itself. A null or empty text has fingerprint zero, which links like any other.
+    A row without a doc_id has its class's component, null if no other row is in the class, and joins no classes.
     """
     fps = cut_lineage(fingerprints(docs, shingle))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(links(fps, radius))
-    merged = classes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lowest = merged.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = merged.select("fp", "component").join(lowest, "component").select("fp", "component_id")
+    pairs = links(fps, radius)
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}")), side)
+    found = connected_components(pairs, "least_a", "least_b")
+    of = classes.join(found, classes["least"] == found["id"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
