@@ -157,11 +157,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_doc
     known = picked.select("doc_id", "sig").distinct().join(firsts, "sig").select("doc_id", "sig", (F.col("doc_id") > F.col("original")).alias("copy"))
 
     # Copies of a text don't make its anchors recur: two different texts must hold one.
-    each = picked.select("doc_id", "sig", F.explode("hs").alias("h"))
-    text_of = F.xxhash64("sig")
-    recurring = each.groupBy("h").agg(F.min(text_of).alias("a"), F.max(text_of).alias("b")).where("a != b").select("h")
-    listed = each.join(recurring, "h").groupBy("doc_id", "sig").agg(F.collect_set("h").alias("hs"))  # bounded by a document's length
-    plan = known.join(listed, ["doc_id", "sig"], "left").select(F.col("doc_id").alias("id"), F.col("sig").alias("s"), "copy", F.when(~F.col("copy"), F.col("hs")).alias("hs"))
+    short = F.xxhash64("sig").alias("short")  # what an anchor carries of its text
+    each = picked.select("doc_id", short, F.explode("hs").alias("h"))
+    recurring = each.groupBy("h").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a != b").select("h")
+    listed = each.join(recurring, "h").groupBy("doc_id", "short").agg(F.collect_set("h").alias("hs"))  # bounded by a document's length
+    plan = known.withColumn("short", short).join(listed, ["doc_id", "short"], "left").select(F.col("doc_id").alias("id"), F.col("sig").alias("s"), "copy", F.when(~F.col("copy"), F.col("hs")).alias("hs"))
     joined = docs.join(plan, (docs["doc_id"] == plan["id"]) & (docs["sig"] == plan["s"]), "left").select("doc_id", "text", "copy", "hs")
 
     def windows(rows: Iterator[dict]) -> Iterator[dict]:
