@@ -27,8 +27,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets in the texts give way to keyed surrogates."""
-    return pii.pseudonymise(docs, PII_KEY).drop("entities")
+    """Personal data and secrets in the texts give way to keyed surrogates, which are audited for collisions first."""
+    return pii.pseudonymise(docs, pii.audited_key(docs, PII_KEY)).drop("entities")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -281,6 +281,49 @@ def test_pii_over_documents(spark, odd, none):
     assert got.exceptAll(pii.pseudonymise(odd.repartition(3), KEY)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["token = " + "aB3x" * 60, "sk-" + "a1B2" * 40, "Bearer eyJ." + "x9_Z" * 5000, "secret: ab.cd1234efgh", "password=" + "0a" * 4000])
+def test_long_secrets_do_not_stay(text):
+    old = text.split("sk-")[-1].split()[-1].split("=", 1)[-1]
+    new, entities = pii.replace(f'"{text}" end', KEY)
+    assert len(entities) == 1 and entities[0]["end"] - entities[0]["start"] == len(old)
+    kept = sum(a == b for a, b in zip(old, entities[0]["surrogate"], strict=True) if a.isalnum())
+    assert kept < max(6, len(old) / 5)
+
+
+@pytest.mark.parametrize("sizes", [[2, 3], [3, 1, 4], [10, 2, 1, 5]])
+def test_wide_permutations_move_everything_once(sizes):
+    every = [list(x) for x in np.ndindex(*sizes)]
+    p = pii.WidePermutation(KEY, "t", sizes)
+    assert sorted(map(p, map(list, every))) == sorted(every) and all(p(list(x)) != x for x in every)
+
+
+def test_classes_of_values_never_meet():
+    import itertools
+
+    pool = [n for names in pii.GIVEN.values() for n in names]
+    for name in pool:  # all names that _word could turn into this one
+        if len(name) == 4:
+            low = name.lower()
+            like = ["".join(x).capitalize() for x in itertools.product(*(pii.VOWELS if c in pii.VOWELS else pii.CONSONANTS for c in low[:-1]), low[-1])]
+            new = [pii.surrogate(KEY, "name", x) for x in like]
+            assert len(set(new)) == len(like) and all((x in pool) == (y in pool) and x != y for x, y in zip(like, new))
+    phones = [f"(383) {x:03d}-6083" for x in range(1000)]
+    assert all((p[6:9] == "555") == (pii.surrogate(KEY, "phone", p)[6:9] == "555") for p in phones)
+    assert all(re.search("[g-z]", pii.surrogate(KEY, "secret", f"g{k:07d}")) for k in range(300))
+
+
+def test_colliding_keys_are_replaced(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "write to ann@mail.com or bob@mail.com")], "doc_id long, text string")
+    assert pii.audited_key(docs, KEY) == KEY
+    bad = spark.createDataFrame([("email", "x")], "type string, surrogate string")
+    answers = iter([bad, bad.where("false")])
+    monkeypatch.setattr(pii, "collisions", lambda found: next(answers))
+    assert pii.audited_key(docs, KEY) != KEY
+    monkeypatch.setattr(pii, "collisions", lambda found: bad)
+    with pytest.raises(ValueError):
+        pii.audited_key(docs, KEY)
+
+
 # --- 9: substrings
 
 

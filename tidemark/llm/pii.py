@@ -2,7 +2,7 @@
 
 A surrogate is a keyed permutation of all values of the same type and format, one that leaves no value in place. So equal
 values get equal surrogates wherever they stand (coreference), different values different ones (distinctness), with no
-table of what was seen and nothing to shuffle. collisions() checks that over a corpus.
+table of what was seen. collisions() checks that over a corpus, and audited_key() takes another key if it fails.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ TITLES = {"Mr": "m", "Sir": "m", "Herr": "m", "Señor": "m", "Monsieur": "m", "M
 SECRET_CUE = r"(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|passwd|password|pwd|bearer)"
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])"),
-    "secret": re.compile(rf"\b{SECRET_CUE}\b[\"']?[ \t]*(?:=|:|\s)[ \t]*[\"']?(?P<v>(?=[A-Za-z_-]*\d)[A-Za-z0-9+/_.=-]{{8,200}}?)(?=[\"'\s,;)]|$)", re.I),
-    "key": re.compile(r"\b(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-)(?P<v>[A-Za-z0-9_-]{12,64})\b"),
+    "secret": re.compile(rf"\b{SECRET_CUE}\b[\"']?[ \t]*(?:=|:|\s)[ \t]*[\"']?(?P<v>(?=[A-Za-z+/_.=-]*\d)[A-Za-z0-9+/_.=-]{{8,}}+)(?=[\"'\s,;)]|$)", re.I),
+    "key": re.compile(r"\b(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-)(?P<v>[A-Za-z0-9_-]{12,})\b"),
     "iban": re.compile(r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
     "card": re.compile(r"(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\d-])"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
@@ -82,17 +82,54 @@ class Permutation:
         return x if self.n < 2 else self._q((self._q(x, False) + 1) % self.n, True)
 
 
+class WidePermutation:
+    """The same for the product of many choices, given by their sizes, in time in proportion to their number.
+
+    The Feistel network's halves are rows of digits, to which rows of keyed digits are added, so no number is ever made.
+    """
+
+    ROUNDS = 6
+
+    def __init__(self, key: bytes, label: str, sizes: list[int]):
+        self.key, self.label, self.sizes, self.middle = key, label.encode(), sizes, len(sizes) // 2
+
+    def _q(self, digits: list[int], ahead: bool) -> list[int]:
+        halves, sizes = [digits[: self.middle], digits[self.middle :]], (self.sizes[: self.middle], self.sizes[self.middle :])
+        for k in range(self.ROUNDS) if ahead else reversed(range(self.ROUNDS)):
+            to, sign = k % 2, 1 if ahead else -1
+            other = b"".join(x.to_bytes(4, "big") for x in halves[1 - to])
+            seed = hashlib.blake2b(self.label + b"/%d/" % k + other, key=self.key[:64], digest_size=64).digest()
+            drawn = memoryview(hashlib.shake_256(seed).digest(8 * len(halves[to]))).cast("Q").tolist()
+            halves[to] = [(x + sign * y) % n for x, y, n in zip(halves[to], drawn, sizes[to], strict=True)]
+        return halves[0] + halves[1]
+
+    def __call__(self, digits: list[int]) -> list[int]:
+        digits = self._q(digits, False)
+        for k in reversed(range(len(digits))):  # plus one
+            digits[k] = (digits[k] + 1) % self.sizes[k]
+            if digits[k]:
+                break
+        return self._q(digits, True)
+
+
 @lru_cache(maxsize=4096)
 def permutation(key: bytes, label: str, n: int) -> Permutation:
     return Permutation(key, label, n)
 
 
+#: Values of more characters that change are permuted digit by digit; a number's halves are no longer than a hash up to here.
+WIDE = 64
+
+
 def permute(key: bytes, label: str, values: list[str], choices: list[str]) -> list[str]:
     """Values, each one of its choices (one-character strings or words), replaced within the product of the choices."""
+    shape = hashlib.blake2b("|".join("".join(c) for c in choices).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+    if sum(len(c) > 1 for c in choices) > WIDE:
+        digits = WidePermutation(key, f"{label}/{shape}", [len(c) for c in choices])([c.index(v) for v, c in zip(values, choices, strict=True)])
+        return [c[k] for c, k in zip(choices, digits, strict=True)]
     number = 0
     for v, c in zip(values, choices, strict=True):
         number = number * len(c) + c.index(v)
-    shape = hashlib.blake2b("|".join("".join(c) for c in choices).encode(), digest_size=12).hexdigest()
     number = permutation(key, f"{label}/{shape}", prod(map(len, choices)))(number)
     out = []
     for c in reversed(choices):
@@ -133,17 +170,18 @@ def _card(key: bytes, text: str) -> str:
     return refill(text, body + str((luhn(d) - luhn(body + "0")) % 10))
 
 
+EXCHANGES = (["555"], [f"{k:03d}" for k in range(200, 1000) if k != 555], [f"{k:03d}" for k in range(200)])
+
+
 def _phone(key: bytes, text: str) -> str:
     """The country code, a first digit's class and the exchange 555 of invented numbers stay; the format too."""
     d = digits_of(text)
     national = d[-10:] if len(d) > 10 else d
-    choices = ["0123456789"] * len(national)
+    values, choices = list(national), ["0123456789"] * len(national)
     choices[0] = "23456789" if national[0] in "23456789" else "01"
-    if len(national) == 10 and national[3:6] == "555":
-        choices[3:6] = ["5"] * 3
-    elif len(national) == 10 and national[3] in "23456789":
-        choices[3] = "23456789"
-    return refill(text, d[: len(d) - len(national)] + "".join(permute(key, "phone", list(national), choices)))
+    if len(national) == 10:  # each exchange stays in its class, so that no two classes meet
+        values[3:6], choices[3:6] = [national[3:6]], [next(e for e in EXCHANGES if national[3:6] in e)]
+    return refill(text, d[: len(d) - len(national)] + "".join(permute(key, "phone", values, choices)))
 
 
 PUBLIC = [str(k) for k in range(1, 224) if k not in (10, 127, 169, 172, 192)]
@@ -172,7 +210,10 @@ def _email(key: bytes, text: str) -> str:
 def _secret(key: bytes, text: str) -> str:
     if not text.strip("0123456789abcdef"):
         return "".join(permute(key, "hex", list(text), ["0123456789abcdef"] * len(text)))
-    return by_class(key, "secret", text)
+    new = by_class(key, "secret", text)
+    while not new.strip("0123456789abcdef"):  # on along the permutation's one cycle, past the values that are permuted above
+        new = by_class(key, "secret", new)
+    return new
 
 
 def _iban(key: bytes, text: str) -> str:
@@ -201,7 +242,10 @@ def _name(key: bytes, word: str) -> str:
     for gender, pool in GIVEN.items():
         if word in pool:
             return permute(key, f"given-{gender}", [word], [list(pool)])[0]
-    return _word(key, word)
+    new = _word(key, word)
+    while any(new in pool for pool in GIVEN.values()):  # on along the cycle: a name of the pool stands for one of the pool only
+        new = _word(key, new)
+    return new
 
 
 MAKE = {"email": _email, "key": by_class, "secret": _secret, "iban": _iban, "card": _card, "ssn": _phone, "ip": _ip, "phone": _phone}
@@ -322,3 +366,22 @@ def collisions(found: DataFrame) -> DataFrame:
     """
     each = found.select(F.explode("entities").alias("e")).select("e.type", "e.surrogate", "e.digest")
     return each.groupBy("type", "surrogate").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a != b").select("type", "surrogate")
+
+
+def audited_key(docs: DataFrame, key: bytes, tries: int = 4) -> bytes:
+    """key if its surrogates of these documents don't collide, else the first of the keys derived from it that has none.
+
+    Only surrogates and digests are shuffled, combined before. Raises ValueError if every key has collisions.
+    """
+
+    def run(rows: Iterator[dict]) -> Iterator[dict]:
+        for row in rows:
+            entities = replace(row["text"], use)[1]
+            if entities:
+                yield {"entities": entities}
+
+    for k in range(tries):
+        use = hashlib.blake2b(b"key %d" % k, key=key[:64], digest_size=32).digest() if k else key
+        if collisions(map_rows(docs.select("text"), run, f"entities {ENTITIES}")).isEmpty():
+            return use
+    raise ValueError(f"surrogates of different values collide under {tries} keys")

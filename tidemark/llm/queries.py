@@ -44,7 +44,7 @@ PII_KEY = b"tidemark-surrogates"
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text with surrogates, and entities: type, place, keyed digest of the original, surrogate."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PII_KEY)
+    return pii.pseudonymise(docs, pii.audited_key(docs, PII_KEY))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
