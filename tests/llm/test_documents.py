@@ -244,6 +244,22 @@ def test_licences_scan_and_inheritance(spark, none):
     assert licenses.inherit(licenses.scan(licenses.document_paths(none.withColumn("lang", F.lit("en"))))).count() == 0
 
 
+MPL = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint main() { return 0; }"
+ISC = "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that the above\n# copyright notice and this permission notice appear in all copies.\nprint(1)\n"
+
+
+def test_wrapped_headers_and_full_texts(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 Ann Lee\n\n" + licenses.TEXTS[0][1].split("(c) ")[1]
+    rows = [("/m.c", MPL), ("/i.py", ISC), ("/x/LICENSE", mit), ("/p.txt", "plain words\nof some text\nwithout a header"), ("/n.txt", None)]
+    got = {r["path"]: r["own_license"] for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"/m.c": "MPL-2.0", "/i.py": "ISC", "/x/LICENSE": "MIT", "/p.txt": None, "/n.txt": None}
+
+
+def test_no_near_passage_lacks_a_telling_term():
+    telling = set(licenses.telling_terms())
+    assert all(sum(x * x for t, x in v.items() if t not in telling) < licenses.THRESHOLD**2 for _, v in licenses.all_vectors())
+
+
 # --- 8: personal data
 
 KEY = b"a key of tests"

@@ -44,11 +44,29 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved. Confidential and proprietary. Unauthorized copying of this file is strictly prohibited."),
 )
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+_MIT_END = 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+#: Full texts, which score beside the templates but give no weights to terms: the SQL's weights are those of the templates.
+TEXTS = (
+    ("MIT", f"MIT License Copyright (c) {_MIT} {_MIT_END}"),
+    ("MIT", _MIT),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+)
 CUES = ("licen", "copyright", "rights reserved", "spdx", "public domain", "hereby granted", "apache", "gnu ")
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LICENCE_FILE = r"(?i)^(?:licen[cs]e|copying|notice|unlicense)(?:[._-].*)?$"
 #: The least cosine of a match.
 THRESHOLD = 0.6
+#: What starts a line of a comment, and blocks of adjacent comment lines or of one bracketed comment.
+MARK = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--)?[ \t]*|[ \t]*(?:\*+/|-->)[ \t]*$|\r$"
+COMMENT = r"(?m)(/\*(?s:.*?)\*/|<!--(?s:.*?)-->|(?:^[ \t]*(?://|#|--|;|%|\*)[^\n]*(?:\n|\z))+)"
+#: Words that any text may have: as many of a template's as together can't reach the threshold are no reason to score.
+COMMON = "the of a to and in for is it that be with or as by this from you at on are not may can all any will has have one out use under other no but was if which its work see name person"
 
 
 def weights() -> tuple[dict[str, float], list[dict[str, float]]]:
@@ -70,6 +88,58 @@ def unknown_idf() -> float:
     return math.log((1 + len(TEMPLATES)) / 2) + 1
 
 
+def all_vectors() -> list[tuple[str, dict[str, float]]]:
+    """(licence, unit vector) of the templates, then of the full texts, in the templates' weights of terms."""
+    idf, vectors = weights()
+    out = [(name, v) for (name, _), v in zip(TEMPLATES, vectors, strict=True)]
+    for name, text in TEXTS:
+        v = {t: (1 + math.log(k)) * idf.get(t, unknown_idf()) for t, k in Counter(re.findall(TERM, text.lower())).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        out.append((name, {t: x / norm for t, x in v.items()}))
+    return out
+
+
+def telling_terms() -> list[str]:
+    """Terms one of which every passage has that reaches the threshold.
+
+    A cosine is at most the root of the shared terms' squared weights, and those left out of each template sum to less than
+    the threshold's square: common words first, then the lightest.
+    """
+    common, telling = set(COMMON.split()), set()
+    for _, v in all_vectors():
+        left = THRESHOLD**2 - 1e-5  # scores are rounded to 6 digits
+        for t in sorted(v, key=lambda t: (t not in common, v[t], t)):
+            left -= v[t] ** 2
+            if left <= 0:
+                telling.add(t)
+    return sorted(telling)
+
+
+def possible(passages: Column) -> Column:
+    """Passages whose terms of any template have at least that part of their length that the threshold needs.
+
+    A cosine is at most the length of a passage's part in the templates' terms, as a part of its whole length; other terms
+    count as if they stood there once.
+    """
+    idf = weights()[0]
+    idf = {t: idf.get(t, unknown_idf()) for t in sorted({t for _, v in all_vectors() for t in v})}
+    known, weigh = F.array(*map(F.lit, idf)), F.map_from_arrays(F.array(*map(F.lit, idf)), F.array(*map(F.lit, idf.values())))
+    split = F.transform(passages, lambda b: F.struct(b.alias("b"), F.regexp_extract_all(F.lower(b), F.lit(f"({TERM})"), F.lit(1)).alias("w")))
+    split = F.transform(split, lambda x: F.struct(x["b"].alias("b"), x["w"].alias("w"), F.array_distinct(x["w"]).alias("d"), F.array_intersect(x["w"], known).alias("m")))
+    part = lambda x: F.aggregate(x["m"], F.lit(0.0), lambda a, t: a + F.pow((1 + F.log(F.size(F.filter(x["w"], lambda y: y == t)).cast("double"))) * weigh[t], F.lit(2.0)))
+    least = (THRESHOLD - 1e-5) ** 2
+    near = F.filter(split, lambda x: part(x) * (1 - least) >= least * unknown_idf() ** 2 * (F.size(x["d"]) - F.size(x["m"])))
+    return F.transform(near, lambda x: x["b"])
+
+
+def blocks(text: Column) -> Column:
+    """Headers without their comment marks: paragraphs, and blocks of comments, of more than one line, that can be near a template."""
+    some = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in telling_terms()) + r")(?![a-z0-9])"
+    plain = lambda t: F.regexp_replace(t, MARK, "")
+    whole = F.filter(F.concat(F.split(plain(text), r"\n\s*\n"), F.transform(F.regexp_extract_all(text, F.lit(COMMENT), F.lit(1)), plain)), lambda b: F.contains(F.trim(b), F.lit("\n")) & b.rlike(some))
+    return F.when(F.contains(text, F.lit("\n")) & text.rlike(some), F.array_distinct(possible(whole))).otherwise(F.array().cast("array<string>"))
+
+
 def has_cue(text: Column) -> Column:
     low = F.lower(text)
     return F.coalesce(F.greatest(*(F.contains(low, F.lit(c)) for c in CUES)), F.lit(False))
@@ -88,7 +158,9 @@ def score_notices(found: DataFrame) -> DataFrame:
     A sparse product: the notice's terms meet the templates' terms, a table of fixed size, and are summed per notice.
     """
     spark = found.sparkSession
-    idf, vectors = weights()
+    idf, _ = weights()
+    names, vectors = zip(*all_vectors(), strict=True)
+    idf |= {t: unknown_idf() for v in vectors for t in v if t not in idf}
     literal = F.from_json(F.lit(json.dumps([{"term": t, "idf": w, "w": [v.get(t, 0.0) for v in vectors]} for t, w in idf.items()])), "array<struct<term:string,idf:double,w:array<double>>>")
     known = spark.range(1).select(F.inline(literal))
     terms = found.select("h", F.explode(F.regexp_extract_all(F.lower("notice"), F.lit(f"({TERM})"), F.lit(1))).alias("term"))
@@ -97,7 +169,7 @@ def score_notices(found: DataFrame) -> DataFrame:
     sums = [F.sum(F.coalesce(F.col("x") * F.col("w")[k], F.lit(0.0))).alias(f"s{k}") for k in range(len(vectors))]
     dots = weighed.groupBy("h").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *sums)
     total = F.array(*(F.round(F.col(f"s{k}") / F.col("norm"), 6) for k in range(len(vectors))))
-    names = F.array(*(F.lit(k) for k, _ in TEMPLATES))
+    names = F.array(*map(F.lit, names))
     top = dots.select("h", total.alias("t")).withColumn("score", F.array_max("t"))
     return top.select("h", "score", F.element_at(names, F.array_position("t", F.col("score")).cast("int")).alias("license"))
 
@@ -105,22 +177,24 @@ def score_notices(found: DataFrame) -> DataFrame:
 def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Columns of files but the text, with n_notices, own_license and own_score: the best match of its notices, if near enough.
 
+    Besides notices, which n_notices counts as its SQL does, blocks of lines are scored, so that wrapped headers are found.
+
     A notice that stands in many files is scored once. A null or empty text has no notices. Equal scores go to the first
     notice, and in it to the first template. Repeated rows, and rows without a path, are kept and judged by their text.
     """
     name = F.element_at(F.split(F.col(path), "/"), -1)
     is_file = F.coalesce(name.rlike(LICENCE_FILE), F.lit(False))
-    rows = files.withColumn("_n", notices(F.col(text), is_file))
-    key = F.when(F.size("_n") > 0, F.md5(F.concat_ws("\n", F.col("_n")).cast("binary"))).alias("_key")
+    rows = files.withColumn("_l", notices(F.col(text), is_file)).withColumn("_n", F.concat("_l", F.coalesce(blocks(F.col(text)), F.array().cast("array<string>"))))
+    key = F.when(F.size("_n") > 0, F.md5(F.concat_ws("\n", F.col("_n")).cast("binary")))
     kept = [c for c in files.columns if c not in (text, "n_notices", "own_license", "own_score")]
-    rows = cut_lineage(rows.select(*kept, F.size("_n").cast("long").alias("n_notices"), key, "_n"))  # so that texts are scanned once
-    some = rows.where("n_notices > 0").groupBy("_key").agg(F.first("_n").alias("_n"))  # equal keys have equal notices
+    rows = cut_lineage(rows.select(*kept, F.size("_l").cast("long").alias("n_notices"), "_n")).withColumn("_key", key)  # so that texts are scanned once
+    some = rows.where("_key is not null").groupBy("_key").agg(F.first("_n").alias("_n"))  # equal keys have equal notices
     each = some.select("_key", F.posexplode("_n").alias("pos", "notice")).withColumn("h", F.md5(F.col("notice").cast("binary")))
     scored = score_notices(each.groupBy("h").agg(F.first("notice").alias("notice"))).where(F.col("score") >= threshold)
     best = each.select("_key", "pos", "h").join(scored, "h").groupBy("_key").agg(F.min(F.struct((-F.col("score")).alias("s"), "pos", "license")).alias("_b"))
-    out = rows.where("n_notices > 0").drop("_n").join(best, "_key", "left")
+    out = rows.where("_key is not null").drop("_n").join(best, "_key", "left")
     out = out.select(*kept, "n_notices", F.col("_b.license").alias("own_license"), (-F.col("_b.s")).alias("own_score"))
-    rest = rows.where("n_notices = 0").select(*kept, "n_notices", F.lit(None).cast("string").alias("own_license"), F.lit(None).cast("double").alias("own_score"))
+    rest = rows.where("_key is null").select(*kept, "n_notices", F.lit(None).cast("string").alias("own_license"), F.lit(None).cast("double").alias("own_score"))
     return out.unionByName(rest)  # files without a notice, mostly all, need no shuffle
 
 
