@@ -110,6 +110,19 @@ def test_long_and_broken_pages(spark):
     assert pages.extract(df).count() == 6 and pages.extract(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("attribute", ['aria-hidden="false"', 'data-state="hidden"', 'title="hidden gems"', 'data-title="The hidden valley"', 'data-x="display:none"'])
+def test_only_the_attribute_hides(attribute):
+    page = f"<main {attribute}><p>kept text</p></main>"
+    assert pages.element("main", " " + attribute)[1] is False and [b.text for b in pages.blocks(page)] == ["kept text"]
+    assert pages.element("p", " hidden")[1] and pages.element("p", ' class="a" style="display: none"')[1]
+
+
+@pytest.mark.parametrize("tag", ["svg", "select", "noscript"])
+def test_unclosed_elements_end_with_their_parent(tag):
+    assert [b.text for b in pages.blocks(f"<div>a <{tag}><g>gone</div><p>kept</p>")] == ["a", "kept"]
+    assert [b.text for b in pages.blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><p>then <svg/>more <span hidden>gone</span></p>")] == ["so x=1 holds", "then more"]
+
+
 def test_pages_of_the_table(spark):
     """The article element holds the main text of these pages: the model must find it from all features alike."""
     import html

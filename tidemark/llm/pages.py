@@ -24,7 +24,9 @@ TRAINING_PAGES, EPOCHS, SEED = 400, 12, 11
 
 # Elements of the HTML standard by how they bound text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template noscript iframe xmp noembed noframes svg math select".split())
+RAW = frozenset("script style title textarea template iframe xmp noembed noframes".split())
+# Elements of the tree without text of a page: one that is not closed ends with its parent.
+SILENT = frozenset("svg select noscript annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre script section select style summary table tbody td template "
@@ -53,7 +55,7 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 @dataclass
@@ -67,14 +69,14 @@ class Block:
 @lru_cache(maxsize=8192)
 def element(tag: str, attributes: str) -> tuple[str, bool]:
     """The name of an element in paths, tag and families of its names, and whether it is hidden."""
-    if "=" not in attributes and "hidden" not in attributes:
+    if "=" not in attributes and "hidden" not in attributes.lower():
         return tag, False
     names, hidden = [], False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if name.lower() in ("class", "id", "role"):
             names += value.split()
-        elif name.lower() == "hidden" or "display:none" in value.replace(" ", ""):
+        elif name.lower() == "hidden" or name.lower() == "style" and "display:none" in "".join(value.split()):
             hidden = True
     families = sorted({k for n in names for k, p in FAMILY.items() if p.search(n)})
     return ".".join([tag, *families]), hidden
@@ -93,7 +95,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not hidden_at:
+            if text:
                 found.append(Block(tuple(n for _, n in path), text, min(linked, len(text))))
             parts.clear()
         linked = 0
@@ -111,7 +113,7 @@ def blocks(page: str) -> list[Block]:
     while at < for_ever:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else for_ever]
-        if text:
+        if text and not hidden_at:
             parts.append(text)
             if in_link:
                 linked += len(text)
@@ -120,7 +122,7 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and not hidden_at:
                 parts.append(html.escape(m[0][9:-3]))
             continue
         if tag == "br":
@@ -135,10 +137,13 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in RAW:
             end_block() if tag in BLOCK else parts.append(" ")
-            if not (m[3] or "").endswith("/") or tag not in ("svg", "math"):
-                closing = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-                at = closing.end() if closing else for_ever
+            closing = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+            at = closing.end() if closing else for_ever
             continue
+        if (m[3] or "").endswith("/") and (tag in SILENT or any(t in ("svg", "math") for t, _ in path)):
+            continue
+        if tag in SILENT and tag not in BLOCK:
+            parts.append(" ")
         if tag in BLOCK:
             end_block()
             if tag in P_ENDS and any(t == "p" for t, _ in path):
@@ -155,7 +160,7 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag not in VOID:
             name, hide = element(tag, m[3] or "")
-            if hide:
+            if hide or tag in SILENT:
                 hidden_at.append(len(path))
             path.append((tag, name))
             in_link += tag == "a"
