@@ -20,24 +20,48 @@ def vectors(seed=1, n=260):
     return x, rng.integers(0, 3, n) * 0 + (np.arange(n) >= 230)
 
 
+def roots(hit):
+    """Smallest index joined to each, for a symmetric matrix of links."""
+    root = np.arange(len(hit))
+    for i in np.nonzero(hit.any(axis=1))[0]:
+        met = np.unique(root[np.append(np.nonzero(hit[i])[0], i)])
+        root[np.isin(root, met)] = met[0]
+    return root
+
+
 def brute(ids, x, label):
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     hit = (u @ u.T >= 0.98) & (label[:, None] == label[None, :])
     np.fill_diagonal(hit, False)
-    root = embeddings._roots(hit)
+    root = roots(hit)
     return {i: (int(h.sum()), int(ids[r])) for i, h, r in zip(ids.tolist(), hit, root)}
 
 
-@pytest.mark.parametrize("shard", [8192, 60])
-def test_embeddings_equal_brute_force(spark, shard):
+@pytest.mark.parametrize("shard, block", [(8192, 16), (60, 16), (60, 1), (25, 2)])
+def test_embeddings_equal_brute_force(spark, shard, block):
     x, label = vectors()
     ids = np.arange(len(x)) * 3
     df = spark.createDataFrame([(int(i), v.tolist(), int(g)) for i, v, g in zip(ids, x, label)], "vec_id long, embedding array<float>, label int")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df, embeddings.Settings(shard=shard)).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df, embeddings.Settings(shard=shard, block=block)).collect()}
     assert got == brute(ids, x, label) and max(n for n, _ in got.values()) >= 49
 
 
+def test_recall_over_many_shards(spark):
+    """Four shards and more of a label: links found against all links, and what the audits say of it."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2400, 64)).astype(np.float32)
+    x[900:] = x[rng.integers(0, 900, 1500)] + 0.07 * rng.normal(size=(1500, 64)).astype(np.float32)  # cosines from 0.97 to 1
+    x[2000:2200] = x[7] + 0.05 * rng.normal(size=(200, 64)).astype(np.float32)  # a dense group
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = embeddings.near_duplicates(df, embeddings.Settings(shard=400)).toPandas()
+    want = brute(np.arange(len(x)), x, np.zeros(len(x)))
+    found = dict(zip(got.vec_id, got.n_links))
+    assert all(found[i] <= n for i, (n, _) in want.items())
+    assert sum(found.values()) >= 0.99 * sum(n for n, _ in want.values()) > 0
+    assert got.audited_recall.min() >= 0.99
+
+
 def test_embeddings_odd(spark):
     good = [1.0] * 4
     rows = [
@@ -55,8 +79,22 @@ def test_a_narrow_beam_is_widened():
     x, _ = vectors()
     unit = embeddings._unit(x.astype(np.float64))
     graph = embeddings.Graph(unit, 2, 2)
-    hit, recall, beam = embeddings.found_links(unit, graph, unit, embeddings.Settings(beam=1, recall=1.0))
-    assert recall == 1.0 and hit.sum() >= 0.9 * (unit @ unit.T >= 0.98).sum() and beam >= 1
+    stored = unit[graph.order]
+    got = embeddings.find(unit, graph, stored, embeddings.Settings(beam=1, recall=1.0), np.ones(len(x), bool))
+    hit = np.zeros((len(x), len(x)), bool)
+    hit[got.query, graph.order[got.node]] = True
+    hit[got.dense] = unit[got.dense] @ unit.T >= 0.98
+    assert got.recall in (1.0, None) and (hit == (unit @ unit.T >= 0.98)).all() and got.beam >= 1
+
+
+def test_layers_are_linked_and_bounded():
+    x, _ = vectors(4, 700)
+    graph = embeddings.Graph(embeddings._unit(x.astype(np.float64)), 4, 8)
+    for k, links in enumerate(graph.links):
+        assert links.shape[1] == (8 if k == 0 else 4) and links.max() < len(links) and (links != np.arange(len(links))[:, None]).all()
+        assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in links)
+    ids, sims = graph.around(graph.v, 8)
+    assert (sims[:, 0] > 0.99999).mean() > 0.95 and (np.diff(sims, axis=1) <= 0).all()  # itself, or an equal one
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>

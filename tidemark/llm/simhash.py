@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import cut_lineage, map_rows
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, join_roots
 
 BITS = 64
 SEED = 42
@@ -116,18 +116,6 @@ def _beyond(counts: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarr
     return more
 
 
-def join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index joined to each, after the pairs (a, b) join what root joins already."""
-    while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, before[a], low)
-        np.minimum.at(root, before[b], low)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def block_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is within the radius: among left, or between left and right. Fingerprints are unsigned.
 
