@@ -151,14 +151,45 @@ def test_long_and_broken_pages(spark):
 @pytest.mark.parametrize("attribute", ['aria-hidden="false"', 'data-state="hidden"', 'title="hidden gems"', 'data-title="The hidden valley"', 'data-x="display:none"'])
 def test_only_the_attribute_hides(attribute):
     page = f"<main {attribute}><p>kept text</p></main>"
-    assert pages.element("main", " " + attribute)[1] is False and [b.text for b in pages.blocks(page)] == ["kept text"]
-    assert pages.element("p", " hidden")[1] and pages.element("p", ' class="a" style="display: none"')[1]
+    assert "unseen" not in pages.element("main", " " + attribute) and [b.text for b in pages.blocks(page)] == ["kept text"]
+    assert pages.element("p", " hidden") == "p.unseen" and pages.element("p", ' class="a" style="display: none"').endswith(".unseen")
 
 
-@pytest.mark.parametrize("tag", ["svg", "select", "noscript"])
+@pytest.mark.parametrize("tag", ["svg", "select", "noscript", "template"])
 def test_unclosed_elements_end_with_their_parent(tag):
     assert [b.text for b in pages.blocks(f"<div>a <{tag}><g>gone</div><p>kept</p>")] == ["a", "kept"]
-    assert [b.text for b in pages.blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><p>then <svg/>more <span hidden>gone</span></p>")] == ["so x=1 holds", "then more"]
+    assert [b.text for b in pages.blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><p>then <svg/>more <span hidden>too</span></p>")] == ["so x=1 holds", "then more too"]
+
+
+@pytest.mark.parametrize("inside", ["<svg>", "<math><mi>x</mi>", "<select><option>", "<template>", "<noscript>", '<p hidden="">', '<p style="display:none">', "<p data-x='\">"])
+def test_nothing_of_an_article_is_lost_after(inside):
+    text = "A sentence of the article with some more words in a row to follow."
+    got = pages.main_text(f"<nav><a href='/'>Home</a></nav><article><p>{text}</p><div>{inside}</div><p>{text}</p></article>", pages.trained())
+    assert got.count(text) == 2 and "Home" not in got
+
+
+def test_hidden_blocks_of_an_article_stay():
+    text = "A sentence of the article with some more words in a row to follow."
+    assert pages.main_text(f"<article><p>{text}</p><p hidden>{text}</p><p style='display:none'>{text}</p></article>", pages.trained()).count(text) == 3
+
+
+LONG = {
+    "name": lambda n: "<" + "a" * n, "nested": lambda n: "<div><p>x y</p>" * n, "quotes": lambda n: '<a x=">" ' * n, "mixed": lambda n: "<a \"'>" * n,
+    "rows": lambda n: "<table>" + "<tr><td>a" * n, "lists": lambda n: "<ul><li>a" * n, "links": lambda n: "<a href=x>b" * n, "stray": lambda n: "<b>x</i>" * n,
+    "spans": lambda n: "<span><b>" * n + "</span>" * n, "attributes": lambda n: "<p " + "a=b " * n + ">x",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(LONG))
+def test_time_follows_the_length(kind):
+    import time
+
+    model, seconds = pages.trained(), []
+    for n in (25_000, 100_000):
+        page, began = LONG[kind](n), time.process_time()
+        pages.main_text(page, model)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 10 * seconds[0] + 0.5 and seconds[1] < 6  # four times the length; the bound leaves room for slow machines
 
 
 def test_pages_of_the_table(spark):

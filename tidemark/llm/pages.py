@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,9 +25,9 @@ TRAINING_PAGES, EPOCHS, SEED = 400, 12, 11
 
 # Elements of the HTML standard by how they bound text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template iframe xmp noembed noframes".split())
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
 # Elements of the tree without text of a page: one that is not closed ends with its parent.
-SILENT = frozenset("svg select noscript annotation annotation-xml".split())
+SILENT = frozenset("svg select noscript template annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre script section select style summary table tbody td template "
@@ -49,145 +50,197 @@ FAMILIES = {
     "hidden": r"hidden|sr-only|visually|screen-reader",
 }
 FAMILY = {k: re.compile(v) for k, v in FAMILIES.items()}
+# Ends a search for an open element that a start tag closes, and for a paragraph that a block ends.
+BARRIERS = frozenset("ul ol dl table tbody div section article".split())
+ROW_BARRIERS = BARRIERS | {"tr"}
+SCOPES = frozenset("table td th caption button object".split())
+#: Comments, declarations and tags. Nothing is read twice: a quote counts after = only, and a tag may end with the page.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+KINDS = frozenset("article main aside nav header footer form section".split())
+
+
+#: States that a worker remembers.
+REMEMBERED = 50_000
+
+
+class State:
+    """What the open elements say of a block in them: all their tags and families, the nearest telling one, the own block.
+
+    Paths that say the same share a state, so that elements nested without end need no more than the first few.
+    """
+
+    __slots__ = ("says", "near", "own", "after", "features")
+
+    def __init__(self, says: frozenset[str] = frozenset(), near: str = "", own: str = ""):
+        self.says, self.near, self.own = says, near, own
+        self.after: dict[str, State] = {}
+        tag, *families = near.split(".")
+        nearest = {f"near:{near}", f"near-tag:{tag}", *(f"near-fam:{f}" for f in families)} if near else {"near:none"}
+        self.features = tuple(sorted(says | nearest | {f"own:{own}"}))
+
+    def within(self, name: str, known: dict[tuple, State]) -> State:
+        """The state inside an element of this name."""
+        found = self.after.get(name)
+        if found is None:
+            tag, *families = name.split(".")
+            says = self.says | {f"in:{tag}", *(f"fam:{f}" for f in families), *(f"{tag}.{f}" for f in families)}
+            key = (says, name if tag in KINDS or families else self.near, tag if tag in BLOCK else self.own)
+            found = self.after[name] = known.setdefault(key, self if key == (self.says, self.near, self.own) else State(*key))
+        return found
+
+
+STATES: dict[tuple, State] = {}
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: State
     text: str
     linked: int = 0
-    features: tuple[str, ...] = field(default=(), repr=False)
 
 
 @lru_cache(maxsize=8192)
-def element(tag: str, attributes: str) -> tuple[str, bool]:
-    """The name of an element in paths, tag and families of its names, and whether it is hidden."""
-    if "=" not in attributes and "hidden" not in attributes.lower():
-        return tag, False
-    names, hidden = [], False
+def _named(tag: str, attributes: str) -> str:
+    names: list[str] = []
+    hidden = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if name.lower() in ("class", "id", "role"):
             names += value.split()
         elif name.lower() == "hidden" or name.lower() == "style" and "display:none" in "".join(value.split()):
             hidden = True
-    families = sorted({k for n in names for k, p in FAMILY.items() if p.search(n)})
-    return ".".join([tag, *families]), hidden
+    families = {k for n in names for k, p in FAMILY.items() if p.search(n)}
+    return ".".join([tag, *sorted(families), *["unseen"] * hidden])
+
+
+def element(tag: str, attributes: str) -> str:
+    """The name of an element in paths: its tag, the families of its names, and whether it is hidden, which its text may tell."""
+    if "=" not in attributes and "hidden" not in attributes.lower():
+        return tag
+    return _named(tag, attributes) if len(attributes) < 4096 else _named.__wrapped__(tag, attributes)
+
+
+class Open:
+    """The open elements of a page, from the outermost, with the places of each tag's, so that no search goes over all of them."""
+
+    def __init__(self):
+        if len(STATES) > REMEMBERED:
+            STATES.clear()
+        self.states = [STATES.setdefault((frozenset(), "", ""), State())]
+        self.tags: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.silent: list[int] = []
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The innermost place of one of the tags, -1 if none is open."""
+        best, get = -1, self.places.get
+        for t in tags:
+            if (p := get(t)) and p[-1] > best:
+                best = p[-1]
+        return best
+
+    def first_after(self, tags: Iterable[str], place: int) -> int:
+        """The outermost place of one of the tags beyond a place, -1 if there is none."""
+        found = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, place)) < len(p)]
+        return min(found, default=-1)
+
+    def push(self, tag: str, name: str) -> None:
+        at = len(self.tags)
+        self.tags.append(tag)
+        self.states.append(self.states[-1].within(name, STATES))
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            self.blocks.append(at)
+        if tag in SILENT:
+            self.silent.append(at)
+
+    def pop_to(self, depth: int) -> None:
+        for tag in reversed(self.tags[depth:]):
+            self.places[tag].pop()
+        for places in (self.blocks, self.silent):
+            while places and places[-1] >= depth:
+                places.pop()
+        del self.tags[depth:], self.states[depth + 1 :]
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a whole page in order, with character references decoded and white space joined to one space."""
+    """Leaf blocks of a whole page in order, with character references decoded and white space joined to one space.
+
+    Time and memory follow the page's length, however deep its elements nest.
+    """
     found: list[Block] = []
-    path: list[tuple[str, str]] = []
     parts: list[str] = []
-    linked = 0
-    in_link = hidden = 0
-    hidden_at: list[int] = []
+    open_, linked = Open(), 0
 
     def end_block() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append(Block(tuple(n for _, n in path), text, min(linked, len(text))))
+                found.append(Block(open_.states[-1], text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    def pop_to(depth: int) -> None:
-        nonlocal in_link
-        while len(path) > depth:
-            tag, _ = path.pop()
-            in_link -= tag == "a"
-            if hidden_at and hidden_at[-1] == len(path):
-                hidden_at.pop()
-
-    at = 0
-    for_ever = len(page)
-    while at < for_ever:
+    at, end = 0, len(page)
+    while at < end:
         m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else for_ever]
-        if text and not hidden_at:
+        text = page[at : m.start() if m else end]
+        if text and not open_.silent:
             parts.append(text)
-            if in_link:
+            if open_.places.get("a"):
                 linked += len(text)
         if not m:
             break
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
-            if m[0].startswith("<![CDATA[") and not hidden_at:
-                parts.append(html.escape(m[0][9:-3]))
+            if m[0].startswith("<![CDATA[") and not open_.silent:
+                parts.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         if tag == "br":
             parts.append(" ")
             continue
-        if m[1] or m[4]:  # an end tag
-            depth = next((k for k in range(len(path) - 1, -1, -1) if path[k][0] == tag), None)
+        if m[1]:  # an end tag
+            depth = open_.last((tag,))
             if tag in BLOCK:
                 end_block()
-            if depth is not None and (tag in BLOCK or not any(t in BLOCK for t, _ in path[depth + 1 :])):
-                pop_to(depth)
+            if depth >= 0 and (tag in BLOCK or not open_.blocks or open_.blocks[-1] <= depth):
+                open_.pop_to(depth)
             continue
         if tag in RAW:
             end_block() if tag in BLOCK else parts.append(" ")
-            closing = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = closing.end() if closing else for_ever
+            closing = _closing(tag).search(page, at)
+            at = closing.end() if closing else end
             continue
-        if (m[3] or "").endswith("/") and (tag in SILENT or any(t in ("svg", "math") for t, _ in path)):
+        if m[3].endswith("/") and (tag in SILENT or open_.last(("svg", "math")) >= 0):
             continue
         if tag in SILENT and tag not in BLOCK:
             parts.append(" ")
         if tag in BLOCK:
             end_block()
-            if tag in P_ENDS and any(t == "p" for t, _ in path):
-                depth = max(k for k in range(len(path)) if path[k][0] == "p")
-                if not any(t in ("table", "td", "th", "caption", "button", "object") for t, _ in path[depth + 1 :]):
-                    pop_to(depth)
-            for k in range(len(path) - 1, -1, -1):
-                t = path[k][0]
-                if t in CLOSES.get(tag, ()):
-                    pop_to(k)
-                    if tag != "tr":
-                        break
-                elif t in ("ul", "ol", "dl", "table", "tbody", "div", "section", "article", "tr") and not (tag == "tr" and t == "tr"):
-                    break
+            paragraph = open_.last(("p",)) if tag in P_ENDS else -1
+            if paragraph >= 0 and open_.last(SCOPES) < paragraph:
+                open_.pop_to(paragraph)
+            if tag in CLOSES:
+                barrier = open_.last(BARRIERS if tag == "tr" else ROW_BARRIERS)
+                depth = open_.first_after(CLOSES[tag], barrier) if tag == "tr" else open_.last(CLOSES[tag])
+                if depth > barrier:
+                    open_.pop_to(depth)
         if tag not in VOID:
-            name, hide = element(tag, m[3] or "")
-            if hide or tag in SILENT:
-                hidden_at.append(len(path))
-            path.append((tag, name))
-            in_link += tag == "a"
+            open_.push(tag, element(tag, m[3]))
     end_block()
     return found
 
 
-@lru_cache(maxsize=20000)
-def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
-    out = set()
-    own = ""
-    for k, name in enumerate(path):
-        tag, *families = name.split(".")
-        out.add(f"in:{tag}")
-        out |= {f"fam:{f}" for f in families}
-        out |= {f"{tag}.{f}" for f in families}
-        if tag in BLOCK:
-            own = tag
-    kinds = [n for n in path if n.split(".")[0] in ("article", "main", "aside", "nav", "header", "footer", "form", "section") or "." in n]
-    if kinds:
-        out.add(f"near:{kinds[-1]}")
-        out |= {f"near-fam:{f}" for f in kinds[-1].split(".")[1:]}
-        out.add(f"near-tag:{kinds[-1].split('.')[0]}")
-    else:
-        out.add("near:none")
-    out.add(f"own:{own}")
-    return tuple(sorted(out))
+@lru_cache(maxsize=64)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*+>?", re.I)
 
 
 PHRASES = re.compile(r"©|\(c\)|copyright|all rights reserved|cookie|subscribe|newsletter|advert|sponsored|privacy policy", re.I)
@@ -200,7 +253,7 @@ def features(block: Block) -> tuple[str, ...]:
     out = [f"words:{size}", f"links:{'none' if not block.linked else 'some' if links < 0.5 else 'most'}", f"end:{'stop' if block.text[-1] in '.!?…:;\"”»' else 'open'}"]
     if words < 40 and PHRASES.search(block.text):
         out.append("furniture")
-    return (*path_features(block.path), *out)
+    return (*block.path.features, *out)
 
 
 @dataclass(frozen=True)
@@ -307,8 +360,10 @@ def main_text(page: str | None, model: Model) -> str:
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) per page. A null or empty page, or one without main text, gives the empty text.
 
-    Broken markup is read as browsers do: open elements end with the page, stray end tags are passed over. Repeated rows
-    are kept.
+    Broken markup is read as browsers do: open elements end with the page, stray end tags are passed over. What is left out
+    by rule is markup, scripts, styles and the insides of svg, select, noscript and template, each up to its parent's end;
+    of all else, hidden blocks and formulas included, the field decides. Repeated rows are kept. Time follows a page's
+    length, however it nests.
     """
     use = model or trained()
 
