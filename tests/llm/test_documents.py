@@ -198,6 +198,27 @@ def test_repeated_words_equal_brute_force():
         assert quality.repeated_words(words) == len(covered)
 
 
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(quality.np, "argsort", lambda x, kind=None: np.arange(len(x)))  # noqa: ARG005
+    monkeypatch.setattr(quality, "hash", lambda w: 0, raising=False)  # every window has the same hash
+    for _ in range(60):
+        words = [rng.choice((b"a", b"b")) for _ in range(rng.randint(9, 40))]
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        assert quality.repeated_words(words) == len({i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(8)})
+
+
+@pytest.mark.parametrize("line", ["Alle Rechte vorbehalten.", "Lire la suite", "Política de privacidad", "Skip to content"])
+def test_furniture_of_four_languages(line):
+    assert quality.line_fault(line, line.encode().split(), quality.Rules()) == "furniture"
+
+
+def test_clean_text_reaches_the_result(spark):
+    text = "One plain line of a text that is worth keeping for its readers, with more words.\nhome | news | sport | more | about\n\nAnother line of the text."
+    row = quality.assess(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["clean_sha256"] == hashlib.sha256(text.replace("home | news | sport | more | about\n", "").encode()).hexdigest()
+
+
 def test_quality_measures(odd, none):
     got = {r["doc_id"]: r for r in quality.assess(odd).collect()}
     assert got[2]["n_words"] == 0 and got[2]["base_failed"] and got[1]["kept"] and not got[7]["kept"]

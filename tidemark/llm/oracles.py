@@ -38,11 +38,12 @@ def quality(rules: Rules = Rules()) -> str:
     covered AS (SELECT doc_id, coalesce(bool_or(f) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN {REPEAT - 1} PRECEDING AND CURRENT ROW), false) AS c FROM places LEFT JOIN flags USING (doc_id, s)),
     repeats AS (SELECT doc_id, count(*) FILTER (c) AS n_repeat_words FROM covered GROUP BY doc_id),
     lines AS (SELECT doc_id, line, pos, {WORDS.replace("text", "line")} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
-    judged AS (SELECT doc_id, len(w) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again,
+    judged AS (SELECT doc_id, line, pos, len(w) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again,
       (len(w) >= {rules.min_line_words} AND ({marked} > {rules.max_marked}::DOUBLE * len(w) OR {count("[!?]{2,}$")} > {rules.max_shouted}::DOUBLE * len(w) OR {count(separators, True)} > {rules.max_separators}::DOUBLE * len(w)
         OR len(list_filter(range(2, len(w) + 1), lambda k: w[k] = w[k - 1])) > {rules.max_stuttered}::DOUBLE * len(w))) OR (len(w) <= {rules.furniture_words} AND regexp_matches(lower(line), '{phrases}')) AS failed FROM lines WHERE len(w) > 0),
     lost AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(n) FILTER (failed), 0)::BIGINT AS n_lost_words FROM judged GROUP BY doc_id),
-    every AS (SELECT base.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_failed_lines, 0) AS n_failed_lines, coalesce(n_lost_words, 0) AS n_lost_words FROM base LEFT JOIN repeats USING (doc_id) LEFT JOIN lost USING (doc_id)),
+    left_over AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY lines.pos) AS clean FROM lines LEFT JOIN (SELECT doc_id, pos, failed FROM judged) j USING (doc_id, pos) WHERE NOT coalesce(failed, false) GROUP BY doc_id),
+    every AS (SELECT base.*, sha256(coalesce(clean, '')) AS clean_sha256, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_failed_lines, 0) AS n_failed_lines, coalesce(n_lost_words, 0) AS n_lost_words FROM base LEFT JOIN repeats USING (doc_id) LEFT JOIN lost USING (doc_id) LEFT JOIN left_over USING (doc_id)),
     verdict AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM every)
     SELECT *, NOT base_failed AND n_lost_words <= {rules.max_lost}::DOUBLE * n_words AS kept FROM verdict
     """

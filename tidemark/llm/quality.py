@@ -6,6 +6,7 @@ loses too many of its words, or that fails the base rules on the whole text, is
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,11 +22,17 @@ SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
-# Phrases of page furniture, matched in lower case within a line of few words.
+# Phrases of page furniture in English, German, French and Spanish, matched in lower case within a line of few words.
 BOILERPLATE = (
     "all rights reserved", "terms of service", "terms of use", "privacy policy", "cookie policy", "accept cookies", "we use cookies",
     "enable javascript", "javascript is disabled", "click here", "read more", "sign in", "sign up", "log in", "subscribe to our newsletter",
-    "share this", "follow us", "back to top", "skip to content", "lorem ipsum", "page not found", "powered by",
+    "share this", "follow us", "back to top", "skip to content", "lorem ipsum", "page not found", "powered by", "leave a comment", "related articles",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "impressum", "cookies akzeptieren", "wir verwenden cookies", "javascript aktivieren", "hier klicken", "weiterlesen",
+    "jetzt anmelden", "konto erstellen", "newsletter abonnieren", "beitrag teilen", "folgen sie uns", "nach oben", "zum inhalt springen", "seite nicht gefunden",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "accepter les cookies", "nous utilisons des cookies", "activer javascript", "cliquez ici", "lire la suite",
+    "se connecter", "créer un compte", "abonnez-vous", "partager cet article", "suivez-nous", "retour en haut", "aller au contenu", "page introuvable",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "aviso legal", "aceptar cookies", "utilizamos cookies", "habilitar javascript", "haga clic aquí", "leer más",
+    "iniciar sesión", "crear una cuenta", "suscríbete", "comparte este", "síguenos", "volver arriba", "saltar al contenido", "página no encontrada",
 )
 
 
@@ -92,13 +99,21 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     same = sorted_mixed[1:] == sorted_mixed[:-1]
     if not same.any():
         return 0
-    maybe = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-    times = Counter(tuple(words[i : i + window]) for i in maybe.tolist())
-    edge = np.zeros(len(words) + 1, np.int64)
-    for i in maybe.tolist():
-        if times[tuple(words[i : i + window])] > 1:
-            edge[i] += 1
-            edge[i + window] -= 1
+    inside = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    maybe = order[inside]
+    # Windows of one hash are compared with the first of them, a word at a time, so that no window is ever held whole.
+    start = np.maximum.accumulate(np.where(np.concatenate(([True], ~same))[inside], np.arange(len(maybe)), 0))
+    numbers: dict[bytes, int] = {}
+    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    equal = np.ones(len(maybe), bool)
+    for k in range(window):
+        equal &= ids[maybe + k] == ids[maybe[start] + k]
+    again = np.ones(len(maybe), bool)
+    if not equal.all():  # hashes met by chance: in their groups alone windows are counted as they are
+        mixed_groups = np.isin(start, start[~equal])
+        times = Counter(tuple(ids[i : i + window].tolist()) for i in maybe[mixed_groups].tolist())
+        again[mixed_groups] = [times[tuple(ids[i : i + window].tolist())] > 1 for i in maybe[mixed_groups].tolist()]
+    edge = np.bincount(maybe[again], minlength=len(words) + 1) - np.bincount(maybe[again] + window, minlength=len(words) + 1)
     return int((np.cumsum(edge) > 0).sum())
 
 
@@ -143,15 +158,18 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 
 def assess(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """doc_id and the measures of every whole text, in one narrow pass. Null and empty texts fail the base rules."""
+    """doc_id, the measures of every whole text and the SHA-256 of the text without its failed lines, in one narrow pass.
+
+    Null and empty texts fail the base rules, and have the digest of the empty text.
+    """
 
     def run(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:
             found = measure(row["text"], rules)
-            del found["clean_text"]
+            found["clean_sha256"] = hashlib.sha256(found.pop("clean_text").encode("utf-8", "surrogatepass")).hexdigest()
             yield {"doc_id": row["doc_id"]} | found
 
-    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, {MEASURES}")
+    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, {MEASURES}, clean_sha256 string")
 
 
 def clean(docs: DataFrame, rules: Rules = Rules(), drop_lines: bool = False) -> DataFrame:
