@@ -78,6 +78,46 @@ def test_mixing_targets_and_spans(spark):
     assert {(r["doc_id"], r["taken"]) for r in got} == {(r["doc_id"], r["taken"]) for r in mixing.mix(docs.repartition(7)).collect()}
 
 
+def test_positions_invert_the_integral_of_the_schedule(spark):
+    """At a pass's position, the schedule summed in small steps comes to the words taken before it."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, "w " * rng.randint(0, 50), "abcde"[k * k % 5]) for k in range(400)], "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    steps = (np.arange(20_000) + 0.5) / 20_000
+    for rank, source in enumerate(sorted({r["source"] for r in got})):
+        mine = sorted((p["position"], p["words"]) for r in got if r["source"] == source for p in r["passes"])
+        target, slope = next(r["target"] for r in got if r["source"] == source), (-0.5, 0.0, 0.5)[rank % 3]
+        demand = np.concatenate(([0.0], np.cumsum(target * (1 + slope * (2 * steps - 1)) / len(steps))))
+        before = np.cumsum([0] + [w for _, w in mine[:-1]])
+        reached = np.interp([p for p, _ in mine], np.linspace(0, 1, len(demand)), demand)
+        assert np.abs(reached - before).max() < 0.05 and abs(sum(w for _, w in mine) - target) <= 1
+
+
+def test_training_order_is_a_range_sort(spark):
+    docs = spark.createDataFrame([(k, "w " * (k % 9), "ab"[k % 2]) for k in range(300)], "doc_id long, text string, source string")
+    out = mixing.documents_in_order(mixing.mix(docs))
+    at = [r["position"] for r in out.collect()]
+    known = [p for p in at if p is not None]
+    assert known == sorted(known) and at == known + [None] * (len(at) - len(known)) and len(at) == 300
+    assert "rangepartitioning" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(k if k % 3 else None, "w " * (k % 7), "ab"[k % 5 == 0]) for k in range(500)] + [(9, "w w", "a")] * 40, "doc_id long, text string, source string")
+    sums = lambda: {r["source"]: r["n"] for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    one = sums()
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 11)
+    assert sums() == one and mixing.mix(docs).count() == 540
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sums() == one
+
+
+def test_texts_of_the_mix_are_whole(spark):
+    docs = spark.createDataFrame([(k, f"t{k} " + "w " * (k % 9), "ab"[k % 2]) for k in range(60)], "doc_id long, text string, source string")
+    whole = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    assert all((r["doc_id"], r["text"]) in whole for r in mixing.take(docs).collect()) and 60 < mixing.take(docs).count() < 121
+
+
 def test_mix_in_order(spark, odd, none):
     docs = spark.createDataFrame([(k, "w " * 10, "ab"[k % 2]) for k in range(40)], "doc_id long, text string, source string")
     at = [r["position"] for r in mixing.curriculum(mixing.mix(docs), 3).collect()]

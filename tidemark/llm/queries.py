@@ -18,7 +18,8 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "passes")
+    """In training order: the rows are range-sorted by the position of a document's first pass."""
+    return mixing.documents_in_order(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "position", "passes")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
