@@ -305,6 +305,27 @@ def test_licences_scan_and_inheritance(spark, none):
     assert licenses.inherit(licenses.scan(licenses.document_paths(none.withColumn("lang", F.lit("en"))))).count() == 0
 
 
+def test_licences_climb_the_tree_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = licenses.inherit(licenses.scan(licenses.document_paths(docs))).where("origin = 'inherited'").collect()
+    own = {r["path"].rsplit("/", 1)[0] for r in rows}
+    assert all(r["path"].startswith(r["license_dir"] + "/") for r in rows) and own
+    above = [r for r in rows if r["path"].rsplit("/", 1)[0] != r["license_dir"]]
+    assert len(above) > 20 and len({r["license_dir"].count("/") for r in above}) > 1
+
+
+def test_licences_of_large_directories_and_clashing_names(spark, monkeypatch):
+    notice = "Released under the MIT License."
+    rows = [("/a/LICENSE", notice, 1), ("/a/LICENSE", notice, 1)] + [(f"/a/b/f{k}", "plain words " * 3, k) for k in range(60)] + [("/c/long", "word " * 200_000, 5), ("/c/x", f"w\n{notice}\n{notice}", 6)]
+    names = ["_dir", "_from", "_n", "_key", "key", "row", "dir", "salt", "found", "h", "passages", "name", "files", "lines"]
+    files = spark.createDataFrame([(*r, *("x" for _ in names)) for r in rows], "path string, text string, n int, " + ", ".join(f"{c} string" for c in names))
+    want = sorted(tuple(r) for r in licenses.inherit(licenses.scan(files)).collect())
+    monkeypatch.setattr(licenses, "SALT_ROWS", 7)
+    got = licenses.inherit(licenses.scan(files))
+    assert sorted(tuple(r) for r in got.collect()) == want and set(names) < set(got.columns) and len(want) == 64
+    assert got.where("license_dir = '/a' and origin = 'inherited'").count() == 60 and got.where("path = '/c/x' and own_license = 'MIT' and n_notices = 2").count() == 1
+
+
 MPL = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint main() { return 0; }"
 ISC = "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that the above\n# copyright notice and this permission notice appear in all copies.\nprint(1)\n"
 

@@ -48,6 +48,7 @@ _BSD = "Redistribution and use in source and binary forms, with or without modif
 _BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
 _MIT_END = 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the {1} Public License as published by the Free Software Foundation, {0}, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {1} Public License for more details. You should have received a copy of the {1} Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
 #: Full texts, which score beside the templates but give no weights to terms: the SQL's weights are those of the templates.
 TEXTS = (
     ("MIT", f"MIT License Copyright (c) {_MIT} {_MIT_END}"),
@@ -55,6 +56,12 @@ TEXTS = (
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
     ("BSD-2-Clause", f"{_BSD} {_BSD_END}"),
     ("BSD-3-Clause", f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("GPL-3.0", f"{_GNU.format('either version 3 of the License', 'GNU General')}"),
+    ("GPL-2.0", f"{_GNU.format('either version 2 of the License', 'GNU General')}"),
+    ("LGPL-3.0", f"{_GNU.format('either version 3 of the License', 'GNU Lesser General')}"),
+    ("AGPL-3.0", f"{_GNU.format('either version 3 of the License', 'GNU Affero General')}"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
 CUES = ("licen", "copyright", "rights reserved", "spdx", "public domain", "hereby granted", "apache", "gnu ")
@@ -184,55 +191,71 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: fl
     """
     name = F.element_at(F.split(F.col(path), "/"), -1)
     is_file = F.coalesce(name.rlike(LICENCE_FILE), F.lit(False))
-    rows = files.withColumn("_l", notices(F.col(text), is_file)).withColumn("_n", F.concat("_l", F.coalesce(blocks(F.col(text)), F.array().cast("array<string>"))))
-    key = F.when(F.size("_n") > 0, F.md5(F.concat_ws("\n", F.col("_n")).cast("binary")))
     kept = [c for c in files.columns if c not in (text, "n_notices", "own_license", "own_score")]
-    rows = cut_lineage(rows.select(*kept, F.size("_l").cast("long").alias("n_notices"), "_n")).withColumn("_key", key)  # so that texts are scanned once
-    some = rows.where("_key is not null").groupBy("_key").agg(F.first("_n").alias("_n"))  # equal keys have equal notices
-    each = some.select("_key", F.posexplode("_n").alias("pos", "notice")).withColumn("h", F.md5(F.col("notice").cast("binary")))
+    # The files' own columns travel in a struct, so that no name of theirs can clash.
+    rows = files.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), notices(F.col(text), is_file).alias("lines"), F.coalesce(blocks(F.col(text)), F.array().cast("array<string>")).alias("blocks"))
+    rows = cut_lineage(rows.select("row", F.size("lines").cast("long").alias("n_notices"), F.concat("lines", "blocks").alias("passages")))  # so that texts are scanned once
+    rows = rows.withColumn("key", F.when(F.size("passages") > 0, F.sha2(F.concat_ws("\n", "passages"), 256)))
+    some = rows.where("key is not null").groupBy("key").agg(F.first("passages").alias("passages"))  # equal keys have equal notices
+    each = some.select("key", F.posexplode("passages").alias("pos", "notice")).withColumn("h", F.sha2("notice", 256))
     scored = score_notices(each.groupBy("h").agg(F.first("notice").alias("notice"))).where(F.col("score") >= threshold)
-    best = each.select("_key", "pos", "h").join(scored, "h").groupBy("_key").agg(F.min(F.struct((-F.col("score")).alias("s"), "pos", "license")).alias("_b"))
-    out = rows.where("_key is not null").drop("_n").join(best, "_key", "left")
-    out = out.select(*kept, "n_notices", F.col("_b.license").alias("own_license"), (-F.col("_b.s")).alias("own_score"))
-    rest = rows.where("_key is null").select(*kept, "n_notices", F.lit(None).cast("string").alias("own_license"), F.lit(None).cast("double").alias("own_score"))
-    return out.unionByName(rest)  # files without a notice, mostly all, need no shuffle
+    best = each.select("key", "pos", "h").join(scored, "h").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "pos", "license")).alias("best"))
+    out = rows.where("key is not null").drop("passages").join(best, "key", "left")
+    out = out.select("row", "n_notices", F.col("best.license").alias("own_license"), (-F.col("best.s")).alias("own_score"))
+    rest = rows.where("key is null").select("row", "n_notices", F.lit(None).cast("string").alias("own_license"), F.lit(None).cast("double").alias("own_score"))
+    return out.unionByName(rest).select("row.*", "n_notices", "own_license", "own_score")  # files without a notice, mostly all, need no shuffle
 
 
 def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
+#: Files of a directory that meet its licence in one task, about.
+SALT_ROWS = 100_000
+
+
 def inherit(scanned: DataFrame, path: str = "path") -> DataFrame:
     """scanned with license, origin ('own', 'inherited', 'none') and license_dir.
 
-    A file without a licence of its own takes that of the nearest directory above it that has a licence file with one; of
-    several there, the best score, then the least path. Directories are resolved once each, then joined to their files.
+    A file without a licence of its own takes that of the nearest directory at or above its own that has a licence file with
+    one; of several there, the best score, then the least path. Directories are resolved once each, by a join of their
+    ancestors to those that have a licence, then joined to their files; one of very many files is dealt to several tasks.
     """
-    scanned = cut_lineage(scanned)  # so that the texts are scanned once
-    here = scanned.withColumn("_dir", parent(F.col(path)))
+    kept = [c for c in scanned.columns if c not in ("license", "origin", "license_dir")]
     name = F.element_at(F.split(F.col(path), "/"), -1)
-    owners = here.where(name.rlike(LICENCE_FILE) & F.col("own_license").isNotNull())
-    owners = owners.groupBy(F.col("_dir").alias("_owner")).agg(F.min(F.struct(-F.col("own_score"), F.col(path), F.col("own_license").alias("l")))["l"].alias("_l"))
-    dirs = here.where("own_license is null and _dir is not null").select("_dir").distinct()
-    steps = F.split("_dir", "/")
+    here = scanned.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "own_license", "own_score", F.col(path).alias("path"), name.alias("name"), parent(F.col(path)).alias("dir"))
+    here = cut_lineage(here)  # so that the texts are scanned once
+    owners = here.where(F.col("name").rlike(LICENCE_FILE) & F.col("own_license").isNotNull())
+    owners = owners.groupBy(F.col("dir").alias("owner")).agg(F.min(F.struct(-F.col("own_score"), "path", F.col("own_license").alias("l")))["l"].alias("l"))
+    dirs = here.where("own_license is null and dir is not null").groupBy("dir").agg(F.count("*").alias("files"))
+    steps = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
-    near = dirs.select("_dir", F.posexplode(above).alias("_depth", "_owner")).join(owners, "_owner")
-    near = near.groupBy("_dir").agg(F.max_by(F.struct("_l", "_owner"), "_depth").alias("_from"))
-    out = here.join(near, "_dir", "left")
+    near = dirs.select("dir", "files", F.posexplode(above).alias("depth", "owner")).join(owners, "owner")
+    near = near.groupBy("dir").agg(F.max_by(F.struct("l", "owner"), "depth").alias("found"), F.first("files").alias("files"))
+    # A file's salt runs over as many numbers as the largest directory needs, which the directory's row is copied to.
+    most = dirs.agg(F.coalesce(F.max("files"), F.lit(0))).first()[0]
+    salts = 1 + most // SALT_ROWS
+    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("dir", "salt", "found")
     own = F.col("own_license").isNotNull()
-    inherited = F.when(~own, F.col("_from._l"))
-    origin = F.when(own, "own").when(inherited.isNotNull(), "inherited").otherwise("none")
-    return out.select(*[c for c in scanned.columns if c not in ("license", "origin", "license_dir")], F.coalesce("own_license", inherited).alias("license"), origin.alias("origin"), F.when(~own, F.col("_from._owner")).alias("license_dir"))
+    needy = here.where(~own).withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int")).join(near, ["dir", "salt"], "left")
+    needy = needy.select("row", F.col("found.l").alias("license"), F.when(F.col("found").isNotNull(), "inherited").otherwise("none").alias("origin"), F.col("found.owner").alias("license_dir"))
+    with_own = here.where(own).select("row", F.col("own_license").alias("license"), F.lit("own").alias("origin"), F.lit(None).cast("string").alias("license_dir"))
+    return with_own.unionByName(needy).select("row.*", "license", "origin", "license_dir")
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, text): documents in directories by source, language and thousand ids.
+    """(doc_id, path, text): documents in a tree of directories by source, language, ten thousands and hundreds of ids.
 
-    Documents have no paths. One that ends with a notice stands as a licence file of its directory.
+    Documents have no paths. One that ends with a notice stands as a licence file, of a directory of one of the three lower
+    levels by its id, so that licences stand above the files that inherit them.
     """
-    ends = has_cue(F.substring_index("text", "\n", -1))
-    folder = F.concat(F.lit("/"), F.coalesce("source", F.lit("-")), F.lit("/"), F.coalesce("lang", F.lit("-")), F.lit("/"), F.floor(F.col("doc_id") / 1000).cast("string"))
-    path = F.concat(folder, F.when(ends, F.lit("/LICENSE.")).otherwise(F.lit("/")), F.col("doc_id").cast("string"))
+    ends = F.coalesce(has_cue(F.substring_index("text", "\n", -1)), F.lit(False))
+    part = lambda c: F.coalesce(F.regexp_replace(c, "/", "_"), F.lit("-"))
+    levels = [F.concat(F.lit("/"), part("source")), F.concat(F.lit("/"), part("lang")), F.concat(F.lit("/"), F.floor(F.col("doc_id") / 10000).cast("string")), F.concat(F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string"))]
+    folder = lambda depth: F.concat(*levels[:depth])
+    level = F.pmod("doc_id", F.lit(3))
+    at = F.when(ends & (level == 0), folder(2)).when(ends & (level == 1), folder(3)).otherwise(folder(4))
+    path = F.concat(at, F.when(ends, F.lit("/LICENSE.")).otherwise(F.lit("/")), F.col("doc_id").cast("string"))
     return docs.select("doc_id", path.alias("path"), "text")
 
 
@@ -245,9 +268,10 @@ def oracle_sql() -> str:
     cue = lambda c: "(" + " OR ".join(f"contains(lower({c}), {quote(x)})" for x in CUES) + ")"
     return f"""
     WITH template(term, k, license, w) AS (VALUES {rows}), idf(term, idf) AS (VALUES {idfs}),
-    d AS (SELECT doc_id, '/' || coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || CAST(floor(doc_id / 1000) AS BIGINT) AS dir, text,
+    d AS (SELECT doc_id, '/' || coalesce(replace(source, '/', '_'), '-') || '/' || coalesce(replace(lang, '/', '_'), '-') AS top, '/' || CAST(floor(doc_id / 10000) AS BIGINT) AS mid, '/' || CAST(floor(doc_id / 100) AS BIGINT) AS low, text,
             coalesce({cue("split_part(text, chr(10), -1)")}, false) AS ends FROM documents),
-    f AS (SELECT doc_id, dir, dir || CASE WHEN ends THEN '/LICENSE.' ELSE '/' END || doc_id AS path, ends, text FROM d),
+    g AS (SELECT doc_id, CASE WHEN ends AND doc_id % 3 = 0 THEN top WHEN ends AND doc_id % 3 = 1 THEN top || mid ELSE top || mid || low END AS dir, ends, text FROM d),
+    f AS (SELECT doc_id, dir, dir || CASE WHEN ends THEN '/LICENSE.' ELSE '/' END || doc_id AS path, ends, text FROM g),
     n AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {cue("x")}) AS lines, ends, text FROM f WHERE text IS NOT NULL),
     passages AS (SELECT doc_id, CASE WHEN ends THEN list_concat([text], lines) ELSE lines END AS p FROM n),
     each AS (SELECT doc_id, unnest(p) AS passage, generate_subscripts(p, 1) AS pos FROM passages),
@@ -258,9 +282,10 @@ def oracle_sql() -> str:
     score AS (SELECT x.doc_id, x.pos, k, license, round(sum(x * w) / any_value(norm), 6) AS score FROM x JOIN norm USING (doc_id, pos) JOIN template USING (term) GROUP BY x.doc_id, x.pos, k, license),
     best AS (SELECT doc_id, license AS own_license, score AS own_score FROM score WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, k) = 1),
     s AS (SELECT f.doc_id, dir, path, ends, coalesce(len(p), 0)::BIGINT AS n_notices, own_license, own_score FROM f LEFT JOIN passages USING (doc_id) LEFT JOIN best USING (doc_id)),
-    owners AS (SELECT dir AS owner, own_license AS l FROM s WHERE ends AND own_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) = 1)
+    owners AS (SELECT dir AS owner, own_license AS l FROM s WHERE ends AND own_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) = 1),
+    near AS (SELECT dir, owner, l FROM (SELECT DISTINCT dir FROM s WHERE own_license IS NULL) x JOIN owners ON dir = owner OR starts_with(dir, owner || '/') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(owner) DESC) = 1)
     SELECT doc_id, path, n_notices, own_license, own_score, coalesce(own_license, l) AS license,
            CASE WHEN own_license IS NOT NULL THEN 'own' WHEN l IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
            CASE WHEN own_license IS NULL THEN owner END AS license_dir
-    FROM s LEFT JOIN owners ON s.dir = owners.owner
+    FROM s LEFT JOIN near USING (dir)
     """
