@@ -28,6 +28,13 @@ def test_bpe_equals_the_library(odd):
     assert texts == sorted((i, library.decode(ids, skip_special_tokens=False)) for i, ids in want)
 
 
+@pytest.mark.parametrize("form", ["a{}b", "1 {}2", "é{}."])
+def test_every_character_is_encoded_as_in_the_library(form):
+    use, library = bpe.encoder(PATH), Tokenizer.from_file(PATH)
+    texts = [form.format(chr(k)) for k in range(0x40000) if not 0xD800 <= k <= 0xDFFF]
+    assert [t for t, x in zip(texts, library.encode_batch(texts, add_special_tokens=False)) if x.ids != use.encode(t)] == []
+
+
 def test_bpe_digests(odd, none):
     got = {r["doc_id"]: r for r in bpe.round_trip(odd, PATH).collect()}
     assert got[2]["n_tokens"] == 0 and got[2]["ids_sha256"] == hashlib.sha256(b"").hexdigest() == got[3]["decoded_sha256"]
@@ -441,8 +448,8 @@ def brute_substrings(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_docs", [4, 1000])
-def test_substrings_equal_brute_force(spark, shard_docs):
+@pytest.mark.parametrize("shard_bytes", [600, 1 << 20])
+def test_substrings_equal_brute_force(spark, shard_bytes):
     rng = random.Random(8)
     passages = [[rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(rng.randint(8, 70))] for _ in range(8)]
     rows = []
@@ -457,7 +464,7 @@ def test_substrings_equal_brute_force(spark, shard_docs):
         rows.append((k, "  ".join(words)))
     rows += [(90, rows[3][1]), (91, rows[5][1]), (91, rows[5][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(tuple(r) for r in substrings.dedup(docs, 12, 4, shard_docs).collect())
+    got = sorted(tuple(r) for r in substrings.dedup(docs, 12, 4, shard_bytes).collect())
     assert got == brute_substrings(rows, 12) and sum(g[2] for g in got) > 200
 
 

@@ -25,6 +25,24 @@ SHORT_WORD = 128
 REMEMBERED, REMEMBERED_LENGTH = 400_000, 48
 
 
+# Letters and numbers, by their code points, that the library's tables don't have yet, so that it takes them as symbols.
+LATER_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
+LATER_LETTERS = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 "
+    "187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 "
+    "1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+)
+# Capitals that the library lowers and Python doesn't know, by the code points of the first, the last and the first one's small letter.
+CAPITALS = "1c89-1c89-1c8a a7cb-a7cb-264 a7cc-a7cc-a7cd a7ce-a7ce-a7cf a7d2-a7d2-a7d3 a7d4-a7d4-a7d5 a7da-a7da-a7db a7dc-a7dc-19b 10d50-10d65-10d70 16ea0-16eb8-16ebb"
+
+
+def _lowered() -> dict[int, int]:
+    rows = [[int(x, 16) for x in row.split("-")] for row in CAPITALS.split(" ")]
+    return {k: small + k - first for first, last, small in rows for k in range(first, last + 1)}
+
+
+LOWERED = _lowered()
+CAPITAL = re.compile("[" + "".join(map(chr, LOWERED)) + "]")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WHITE = re.compile(r"[^\S\x1c-\x1f]+")
 
@@ -61,7 +79,10 @@ class Encoder:
         self.specials = specials
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(pattern).findall
+        for kind, later in ((r"\p{L}", LATER_LETTERS), (r"\p{N}", LATER_NUMBERS)):
+            ranges = "".join("-".join(f"\\U{int(x, 16):08x}" for x in row.split("-")) for row in later.split(" "))
+            pattern = pattern.replace(kind, f"[{kind}--[{ranges}]]")
+        self.words = regex.compile(pattern, regex.VERSION1).findall
         self.known: dict[str, tuple[int, ...]] = {}
         self.known_words: dict[str, tuple[int, ...]] = {}
 
@@ -141,6 +162,8 @@ class Encoder:
                 continue
             # Each capital is lowered by itself: the library has no final sigma, Python's lower() has.
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            if CAPITAL.search(part):
+                part = part.translate(LOWERED)
             # Python's split() also splits at U+001C to U+001F, which the pattern takes as symbols.
             for run in WHITE.split(part) if SEPARATORS.search(part) else part.split():
                 ids = known(run)

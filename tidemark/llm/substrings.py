@@ -7,7 +7,11 @@ A word goes if a window of so many words covers it whose sequence also starts in
 2. Confirmed windows: those, by hash, of two documents or more. A window's first document holds the passage.
 3. Automata: passages are cut to phrases, one at each step of so many words that every window holds a phrase. Documents are
    dealt to shards, and each shard gets the phrases of the passages that its documents can hold, as one Aho-Corasick
-   automaton through which they are streamed. A hit is extended word by word, so that equal hashes alone remove nothing.
+   automaton through which they are streamed. A hit is extended word by word, so that equal short hashes alone remove nothing.
+
+Two kinds of documents are settled before the automata, with the result that these would give. One without a recurring
+anchor holds no window of another text. One whose text has the SHA-256 of an earlier document's is that text, and all its
+windows start there.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from tidemark.llm.common import as_parquet, cut_lineage, map_rows
 
 #: Words of a window, and of an anchor and a phrase.
 WINDOW, PHRASE = 50, 10
-#: Documents of a shard, about: with their phrases, what a task holds.
-SHARD_DOCS = 256
+#: Bytes of text of a shard, about: with their phrases, what a task holds.
+SHARD_BYTES = 4 << 20
 
 
 def split(text: str | None) -> list[bytes]:
@@ -133,7 +137,7 @@ def _result(words: list, removed: np.ndarray | None) -> dict:
 OUT = "n_words long, n_removed long, kept_sha256 string"
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per document.
 
     A text that an earlier document has whole loses all its words, if they make a window, without further search. A null or
@@ -141,7 +145,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_doc
     earlier than another. A null doc_id is earlier and later than none; its row keeps all words.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    docs = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("sig"))
+    docs = docs.select("doc_id", "text", F.sha2("text", 256).alias("sig"))
 
     def pick(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:
@@ -203,7 +207,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_doc
                 yield {"first": row["doc_id"], "left": left.decode("utf-8", "surrogatepass"), "phrase": text.decode("utf-8", "surrogatepass"), "right": right.decode("utf-8", "surrogatepass")}
 
     cuts = map_rows(holders, cut, f"first {kind}, left string, phrase string, right string")
-    shards = max(1, open_docs.count() // shard_docs)
+    shards = 1 + open_docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // shard_bytes
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")
     wanted = met.where("first < doc_id").select(shard, "first").distinct()
     sent = wanted.join(cuts, "first").select("shard", "first", "left", "phrase", "right")
