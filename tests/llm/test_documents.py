@@ -402,6 +402,43 @@ def test_wide_permutations_move_everything_once(sizes):
     assert sorted(map(p, map(list, every))) == sorted(every) and all(p(list(x)) != x for x in every)
 
 
+def test_untitled_names_dates_addresses_and_ipv6():
+    text = "Alice Brown met John Stone at 12 High Street, born 1980-02-03, IPv6 2001:db8::1. Later Brown left Lindenstraße 7 for 5 rue de Paris; Calle Mayor 12. At 10:20:30 std::move(x) went."
+    new, entities = pii.replace(text, KEY)
+    assert [e["type"] for e in entities] == ["name", "name", "address", "birth", "ipv6", "name", "address", "address", "address"]
+    m = re.fullmatch(r"(\w+) (\w+) met (\w+) (\w+) at [1-9]\d (\w+) Street, born 19\d\d-\d\d-\d\d, IPv6 [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]\. Later \2 left \w+straße [1-9] for [1-9] rue de \w+; Calle \w+ [1-9]\d\. At 10:20:30 std::move\(x\) went\.", new)
+    assert m and m[1] in pii.GIVEN["f"] and m[3] in pii.GIVEN["m"] and "Brown" not in new and "2001:db8" not in new
+
+
+def days():
+    import datetime
+
+    first = datetime.date(1900, 1, 1)
+    return [first + datetime.timedelta(k) for k in range(36524)]
+
+
+@pytest.mark.parametrize("form", ["%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%d %B %Y", "%B %d, %Y"])
+def test_every_date_has_a_date_of_its_own(form):
+    old = [d.strftime(form) for d in days()]
+    new = [pii._date(KEY, d) for d in old]
+    assert len(set(new)) == len(old) and all(a != b for a, b in zip(old, new) if not (a[:2] in ("29", "30", "31") and "%B" in form))
+    if "%B" not in form:
+        import datetime
+
+        for d in new:
+            datetime.datetime.strptime(d, form)
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("phone", [f"(383) 555-{k:04d}" for k in range(10_000)]), ("ip", [f"10.0.{a}.{b}" for a in range(60) for b in range(256)]), ("ipv6", [f"fe80::{k:04x}" for k in range(16_384)]),
+    ("address", [f"{k} High Street" for k in range(10, 10_000)]), ("ssn", [f"123-{a:02d}-{b:04d}" for a in range(100) for b in range(100)]), ("secret", [f"{k:08x}" for k in range(9000)] + [f"g{k:07d}" for k in range(9000)]),
+    ("secret", ["deadbee1", "y2m6c745"]), ("name", [*pii.GIVEN["f"], *pii.GIVEN["m"], "Ogza", "Jane"]), ("email", [f"u{k:03d}@mail.example.com" for k in range(1000)] + [f"U{k:03d}@mail.example.com" for k in range(1000)]),
+])
+def test_all_values_of_small_formats_stay_distinct(kind, values):
+    new = {pii.surrogate.__wrapped__(KEY, kind, v) for v in set(values)}
+    assert len(new) == len({v.lower() if kind == "email" else v for v in values}) * (2 if kind == "email" else 1) and not any(pii.surrogate(KEY, kind, v) == v for v in values[:500])
+
+
 def test_classes_of_values_never_meet():
     import itertools
 

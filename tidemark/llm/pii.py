@@ -8,6 +8,7 @@ table of what was seen. collisions() checks that over a corpus, and audited_key(
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,8 +34,8 @@ VOWELS = "aeiou"
 CONSONANTS = "bcdfghjklmnpqrstvwxyz"
 # Given names by gender, and titles with the gender they tell.
 GIVEN = {
-    "f": ("Alice", "Amelia", "Anna", "Carmen", "Charlotte", "Clara", "Elena", "Emma", "Eva", "Helen", "Ines", "Isabel", "Jane", "Julia", "Laura", "Lucy", "Maria", "Marie", "Mary", "Olivia", "Paula", "Sarah", "Sofia", "Susan"),
-    "m": ("Adam", "Carlos", "Charles", "Daniel", "David", "Erik", "Felix", "George", "Henry", "Hugo", "Jack", "James", "John", "Jorge", "Karl", "Luis", "Martin", "Michael", "Oscar", "Paul", "Peter", "Robert", "Thomas", "William"),
+    "f": ("Alice", "Amelia", "Amy", "Angela", "Anna", "Astrid", "Camille", "Carla", "Carmen", "Charlotte", "Clara", "Claire", "Elena", "Emily", "Emma", "Eva", "Greta", "Hannah", "Helen", "Ines", "Ingrid", "Isabel", "Jane", "Julia", "Karen", "Laura", "Linda", "Lucy", "Maria", "Marie", "Marta", "Mary", "Nicole", "Olivia", "Paula", "Pilar", "Rachel", "Rosa", "Sarah", "Sofia", "Sophie", "Susan", "Teresa", "Ursula"),
+    "m": ("Adam", "Alejandro", "Andrew", "Antoine", "Bernd", "Brian", "Carlos", "Charles", "Daniel", "David", "Diego", "Edward", "Erik", "Felix", "Fernando", "Frank", "George", "Hans", "Henry", "Hugo", "Jack", "James", "Javier", "John", "Jorge", "Jürgen", "Karl", "Kevin", "Klaus", "Luis", "Martin", "Michael", "Miguel", "Oscar", "Paul", "Pedro", "Peter", "Pierre", "Robert", "Stefan", "Steven", "Thomas", "William", "Wolfgang"),
 }
 TITLES = {"Mr": "m", "Sir": "m", "Herr": "m", "Señor": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Madame": "f", "Mme": "f", "Dr": "", "Prof": ""}
 
@@ -49,9 +50,34 @@ PATTERNS = {
     "ip": re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"),
     "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w.])\+\d{9,15}(?!\w)"),
 }
-NAME = re.compile(r"\b(?P<t>" + "|".join(TITLES) + r")\.?[ \t]+(?P<v>[A-ZÀ-ÝА-ЯΑ-Ω][\w'’-]+(?:[ \t][A-ZÀ-ÝА-ЯΑ-Ω][\w'’-]+){0,2})")
+# Months by language and form, and the words of street addresses.
+MONTHS = (
+    ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
+    ("Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec"),
+    ("Januar", "Februar", "März", "Mai", "Juni", "Juli", "Oktober", "Dezember"),
+    ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+    ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+)
+BIRTH = r"(?:born(?: on)?|date of birth|birth ?date|birthday|dob|d\.o\.b\.|geboren(?: am)?|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento)"
+_MONTH = "|".join(sorted({m for row in MONTHS for m in row}, key=lambda m: (-len(m), m)))
+_CAPITAL = r"[A-ZÄÖÜÀ-Ý][\w'’-]+"
+PATTERNS |= {
+    "ipv6": re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{2})[0-9A-Fa-f]{0,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}(?:::)?(?![\w:])"),
+    "birth": re.compile(rf"\b{BIRTH}[ \t]*[:=]?[ \t]*(?P<v>\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}([./-])\d{{1,2}}\2\d{{4}}|\d{{1,2}}\.?[ \t](?:de[ \t])?(?:{_MONTH})[ \t](?:de[ \t])?\d{{4}}|(?:{_MONTH})[ \t]\d{{1,2}},?[ \t]\d{{4}})(?!\d)", re.I),
+    "address": re.compile(
+        rf"(?<![\w.])(?:\d{{1,5}}[ \t](?:{_CAPITAL}[ \t]){{1,3}}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Way|Square|Place|Terrace)"
+        rf"|[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|platz|allee|gasse)[ \t]\d{{1,4}}"
+        rf"|\d{{1,4}},?[ \t](?:rue|avenue|boulevard|place|chemin|allée)[ \t](?:d[eu]s?[ \t](?:la[ \t])?)?{_CAPITAL}(?:[ \t]{_CAPITAL}){{0,2}}"
+        rf"|(?:Calle|Avenida|Plaza|Paseo)[ \t](?:del?[ \t](?:la[ \t])?)?{_CAPITAL}(?:[ \t]{_CAPITAL}){{0,2}},?[ \t]\d{{1,4}})(?!\w)"
+    ),
+}
+#: What stays of an address: the words that make it one.
+STREET = re.compile(r"^(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Way|Square|Place|Terrace|rue|avenue|boulevard|place|chemin|allée|Calle|Avenida|Plaza|Paseo|d[eu]s?|del|la)$")
+STREET_END = re.compile(r"(?:straße|strasse|weg|platz|allee|gasse)$")
+_WORDS = r"[A-ZÀ-ÝА-ЯΑ-Ω][\w'’-]+"
+NAME = re.compile(r"\b(?:(?:" + "|".join(TITLES) + rf")\.?[ \t]+(?P<v>{_WORDS}(?:[ \t]{_WORDS}){{0,2}})|(?P<u>(?:" + "|".join(n for pool in GIVEN.values() for n in pool) + rf")(?:[ \t]{_WORDS}){{1,2}}))")
 #: Where two finds overlap, the earlier type here keeps the text.
-ORDER = ("email", "key", "secret", "iban", "card", "ssn", "ip", "phone", "name")
+ORDER = ("email", "key", "secret", "iban", "card", "ssn", "ipv6", "ip", "phone", "birth", "address", "name")
 
 
 class Permutation:
@@ -248,7 +274,64 @@ def _name(key: bytes, word: str) -> str:
     return new
 
 
-MAKE = {"email": _email, "key": by_class, "secret": _secret, "iban": _iban, "card": _card, "ssn": _phone, "ip": _ip, "phone": _phone}
+def _ipv6(key: bytes, text: str) -> str:
+    """Groups and their lengths stay; capital digits stay capital."""
+    return "".join(permute(key, "ipv6", list(text), [c if c == ":" else "ABCDEF" if c in "ABCDEF" else "0123456789abcdef" for c in text]))
+
+
+LONG_MONTHS = (1, 3, 5, 7, 8, 10, 12)
+
+
+def _date(key: bytes, text: str) -> str:
+    """Another date in the same form and century: days to the 28th, the 29th and 30th, and the 31st stay among themselves."""
+    parts = re.findall(r"\d+|[^\W\d_]+|[\W_]+", text)
+    at = [k for k, p in enumerate(parts) if p.isdigit()]
+    year = next(k for k in at if len(parts[k]) == 4)
+    named = next((k for k, p in enumerate(parts) if any(p.lower() == m.lower() for row in MONTHS for m in row)), None)
+    rest = [k for k in at if k != year]
+    day = rest[0] if named is not None else max(rest) if rest[0] > year else next((k for k in rest if int(parts[k]) > 12), None)
+    choices: list[list[str]] = [[p] for p in parts]
+    form = lambda k, values: [v for n in values if len(v := f"{n:0{len(parts[k])}d}") == len(parts[k])]
+    choices[year] = [f"{parts[year][:2]}{k:02d}" for k in range(100)]
+    if named is not None:
+        row = next(r for r in MONTHS if any(parts[named].lower() == m.lower() for m in r))
+        parts[named] = next(m for m in row if m.lower() == parts[named].lower())
+        choices[named] = list(row) if int(parts[day]) <= 28 else [parts[named]]
+        choices[day] = form(day, range(1, 29)) if int(parts[day]) <= 28 else [parts[day]]
+    elif day is None:  # both could be the month
+        for k in rest:
+            choices[k] = form(k, range(1, 13))
+    else:
+        month, n = next(k for k in rest if k != day), int(parts[day])
+        span = range(1, 29) if n <= 28 else (29, 30) if n <= 30 else (31,)
+        if rest[0] < year and 12 < n <= 28:  # its order is told by a day beyond 12
+            span = range(13, 29)
+        months = range(1, 13) if n <= 28 else [m for m in range(1, 13) if m != 2] if n <= 30 else LONG_MONTHS
+        if n > 28 and int(parts[month]) == 2:
+            months, span = (2,), (29,)
+            choices[year] = [y for y in choices[year] if int(y) % 4 == 0 and (int(y) % 100 or int(y) % 400 == 0)]
+        choices[day], choices[month] = form(day, span), form(month, months)
+    if any(p not in c for p, c in zip(parts, choices, strict=True)):  # no date: its digits change as any would
+        return by_class(key, "birth", text)
+    return "".join(permute(key, "birth", parts, choices))
+
+
+def _address(key: bytes, text: str) -> str:
+    """House number, of the same length, and the street's own words change; the words that make it an address stay."""
+
+    def change(m: re.Match) -> str:
+        word = m[0]
+        if word.isdigit():
+            return "".join(permute(key, "house", list(word), ["123456789" if word[0] != "0" else "0", *["0123456789"] * (len(word) - 1)]))
+        if STREET.match(word):
+            return word
+        end = STREET_END.search(word)
+        return _name(key, word[: end.start()]) + end[0] if end and end.start() else _name(key, word)
+
+    return re.sub(r"[\w’']+", change, text)
+
+
+MAKE = {"ipv6": _ipv6, "birth": _date, "address": _address, "email": _email, "key": by_class, "secret": _secret, "iban": _iban, "card": _card, "ssn": _phone, "ip": _ip, "phone": _phone}
 
 
 @lru_cache(maxsize=65536)
@@ -260,6 +343,14 @@ def surrogate(key: bytes, kind: str, value: str) -> str:
     return MAKE[kind](key, value)
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return True
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the personal data in a whole text, in order and without overlaps."""
     found: list[tuple[int, int, str]] = []
@@ -270,6 +361,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
             value = text[slice(*at)]
             if kind == "ip" and not all(int(p) < 256 and (p == "0" or p[0] != "0") for p in value.split(".")):
                 continue
+            if kind == "ipv6" and not _is_ipv6(value):
+                continue
             if kind == "phone" and not 7 <= len(digits_of(value)) <= 15:
                 continue
             if kind == "iban" and len(value.replace(" ", "")) < 15:
@@ -279,14 +372,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if "@" in text:
         add("email")
     if DIGIT(text):
-        for kind in ("key", "secret", "iban", "card", "ssn", "ip", "phone"):
+        for kind in ("key", "secret", "iban", "card", "ssn", "ipv6", "ip", "phone", "birth", "address"):
             if GUARDS[kind](text):
                 add(kind)
     names: set[str] = set()
     for m in NAME.finditer(text) if TITLE(text) else ():
-        found.append((*m.span("v"), "name"))
-        parts = m["v"].split()
-        names |= {m["v"], parts[-1]} if len(parts) > 1 else set(parts)
+        which = "v" if m["v"] else "u"
+        found.append((*m.span(which), "name"))
+        parts = m[which].split()
+        names |= {m[which], parts[-1]} if len(parts) > 1 else set(parts)
     if names:  # later mentions without the title
         again = re.compile(r"(?<![\w'’-])(?:" + "|".join(map(re.escape, sorted(names, key=lambda n: (-len(n), n)))) + r")(?![\w'’-])")
         found += [(*m.span(), "name") for m in again.finditer(text)]
@@ -309,7 +403,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 DIGIT = re.compile(r"\d").search
-TITLE = re.compile(r"\b(?:" + "|".join(TITLES) + r")\b").search
+TITLE = re.compile(r"\b(?:" + "|".join([*TITLES, *(n for pool in GIVEN.values() for n in pool)]) + r")\b").search
 GUARDS = {
     "key": re.compile(r"AKIA|ASIA|gh[po]_|sk-|xox").search,
     "secret": re.compile(r"token|secret|key|passw|pwd|bearer", re.I).search,
@@ -318,6 +412,9 @@ GUARDS = {
     "ssn": re.compile(r"\d-\d\d-").search,
     "ip": re.compile(r"\d\.\d+\.").search,
     "phone": re.compile(r"\d{3,4}[ .-]\d{3,4}|\+\d").search,
+    "ipv6": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]").search,
+    "birth": re.compile(rf"\b{BIRTH}", re.I).search,
+    "address": re.compile(r"\d,?[ \t][\w]|\w[ \t]\d").search,
 }
 
 
@@ -343,8 +440,9 @@ ENTITIES = "array<struct<type:string,start:int,end:int,digest:string,surrogate:s
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """All columns of the documents with surrogates in text (and n_chars after it), and the column entities.
 
-    Null and empty texts stay as they are and have no entities. A column that is itself named entities is replaced. Repeated
-    rows and equal values in any rows get the same surrogates.
+    Null and empty texts stay as they are and have no entities; texts of any length are read whole, in one task each. Where
+    finds of two types overlap, the type that ORDER names first keeps the text. A column that is itself named entities is
+    replaced. Repeated rows and equal values in any rows get the same surrogates.
     """
     docs = docs.drop("entities")
     names = docs.columns
