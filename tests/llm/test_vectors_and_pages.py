@@ -1,14 +1,18 @@
 """Embeddings, pages and the pipeline."""
 
+import collections
 import hashlib
+import re
 
 import numpy as np
+import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import bpe, embeddings, labelled_pages, mixing, pages, pii, quality, simhash
-from tidemark.llm.components import connected_components  # noqa: F401
+from tidemark.llm import embeddings, labelled_pages, pages, pii, quality
 
 
 def vectors(seed=1, n=260):
@@ -203,34 +207,100 @@ def test_pages_of_the_table(spark):
         assert pages.main_text(r["html"], pages.trained()) == "\n\n".join(x for x in parts if x)
 
 
+# --- the pipeline, by code of its own: only the surrogates of found values are taken from the module, which has its own tests
+
+WHITE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def plain_words(text):
+    return [w for w in WHITE.split(text) if w]
+
+
+def plain_line_fails(line):
+    words, times = plain_words(line), lambda pattern: sum(bool(re.search(pattern, w)) for w in plain_words(line))
+    n = len(words)
+    if not n:
+        return False
+    marks = "[#*$%&<>]{2,}"
+    marked = times(marks + "$") + times("^" + marks) - times("^" + marks + "$")
+    stuttered = sum(a == b for a, b in zip(words, words[1:]))
+    separators = times(r"^(?:[|>»›·•/\\]|--+)$")
+    if n >= 4 and (marked > 0.3 * n or times(r"[!?]{2,}$") > 0.4 * n or separators > 0.25 * n or stuttered > 0.5 * n):
+        return True
+    return n <= 15 and any(p in line.lower() for p in quality.BOILERPLATE)
+
+
+def plain_quality(text):
+    """The text without failed lines, or None if the document goes."""
+    words = plain_words(text)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    times = collections.Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(8)}
+    lines = text.split("\n")
+    lost = sum(len(plain_words(x)) for x in lines if plain_line_fails(x))
+    if len(words) < 20 or 100 * len(covered) > 30 * len(words) or lost > 0.5 * len(words):
+        return None
+    return "\n".join(x for x in lines if not plain_line_fails(x))
+
+
+def plain_fingerprint(text):
+    words = plain_words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(max(1, len(words) - 4))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weights, wanted, out, free = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(sizes.values()), {}, set(order)
+    while free:
+        level = (wanted - sum(out.values())) / sum(weights[s] for s in free)
+        over = {s for s in free if level * weights[s] > 2 * sizes[s]}
+        if not over:
+            return out | {s: level * weights[s] for s in free}
+        out |= {s: 2.0 * sizes[s] for s in over}
+        free -= over
+    return out
+
+
 def test_pipeline_equals_plain_python(spark):
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = [r.asDict() for r in docs.collect()]
-    kept = [r for r in rows if quality.measure(r["text"])["kept"]]
-    groups: dict[int, int] = {}
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in kept}
-    for d in sorted(prints):
-        near = {groups[x] for x in groups if bin(prints[x] ^ prints[d]).count("1") <= 4}
-        groups[d] = min(near | {d})
-        for x in groups:
-            if groups[x] in near:
-                groups[x] = groups[d]
-    single = [r for r in kept if groups[r["doc_id"]] == r["doc_id"]]
-    for r in single:
-        r["text"], _ = pii.replace(r["text"], corpus_pipeline.PII_KEY)
-    mixed = {r["doc_id"]: r["passes"] for r in mixing.mix(spark.createDataFrame(single, docs.schema)).collect()}
-    use, want = bpe.Encoder(corpus_pipeline.TOKENIZER), []
+    rows = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    kept = [r | {"text": clean} for r in rows if (clean := plain_quality(r["text"] or "")) is not None]
+    prints, root = {r["doc_id"]: plain_fingerprint(r["text"]) for r in kept}, {r["doc_id"]: r["doc_id"] for r in kept}
+    changed = True
+    while changed:
+        changed = False
+        for a in root:
+            for b in root:
+                if root[b] < root[a] and bin(prints[a] ^ prints[b]).count("1") <= 4:
+                    root[a], changed = root[b], True
+    single = [r | {"text": pii.replace(r["text"], pii.DEFAULT_KEY.encode())[0]} for r in kept if root[r["doc_id"]] == r["doc_id"]]
+    # Each source's documents follow one another in the order of a hash, run after run, until its target is met.
+    hashed = spark.createDataFrame([(r["doc_id"], r["text"]) for r in single], "doc_id long, text string").select("doc_id", F.xxhash64(F.lit(42), "doc_id", F.xxhash64("text")).alias("h")).collect()
+    order, sizes = {r["doc_id"]: r["h"] for r in hashed}, collections.Counter()
     for r in single:
-        words = r["text"].encode().split()
-        for p in mixed[r["doc_id"]]:
-            text = r["text"] if p["words"] == len(words) else b" ".join(words[: p["words"]]).decode()
-            ids = use.encode(text)
-            want.append((r["doc_id"], len(ids), use.digest_ids(ids), hashlib.sha256(use.decode(ids).encode()).hexdigest()))
+        sizes[r["source"]] += len(plain_words(r["text"]))
+    goal, library, want = plain_targets(sizes), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for source in sizes:
+        # documents are dealt to buckets by their hash, one bucket here
+        mine, left = sorted((r for r in single if r["source"] == source), key=lambda r: order[r["doc_id"]]), round(goal[source])
+        for r in mine * 2:
+            n = len(plain_words(r["text"]))
+            if left > 0 and 2 * min(n, left) >= n:
+                ids = library.encode(r["text"], add_special_tokens=False).ids
+                want.append((r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+            left -= n
     got = [tuple(r) for r in corpus_pipeline.run(spark, sf).collect()]
     assert sorted(got) == sorted(want) and len(got) > 100
 
 
+def test_lines_that_fail_leave_the_pipeline(spark):
+    bad = "home | news | sport | more | about"
+    docs = spark.createDataFrame([(1, f"A plain sentence of a text that is worth keeping for all of its readers, with more words.\n{bad}\nAnd one more line of it here.", "en", "a", 9)], "doc_id long, text string, lang string, source string, n_chars int")
+    row = corpus_pipeline.quality_rules(spark, docs, "unused").first()
+    assert bad not in row["text"] and row["n_chars"] == len(row["text"]) and "And one more" in row["text"]
+
+
 def test_stages_keep_columns_and_stand_nothing(spark, odd):
     docs = odd.withColumn("lang", F.lit("en"))
     for some in (docs, docs.where("false")):

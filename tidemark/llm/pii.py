@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from math import isqrt, prod
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.common import map_rows
 
@@ -466,6 +466,14 @@ def collisions(found: DataFrame) -> DataFrame:
     return each.groupBy("type", "surrogate").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a != b").select("type", "surrogate")
 
 
+#: Where a session keeps the key, put there from a secret store, and the key of tests and checks where it has none.
+KEY_SETTING, DEFAULT_KEY = "spark.tidemark.pii.key", "tidemark-surrogates"
+
+
+def session_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(KEY_SETTING, DEFAULT_KEY).encode()
+
+
 def audited_key(docs: DataFrame, key: bytes, tries: int = 4) -> bytes:
     """key if its surrogates of these documents don't collide, else the first of the keys derived from it that has none.
 

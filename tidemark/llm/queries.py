@@ -38,14 +38,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.inherit(licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents"))))
 
 
-#: The key of a production run comes from a secret store.
-PII_KEY = b"tidemark-surrogates"
-
-
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text with surrogates, and entities: type, place, keyed digest of the original, surrogate."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, pii.audited_key(docs, PII_KEY))
+    return pii.pseudonymise(docs, pii.audited_key(docs, pii.session_key(spark)))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
