@@ -11,28 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import bpe, mixing, pii, quality, simhash
 from tidemark.llm.common import as_parquet
 
-#: Parameters of the stages. The key of a production run comes from a secret store.
-PII_KEY = b"tidemark-surrogates"
+#: Parameters of the stages.
+SHINGLE = 5
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the line-first rules go; the others stay as they are."""
-    return quality.clean(docs)
+    """Lines that fail the line-first rules go, and so do documents that fail them; other texts stay as they are."""
+    return quality.clean(docs, drop_lines=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest doc_id."""
-    return simhash.dedup(docs)
+    """One document of each SimHash group stays: the one with the smallest doc_id. Shingles have five words."""
+    return simhash.dedup(docs, shingle=SHINGLE)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets in the texts give way to keyed surrogates, which are audited for collisions first."""
-    return pii.pseudonymise(docs, pii.audited_key(docs, PII_KEY)).drop("entities")
+    return pii.pseudonymise(docs, pii.audited_key(docs, pii.session_key(spark))).drop("entities")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat, or go, as the mix of sources takes them, in training order."""
+    """Documents repeat, or go, as the mix of sources takes them, whole, in training order."""
     return mixing.take(docs)
 
 
