@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidemark.llm.common import WORD, cut_lineage
 
 #: Documents of a hash bucket of a source, about. Documents are summed in buckets, then buckets, so that no task holds a source.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 #: The most sources whose plan is broadcast; beyond, it is joined.
 BROADCAST_SOURCES = 100_000
 
