@@ -217,3 +217,49 @@ def test_lists_and_settings(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"domains": {"A": {"input_len": 24, "horizons": [1, 30], "seasonal_period": 12}}}')
     grid = tables.task_grid(tables.read_settings(spark, str(tmp_path / "s.json")), 3).collect()
     assert {(r["horizon"], r["fold"], r["block"]) for r in grid} == {(h, f, b) for h, b in ((1, 12), (30, 30)) for f in (1, 2, 3)}
+
+
+def test_files_with_headers_of_their_own(spark, tmp_path):
+    for name, text in {"A": "date,OT,temp\n2020-01-02,2,5\n2020-01-01,x,\n", "B": "humidity,start_date,end_date,OT,date\n1,2021-01-01,2021-01-03,7,9\n", "C": "Month,OT\n2022-01-01,1\n"}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.csv").write_text(text)
+    got = {(r["domain"], str(r["start_ts"])[:10]): (str(r["end_ts"])[:10], r["ot"], r["channels"]) for r in tables.read_series_csv(spark, f"{tmp_path}/*/*.csv").collect()}
+    assert got == {
+        ("A", "2020-01-02"): ("2020-01-02", 2.0, {"temp": 5.0}), ("A", "2020-01-01"): ("2020-01-01", None, {"temp": None}),
+        ("B", "2021-01-01"): ("2021-01-03", 7.0, {"humidity": 1.0, "date": 9.0}), ("C", "2022-01-01"): ("2022-01-01", 1.0, {}),
+    }
+    rows = tables.read_untyped_csv(spark, f"{tmp_path}/A/*.csv").orderBy("file_row").collect()
+    assert [r["cells"] for r in rows] == [{"date": "2020-01-02", "OT": "2", "temp": "5"}, {"date": "2020-01-01", "OT": "x", "temp": None}]
+
+
+def test_a_broken_rule_fails_the_job(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None)], "k int, v double")
+    assert series.demand(df, {"no key": F.col("k") > 0}).count() == 2
+    with pytest.raises(Exception, match="no value"):
+        series.demand(df, {"no key": F.col("k") > 0, "no value": F.col("v").isNotNull()}).collect()
+
+
+def test_empty_columns_go(spark):
+    df = spark.createDataFrame([(1, None, None), (2, None, "x")], "a int, `b.c` double, d string")
+    assert series.drop_empty_columns(df).columns == ["a", "d"]
+
+
+def test_gram_grid_matches_rows(spark):
+    rng = np.random.default_rng(3)
+    x, y, seg = rng.normal(size=(200, 5)), rng.normal(size=(200, 2)), ["train"] * 120 + ["cal"] * 40 + ["test"] * 40
+    y += x[:, :2]
+    df = spark.createDataFrame([("g", s, a.tolist(), b.tolist()) for s, a, b in zip(seg, x, y)], "g string, segment string, x array<double>, y array<double>")
+    got = ridge.grid(df, ["g"]).first()
+    part = lambda s: (x[np.array(seg) == s], y[np.array(seg) == s])
+    scale = ridge.Scale(part("train")[0])
+    alpha, score, (w, c) = ridge.best_fit((scale(part("train")[0]), part("train")[1]), (scale(part("cal")[0]), part("cal")[1]))
+    assert got["alpha"] == alpha and abs(got["validation_mse"] - score) < 1e-9 and abs(got["test_mse"] - ridge.mse(part("test")[1], scale(part("test")[0]) @ w + c)) < 1e-9
+
+
+def test_places_in_buckets_are_those_of_one_window(spark):
+    rng = np.random.default_rng(4)
+    rows = [("ab"[k % 2], int(rng.integers(0, 50)), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, t int, k int")
+    got = {(r["g"], r["k"]): r["at"] for r in series.ordinal(df, ["g"], F.floor(F.col("t") / 7), ["t", "k"], "at").collect()}
+    for g in "ab":
+        assert [got[g, k] for _, k in sorted((t, k) for h, t, k in rows if h == g)] == list(range(1, 151))

@@ -5,9 +5,11 @@ Every window function is partitioned by domain: positions are a series' own, and
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.functions.numbers import int_frac
+from tidemark.functions.numbers import ffill_array, int_frac
 
 DAY = 86400
 
@@ -18,17 +20,26 @@ def with_positions(series: DataFrame, order: tuple[str, ...] = ("start_ts",)) ->
     return series.withColumn("i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count("*").over(w).cast("int"))
 
 
-def order_audit(series: DataFrame, start: str, end: str, row: str) -> DataFrame:
+def order_audit(series: DataFrame, start: str, end: str, row: str, days: int = 30, rows: int = 4096) -> DataFrame:
     """Per domain: rows, rows whose place changes under the stable order by start, end and row, and whether they came sorted.
 
-    row tells the order in which the rows came.
+    row, a number, tells the order in which the rows came. Places are counted in buckets of days and of rows.
     """
-    w = W.partitionBy("domain")
-    placed = series.withColumn("came", F.row_number().over(w.orderBy(row))).withColumn("goes", F.row_number().over(w.orderBy(start, end, row)))
-    before = F.lag(start).over(w.orderBy("came"))
-    placed = placed.withColumn("rises", F.coalesce(F.col(start) >= before, F.lit(True))).withColumn("falls", F.coalesce(F.col(start) <= before, F.lit(True)))
+    came = ordinal(series, ["domain"], F.floor(F.col(row) / rows), [row], "came")
+    placed = ordinal(came, ["domain"], F.floor(F.datediff(F.to_date(start), F.lit("1970-01-01")) / days), [start, end, row], "goes")
+    moved = placed.groupBy("domain").agg(F.count("*").alias("rows"), F.count_if(F.col("came") != F.col("goes")).alias("moved"))
+    # Whether starts rise or fall as rows came: within buckets of rows, then from each bucket's last to the next one's first.
+    chunk = F.floor(F.col(row) / rows).alias("b")
+    inside = W.partitionBy("domain", "b").orderBy(row)
+    steps = series.select("domain", chunk, row, start).withColumn("before", F.lag(start).over(inside))
+    ends = steps.groupBy("domain", "b").agg(
+        F.bool_and(F.coalesce(F.col(start) >= F.col("before"), F.lit(True))).alias("rises"), F.bool_and(F.coalesce(F.col(start) <= F.col("before"), F.lit(True))).alias("falls"),
+        F.min_by(start, row).alias("first"), F.max_by(start, row).alias("last"),
+    )
+    last = F.lag("last").over(W.partitionBy("domain").orderBy("b"))
+    ends = ends.withColumn("rises", F.col("rises") & F.coalesce(F.col("first") >= last, F.lit(True))).withColumn("falls", F.col("falls") & F.coalesce(F.col("first") <= last, F.lit(True)))
     way = F.when(F.bool_and("rises"), "ascending").when(F.bool_and("falls"), "descending").otherwise("unsorted")
-    return placed.groupBy("domain").agg(F.count("*").alias("rows"), F.count_if(F.col("came") != F.col("goes")).alias("moved"), way.alias("arrival"))
+    return moved.join(ends.groupBy("domain").agg(way.alias("arrival")), "domain")
 
 
 def audit(series: DataFrame, seconds: int = 3600) -> DataFrame:
@@ -117,3 +128,106 @@ def half_masks(origins: DataFrame) -> DataFrame:
     return out.select(
         "*", (inside & (end <= F.col("boundary"))).alias("calibration"), decision.alias("decision"), (decision & (end <= F.col("middle"))).alias("first_half"), (decision & (F.col("i") >= F.col("middle"))).alias("second_half")
     )
+
+
+def ordinal(rows: DataFrame, keys: list[str], bucket: Column, order: list[Column | str], name: str) -> DataFrame:
+    """rows with name, the place of each among its keys' rows from 1 in the order given.
+
+    bucket must rise with the first of order. Rows are numbered within buckets, and buckets by the rows before them, so
+    that no task sorts all rows of a key.
+    """
+    dealt = rows.withColumn("_b", bucket)
+    sizes = dealt.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*keys, "_b", before.alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_b").orderBy(*order))
+    return dealt.join(sizes, [*keys, "_b"]).withColumn(name, inside + F.col("_before")).drop("_b", "_before")
+
+
+def scaled_channels(tall: DataFrame, train_end: Column) -> DataFrame:
+    """(domain, channel, i, z) of channels that vary in training: filled forward, then by the training median, then scaled.
+
+    tall: domain, channel, i, n, value. A channel that is constant or empty in training (sample deviation nearly 0) goes.
+    """
+    by = W.partitionBy("domain", "channel")
+    train = F.col("i") < train_end
+    known = F.when(train, F.col("value"))
+    out = tall.withColumn("_s", F.stddev_samp(known).over(by)).withColumn("_m", F.median(known).over(by)).where(F.col("_s") > 1e-8)
+    last = F.last("value", ignorenulls=True).over(by.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow))
+    out = out.withColumn("v", F.coalesce(last, F.col("_m")))
+    mean, std = F.avg(F.when(train, F.col("v"))).over(by), F.stddev_pop(F.when(train, F.col("v"))).over(by)
+    return out.select("domain", "channel", "i", ((F.col("v") - mean) / F.nullif(std, F.lit(0.0))).alias("z"))
+
+
+def drop_empty_columns(df: DataFrame) -> DataFrame:
+    """df without the columns that are null in every row; one aggregate over all columns decides."""
+    counts = df.agg(*(F.count(f"`{c}`").alias(str(k)) for k, c in enumerate(df.columns))).first()
+    return df.select(*(f"`{c}`" for k, c in enumerate(df.columns) if counts[k]))
+
+
+def hourly_audit(series: DataFrame, least_rows: int) -> DataFrame:
+    """Per domain: rows, hours that repeat, gaps, unknown targets, and whether the series meets a strict load's demands."""
+    before = F.lag("start_ts").over(W.partitionBy("domain").orderBy("start_ts"))
+    steps = series.withColumn("_b", before)
+    repeated, missing = F.count_if(F.col("_b") == F.col("start_ts")), F.count_if(F.col("ot").isNull())
+    gaps = F.count_if(F.unix_micros("start_ts") - F.unix_micros("_b") > 3_600_000_000)
+    holds = (F.count("*") >= least_rows) & (repeated == 0) & (missing == 0)
+    return steps.groupBy("domain").agg(F.count("*").alias("rows"), repeated.alias("repeated"), gaps.alias("gaps"), missing.alias("missing"), holds.alias("holds"))
+
+
+def demand(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """rows as they are; one for which a rule isn't true fails the job, with the rule's name."""
+    checks = F.lit(True)
+    for name, rule in rules.items():
+        checks = checks & F.when(F.coalesce(rule, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(name)).cast("boolean"))
+    return rows.where(checks)
+
+
+def prepared(raw: DataFrame, key: str, row: str) -> DataFrame:
+    """(domain, i, key, ot): one row per domain and key, trimmed to known targets and placed anew.
+
+    What isn't finite is null; a key whose rows have different known targets is ambiguous, and null; else its first row counts.
+    """
+    value = F.when(~F.isnan("ot") & (F.abs("ot") < F.lit(float("inf"))), F.col("ot"))
+    known = raw.select("domain", key, row, value.alias("ot"))
+    first = F.min(F.struct(row, "ot"))["ot"]
+    one = known.groupBy("domain", key).agg(F.when(F.countDistinct("ot") <= 1, first).alias("ot")).withColumn("i", F.col(key))
+    return trimmed(one).withColumn("i", F.row_number().over(W.partitionBy("domain").orderBy(key)) - 1)
+
+
+def fixed_split(i: Column, horizon: Column, first: int, rows: dict[str, int]) -> Column:
+    """The segment of an origin where segments have fixed counts of rows, one after another; the first starts at a row of its own."""
+    cuts, at = [], 0
+    for name, n in rows.items():
+        cuts.append((name, F.lit(max(at, first)), F.lit(at + n)))
+        at += n
+    return segment(i, horizon, cuts)
+
+
+def shared_targets(origins: DataFrame, horizon: int) -> DataFrame:
+    """Per domain, the distinct target positions of origins (domain, fold, i) and how many more than one fold has."""
+    targets = origins.select("domain", "fold", F.explode(F.sequence(F.col("i"), F.col("i") + horizon - 1)).alias("target")).distinct()
+    folds = targets.groupBy("domain", "target").agg(F.count("*").alias("folds"))
+    return folds.groupBy("domain").agg(F.count("*").alias("targets"), F.count_if(F.col("folds") > 1).alias("shared"))
+
+
+def corrupted(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """windows for each kind of corruption of x: clean, gaussian noise of 0.1, a tenth missing, the last twelve missing, and
+    spikes of 3 on two in a hundred. Missing values are filled forward. Draws are digests of kind, keys and place."""
+
+    def uniform(kind: str, place: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", F.lit(kind), *(F.col(k).cast("string") for k in keys), place.cast("string")).cast("binary"))
+        return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") + 0.5) / 4294967296.0
+
+    noise = lambda p: 0.1 * F.sqrt(-2 * F.log(uniform("a", p))) * F.cos(2 * math.pi * uniform("b", p))
+    spike = lambda u: F.when(u < 0.01, -3.0).when(u < 0.02, 3.0).otherwise(0.0)
+    x = F.col("x")
+    kinds = {
+        "clean": x,
+        "gaussian": F.transform(x, lambda v, p: v + noise(p)),
+        "missing": F.transform(x, lambda v, p: F.when(uniform("m", p) >= 0.1, v)),
+        "tail": F.transform(x, lambda v, p: F.when(p < F.size(x) - 12, v)),
+        "spikes": F.transform(x, lambda v, p: v + spike(uniform("s", p))),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), ffill_array(v).alias("x")) for k, v in kinds.items())))
+    return windows.withColumn("_c", each).withColumn("kind", F.col("_c.kind")).withColumn("x", F.col("_c.x")).drop("_c")

@@ -7,18 +7,28 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def holm_bh(values: DataFrame, p: str = "p", family: list[str] | None = None) -> DataFrame:
+def holm_bh(values: DataFrame, p: str = "p", family: list[str] | None = None, buckets: int = 1024) -> DataFrame:
     """values with holm and bh: step-down and step-up adjusted p-values within a family of tests; null p-values stay out.
 
-    Equal p-values get equal results, for the running extremes go over all rows of a value.
+    Equal p-values get equal results. Tests are counted per distinct value first; values are ranked within buckets of the
+    unit interval, and buckets by the tests, the greatest and the least of those beside them, so that no task sorts a family.
     """
-    keys = family or [F.lit(1)]
-    known = values.where(F.col(p).isNotNull()).withColumn("_m", F.count("*").over(W.partitionBy(*keys))).withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(p)))
-    up = W.partitionBy(*keys).orderBy(p).rangeBetween(W.unboundedPreceding, W.currentRow)
-    down = W.partitionBy(*keys).orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, W.currentRow)
-    holm = F.least(F.lit(1.0), F.max((F.col("_m") - F.col("_r") + 1) * F.col(p)).over(up))
-    bh = F.least(F.lit(1.0), F.min(F.col("_m") / F.col("_r") * F.col(p)).over(down))
-    return known.withColumn("holm", holm).withColumn("bh", bh).drop("_m", "_r")
+    keys = family or ["_all"]
+    known = values.where(F.col(p).isNotNull())
+    known = known if family else known.withColumn("_all", F.lit(1))
+    counts = known.groupBy(*keys, p).agg(F.count("*").alias("_c")).withColumn("_b", F.least(F.floor(F.col(p) * buckets), F.lit(buckets)))
+    by = W.partitionBy(*keys)
+    per = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
+    per = per.withColumn("_m", F.sum("_n").over(by)).withColumn("_before", F.coalesce(F.sum("_n").over(by.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = W.partitionBy(*keys, "_b")
+    placed = counts.join(per.drop("_n"), [*keys, "_b"]).withColumn("_r", F.col("_before") + F.sum("_c").over(inside.orderBy(p)))
+    raw = placed.withColumn("_h", (F.col("_m") - F.col("_r") + F.col("_c")) * F.col(p)).withColumn("_u", F.col("_m") / F.col("_r") * F.col(p))
+    ends = raw.groupBy(*keys, "_b").agg(F.max("_h").alias("_h"), F.min("_u").alias("_u"))
+    ends = ends.select(*keys, "_b", F.max("_h").over(by.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_above"), F.min("_u").over(by.orderBy("_b").rowsBetween(1, W.unboundedFollowing)).alias("_below"))
+    holm = F.greatest(F.max("_h").over(inside.orderBy(p)), F.col("_above"))
+    bh = F.least(F.min("_u").over(inside.orderBy(F.desc(p))), F.col("_below"))
+    adjusted = raw.join(ends, [*keys, "_b"]).select(*keys, p, F.least(F.lit(1.0), holm).alias("holm"), F.least(F.lit(1.0), bh).alias("bh"))
+    return known.join(adjusted, [*keys, p]).drop("_all")
 
 
 def empirical_p(nulls: DataFrame, keys: list[str], aligned: str = "aligned", null: str = "null_score") -> DataFrame:
@@ -64,10 +74,11 @@ def block_bootstrap(losses: DataFrame, keys: list[str], block: int, repeats: int
     return size.select(*keys, "n", "mean").join(ends, keys)
 
 
-def circular_shifts(rows: DataFrame, keys: list[str], guard: int, position: str = "i") -> DataFrame:
-    """rows for each shift s from guard to n - guard, with moved: the position that each row takes its partner from."""
+def circular_shifts(rows: DataFrame, keys: list[str], guard: int, draws: int, seed: int, position: str = "i") -> DataFrame:
+    """rows for each of so many drawn shifts from guard to n - guard, with moved: the position that each row takes its partner from."""
     n = F.count("*").over(W.partitionBy(*keys))
-    out = rows.withColumn("_n", n).where(F.col("_n") >= 2 * guard).withColumn("shift", F.explode(F.sequence(F.lit(guard).cast("long"), F.col("_n") - guard)))
+    out = rows.withColumn("_n", n).where(F.col("_n") >= 2 * guard).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    out = out.withColumn("shift", guard + hash_draw(seed, F.col("draw"), below=F.col("_n") - 2 * guard + 1))
     return out.withColumn("moved", F.pmod(F.col(position) - F.col("shift"), F.col("_n"))).drop("_n")
 
 
@@ -98,7 +109,7 @@ def disagreement_gate(points: DataFrame, keys: list[str], quantiles: tuple[float
     grid = cuts.select(*keys, F.explode("t").alias("threshold")).withColumn("weight", F.explode(F.array(*map(F.lit, weights))))
     blended = F.col("numeric") + F.when(gap <= F.col("threshold"), F.col("weight")).otherwise(0.0) * (F.col("candidate") - F.col("numeric"))
     e = blended - F.col("actual")
-    tried = points.join(F.broadcast(grid), keys).groupBy(*keys, "threshold", "weight").agg(F.avg(e * e).alias("mse"), F.avg((gap <= F.col("threshold")).cast("double")).alias("accepted"))
+    tried = points.join(grid, keys).groupBy(*keys, "threshold", "weight").agg(F.avg(e * e).alias("mse"), F.avg((gap <= F.col("threshold")).cast("double")).alias("accepted"))
     best = tried.groupBy(*keys).agg(F.min(F.struct(F.round("mse", 9).alias("m"), "threshold", "weight", "mse", "accepted")).alias("b"))
     return best.select(*keys, "b.threshold", "b.weight", "b.mse", "b.accepted")
 
@@ -107,3 +118,29 @@ def within_tolerance(a: Column, b: Column, absolute: float = 1e-7, relative: flo
     """Whether a recomputed value agrees with a stored one; two unknown values agree."""
     known = F.abs(a - b) <= absolute + relative * F.abs(b)
     return F.coalesce(known, a.isNull() & b.isNull())
+
+
+def iid_bootstrap(losses: DataFrame, keys: list[str], repeats: int, seed: int, position: str = "i", difference: str = "d") -> DataFrame:
+    """Bootstrap of a mean difference per key by single rows: repeats, and the 2.5% and 97.5% points. position counts from 0."""
+    n = F.count("*").over(W.partitionBy(*keys))
+    draws = losses.select(*keys, position, n.alias("_n")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    picked = draws.select(*keys, "rep", hash_draw(seed, F.col("rep"), F.col(position), below=F.col("_n")).alias(position))
+    means = picked.join(losses.select(*keys, position, difference), [*keys, position]).groupBy(*keys, "rep").agg(F.avg(difference).alias("m"))
+    return means.groupBy(*keys).agg(F.count("*").alias("repeats"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def shuffled(rows: DataFrame, keys: list[str], position: str, value: str, seed: int) -> DataFrame:
+    """rows (keys, at, value) with the value of another row of the key: from, shuffled. The order is that of a digest of places."""
+    first = F.min(position).over(W.partitionBy(*keys))
+    placed = rows.select(*keys, (F.col(position) - first).alias("from"), value)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("from").cast("string")).cast("binary"))
+    moved = placed.withColumn("at", F.row_number().over(W.partitionBy(*keys).orderBy(digest, "from")) - 1).withColumnRenamed(value, "shuffled")
+    return moved.join(placed.select(*keys, F.col("from").alias("at"), value), [*keys, "at"])
+
+
+def development_gate(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the candidates better than the fallback, the mean placebo and the fallback in both halves, and the best of them."""
+    better = lambda a, b: F.coalesce(F.col(a) < F.col(b), F.lit(False))
+    chosen = better("mse", "fallback_mse") & better("mse", "placebo_mse") & better("mse_first", "fallback_first") & better("mse_second", "fallback_second")
+    best = F.min(F.when(chosen, F.struct("mse", "variant")))["variant"]
+    return candidates.groupBy(*keys).agg(F.count_if(chosen).alias("chosen"), F.coalesce(best, F.lit("numeric")).alias("variant"))

@@ -8,16 +8,18 @@ from tidemark.functions.numbers import int_frac
 from tidemark.operators import pit, ridge, series as S, statistics as R
 from tidemark.plans import query
 from tidemark.plans.series import rounded, train_scaled
-from tidemark.plans.text import quality_features
+from tidemark.plans.text import index, quality_features
 from tidemark.sources.tables import table
 
 LENGTH, STEPS = 24, (3, 6)
+#: Draws of the gate's null.
+DRAWS = 199
 
 
 def task_windows(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     """Windows of every series and horizon with their segment of a 60/10/15/15 split; with text, its vector and quality.
 
-    Text vectors are the embeddings dealt to origins by position, as no facts have vectors of their own here.
+    An origin's vector is that of its newest fact, by the fact's id; ids beyond the vectors start over, so all vectors are used.
     """
     n = F.col("n")
     cuts = [F.lit(0), *(int_frac(n, f) for f in (0.6, 0.7, 0.85)), n]
@@ -29,10 +31,13 @@ def task_windows(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame
     rows = rows.withColumn("half", half)
     if not with_text:
         return rows
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("v"), F.col("embedding").cast("array<double>").alias("e"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("e"))
+    texts = index(spark, sf_dir).select("domain", "i", F.coalesce(F.get("search_ids", F.lit(0)), F.get("report_ids", F.lit(0))).cast("long").alias("fact"))
+    known = vectors.count()
+    texts = texts.select("domain", "i", F.pmod(F.coalesce("fact", F.col("i").cast("long")), F.lit(known)).alias("v"))
     quality = quality_features(spark, sf_dir)
     quality = quality.select("domain", "i", F.array(*quality.columns[2:]).alias("q"))
-    return rows.withColumn("v", (F.col("i") * 7 % 500).cast("int")).join(vectors, "v").join(quality, ["domain", "i"]).drop("v")
+    return rows.join(texts.join(quality, ["domain", "i"]), ["domain", "i"]).join(vectors, "v").drop("v")
 
 
 @query()
@@ -52,7 +57,7 @@ def candidate_routes(spark, sf_dir):
     """Candidates, their permutation p-values and the gate's route per series and horizon."""
     windows = task_windows(spark, sf_dir, True)
     scores = ridge.residual_candidates(windows, ("semantic",))
-    nulls = ridge.null_scores(windows, "semantic", 39, chunk=13)
+    nulls = ridge.null_scores(windows, "semantic", DRAWS, chunk=50)
     keys = ["domain", "horizon"]
     p = R.empirical_p(nulls.join(scores.select(*keys, F.col("mse").alias("aligned")), keys), keys)
     gated = R.gate(scores.join(p, keys), keys)
@@ -63,12 +68,12 @@ def candidate_routes(spark, sf_dir):
 @query()
 def null_sensitivity(spark, sf_dir):
     """p-values of the frequency candidate under four nulls: rows or shifts moved, interaction scales kept or fitted anew."""
-    windows, keys = task_windows(spark, sf_dir, True).where(F.col("horizon") == STEPS[0]), ["domain", "horizon"]
+    windows, keys = task_windows(spark, sf_dir, True), ["domain", "horizon"]
     aligned = ridge.residual_candidates(windows, ("frequency",)).select(*keys, F.col("mse").alias("aligned"))
     kinds = [(mode, refit) for mode in ("row", "circular") for refit in (False, True)]
     out = None
     for mode, refit in kinds:
-        p = R.empirical_p(ridge.null_scores(windows, "frequency", 19, mode, refit, chunk=10).join(aligned, keys), keys)
+        p = R.empirical_p(ridge.null_scores(windows, "frequency", 39, mode, refit, chunk=10).join(aligned, keys), keys)
         p = p.select(*keys, F.lit(mode).alias("mode"), F.lit(refit).alias("refit"), "draws", rounded("p").alias("p"))
         out = p if out is None else out.unionByName(p)
     return out

@@ -29,12 +29,16 @@ def key_set_difference(spark, sf_dir):
     return both.agg(F.count_if(left & ~right).alias("only_left"), F.count_if(right & ~left).alias("only_right"), F.count_if(left & right).alias("shared"))
 
 
-@query("""SELECT lang AS domain, count(*) AS facts, sha256(string_agg(doc_id || chr(31) || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY lang""")
+@query("""WITH a AS (SELECT lang AS domain, doc_id // 1000 AS k, count(*) AS n, sha256(string_agg(doc_id || chr(31) || sha256(text), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY ALL), b AS (SELECT domain, k // 1000 AS k, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY k)) AS h FROM a GROUP BY domain, k // 1000)
+SELECT domain, CAST(sum(n) AS BIGINT) AS facts, sha256(string_agg(h, chr(10) ORDER BY k)) AS digest FROM b GROUP BY domain""")
 def corpus_digest(spark, sf_dir):
-    """One digest per domain over ids and texts in order, of their digests, so that no texts are gathered."""
-    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("domain"), "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("\x1f"), F.sha2("text", 256)).alias("line"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"])
-    return rows.groupBy("domain").agg(F.count("*").alias("facts"), F.sha2(F.array_join(ordered, "\n"), 256).alias("digest"))
+    """One digest per domain over ids and texts in order: of ids and digests of texts by the thousand, of a thousand such
+    digests, and of these. No group holds more than a thousand lines, but for the last, one line for a million ids."""
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("domain"), F.col("doc_id").alias("k"), F.lit(1).alias("n"), F.concat(F.col("doc_id").cast("string"), F.lit("\x1f"), F.sha2("text", 256)).alias("h"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "\n")
+    for _ in range(2):
+        rows = rows.groupBy("domain", F.floor(F.col("k") / 1000).alias("up")).agg(F.sum("n").alias("n"), F.sha2(ordered, 256).alias("h")).withColumnRenamed("up", "k")
+    return rows.groupBy("domain").agg(F.sum("n").alias("facts"), F.sha2(ordered, 256).alias("digest"))
 
 
 @query(f"""WITH {LONG_SQL}, v AS (SELECT *, CASE WHEN horizon = 24 THEN mse * 0.9 ELSE mse END AS other FROM e)

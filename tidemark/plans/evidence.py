@@ -30,21 +30,21 @@ def block_power(spark, sf_dir):
 
 @query(f"""WITH {LOSS_SQL}, pre AS (SELECT domain, i + 1 AS at, sum(d) OVER (PARTITION BY domain ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM loss UNION ALL SELECT DISTINCT domain, 0, 0.0 FROM loss),
 z AS (SELECT domain, count(*) AS n, avg(d) AS mean, least(24, count(*)) AS len FROM loss GROUP BY domain), k AS (SELECT *, CAST(ceil(n / len) AS BIGINT) AS blocks FROM z),
-g AS (SELECT domain, n, rep, ('0x' || substr(md5('2026|' || rep || '|' || b), 1, 8))::BIGINT % (n - len + 1) AS lo, CASE WHEN b < blocks THEN len ELSE n - (blocks - 1) * len END AS rows FROM k, range(1, 201) r(rep), range(1, 200) t(b) WHERE b <= blocks),
+g AS (SELECT domain, n, rep, ('0x' || substr(md5('2026|' || rep || '|' || b), 1, 8))::BIGINT % (n - len + 1) AS lo, CASE WHEN b < blocks THEN len ELSE n - (blocks - 1) * len END AS rows FROM k, range(1, 1001) r(rep), LATERAL (SELECT unnest(range(1, blocks + 1)) AS b) t),
 m AS (SELECT g.domain, rep, sum(h.s - l.s) / any_value(n) AS m FROM (SELECT *, lo + rows AS hi FROM g) g JOIN pre l ON l.domain = g.domain AND l.at = lo JOIN pre h ON h.domain = g.domain AND h.at = hi GROUP BY g.domain, rep)
 SELECT z.domain, n, round(any_value(z.mean), 6) + 0.0 AS mean, round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0 AS high FROM m JOIN z USING (domain) GROUP BY z.domain, n""")
 def block_bootstrap(spark, sf_dir):
-    out = R.block_bootstrap(losses(spark, sf_dir), ["domain"], 24, 200, 2026)
+    out = R.block_bootstrap(losses(spark, sf_dir), ["domain"], 24, 1000, 2026)
     return out.select("domain", "n", *(rounded(c).alias(c) for c in ("mean", "low", "high")))
 
 
-@query(f"""WITH {LOSS_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY domain) AS n FROM loss), m AS (SELECT domain, d, sh, (i - sh + n) % n AS moved FROM n CROSS JOIN range(4, 2000) r(sh) WHERE n >= 8 AND sh <= n - 4), s AS (SELECT a.domain, sh AS shift, avg(a.d * b.d) AS score FROM m a JOIN n b ON b.domain = a.domain AND b.i = a.moved GROUP BY a.domain, sh),
+@query(f"""WITH {LOSS_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY domain) AS n FROM loss), m AS (SELECT domain, i, n, d, draw, 4 + ('0x' || substr(md5('5|' || draw), 1, 8))::BIGINT % (n - 7) AS sh FROM n CROSS JOIN range(1, 1000) r(draw) WHERE n >= 8), s AS (SELECT a.domain, draw, avg(a.d * b.d) AS score FROM m a JOIN n b ON b.domain = a.domain AND b.i = (a.i - sh + a.n) % a.n GROUP BY a.domain, draw),
 al AS (SELECT domain, avg(d * d) AS aligned FROM loss GROUP BY domain) SELECT domain, count(*) AS draws, round((1 + count(*) FILTER (-score <= -aligned)) / (count(*) + 1), 6) AS p FROM s JOIN al USING (domain) GROUP BY domain""")
 def circular_null_p(spark, sf_dir):
-    """p of the aligned product of a series with itself against all its circular shifts beyond the guard."""
+    """p of the aligned product of a series with itself against 999 drawn circular shifts beyond the guard."""
     rows = losses(spark, sf_dir)
-    moved = R.circular_shifts(rows, ["domain"], 4).join(rows.select("domain", F.col("i").alias("moved"), F.col("d").alias("partner")), ["domain", "moved"])
-    nulls = moved.groupBy("domain", "shift").agg((-F.avg(F.col("d") * F.col("partner"))).alias("null_score"))
+    moved = R.circular_shifts(rows, ["domain"], 4, 999, 5).join(rows.select("domain", F.col("i").alias("moved"), F.col("d").alias("partner")), ["domain", "moved"])
+    nulls = moved.groupBy("domain", "draw").agg((-F.avg(F.col("d") * F.col("partner"))).alias("null_score"))
     aligned = rows.groupBy("domain").agg((-F.avg(F.col("d") * F.col("d"))).alias("aligned"))
     return R.empirical_p(nulls.join(aligned, "domain"), ["domain"]).select("domain", "draws", F.round("p", 6).alias("p"))
 

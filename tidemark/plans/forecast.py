@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.numbers import int_frac
 from tidemark.operators import forecast as M, series as S
@@ -21,12 +21,17 @@ e AS (SELECT domain, horizon, model, avg((prediction - actual) ** 2) AS mse, avg
 
 
 def test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long table of the forecasts of every test origin. One window of the longest horizon serves the shorter ones."""
+    """Long table of the forecasts of every test origin."""
+    return predictions_between(spark, sf_dir, int_frac(F.col("n"), 0.8), F.col("n"))
+
+
+def predictions_between(spark: SparkSession, sf_dir: str, lo: Column, hi: Column) -> DataFrame:
+    """Forecasts of every origin whose target lies in [lo, hi). One window of the longest horizon serves the shorter ones."""
     rows = train_scaled(spark, sf_dir)
     longest = max(HORIZONS)
     w = S.W.partitionBy("domain").orderBy("i")
     got = rows.select("domain", "i", "n", F.collect_list("z").over(w.rowsBetween(-INPUT, -1)).alias("x"), F.collect_list("z").over(w.rowsBetween(0, longest - 1)).alias("ahead"))
-    got = got.where((F.size("x") == INPUT) & (F.col("i") >= int_frac(F.col("n"), 0.8))).withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS)))).where(F.col("i") + F.col("horizon") <= F.col("n"))
+    got = got.where((F.size("x") == INPUT) & (F.col("i") >= lo)).withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS)))).where(F.col("i") + F.col("horizon") <= hi)
     got = got.withColumn("y", F.slice("ahead", F.lit(1), F.col("horizon")))
     mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / INPUT
     models = {"Last": M.persistence(F.col("x"), F.col("horizon")), "SeasonalNaive": M.seasonal_naive(F.col("x"), F.col("horizon"), SEASON), "WindowMean": F.array_repeat(mean, F.col("horizon"))}

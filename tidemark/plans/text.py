@@ -150,7 +150,7 @@ def weighted_embedding(spark, sf_dir):
 def encode_split(spark, sf_dir):
     """Facts whose vector is known already, by id, and those still to encode."""
     docs, known = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").select("doc_id").distinct()
-    split = docs.join(known, "doc_id", "left_semi").withColumn("old", F.lit(True)).unionByName(docs.join(known, "doc_id", "left_anti").withColumn("old", F.lit(False)))
+    split = docs.join(known.withColumn("old", F.lit(True)), "doc_id", "left").withColumn("old", F.coalesce("old", F.lit(False)))
     return split.groupBy("source").agg(F.count("*").alias("facts"), F.count_if("old").alias("reused"), F.count_if(~F.col("old")).alias("to_encode"))
 
 
@@ -169,9 +169,12 @@ def tfidf(spark, sf_dir):
     plain = F.lower(F.translate("text", "áéíóúñäöüàèçêÉÁÍÓÚÑÄÖÜÀÈÇÊ", "aeiounaouaeceEAIOUNAOUAECE"))
     tokens = F.regexp_extract_all(plain, F.lit("([a-z0-9]{2,})"), F.lit(1))
     pairs = lambda t: F.when(F.size(t) > 1, F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    terms = docs.withColumn("t", tokens).select("doc_id", F.explode(F.concat("t", pairs(F.col("t")))).alias("term"))
-    tf = terms.groupBy("doc_id", "term").agg(F.count("*").alias("c"))
-    vocabulary = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("total")).where(F.col("df") >= MIN_DF).orderBy(F.desc("total"), "term").limit(TERMS)
-    n = docs.agg(F.count("*").alias("n"))
-    weighed = tf.join(F.broadcast(vocabulary), "term").join(F.broadcast(n)).withColumn("x", (1 + F.log("c")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    all_terms = docs.withColumn("t", tokens).select("doc_id", F.concat("t", pairs(F.col("t"))).alias("all"))
+    # The vocabulary first, of counts that are combined before their shuffle: so only its own terms are ever counted by document.
+    once = all_terms.select(F.explode(F.array_distinct("all")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= MIN_DF)
+    total = all_terms.select(F.explode("all").alias("term")).groupBy("term").agg(F.count("*").alias("total"))
+    vocabulary = once.join(total, "term").orderBy(F.desc("total"), "term").limit(TERMS)
+    n = docs.count()
+    tf = all_terms.select("doc_id", F.explode("all").alias("term")).join(F.broadcast(vocabulary), "term").groupBy("doc_id", "term").agg(F.count("*").alias("c"), F.first("df").alias("df"))
+    weighed = tf.withColumn("x", (1 + F.log("c")) * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
     return weighed.groupBy("doc_id").agg(F.count("*").alias("terms"), rounded(F.max("x") / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("top_weight"), F.max_by("term", F.struct("x", "term")).alias("top_term"))

@@ -45,23 +45,47 @@ def dated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("event_id").alias("fact_id"), domain.alias("domain"), source.alias("source"), F.col("ts").cast("timestamp").alias("end_ts"), F.col("props").alias("fact"))
 
 
+#: The most columns of a file that has a header of its own.
+MOST_COLUMNS = 256
+
+
+def read_untyped_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, file_row, cells) of CSV files, each with a header of its own: cells maps its columns to texts, all untyped.
+
+    A file is one split, so that file_row, its order of lines, is the order in it. Empty cells are null; cells beyond a
+    file's header, and a file without lines, give nothing. A file of more columns than MOST_COLUMNS fails the job.
+    """
+    names = [f"c{k}" for k in range(MOST_COLUMNS + 1)]
+    raw = spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", False).option("multiLine", True).option("escape", '"').csv(paths)
+    rows = raw.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("file_row"), F.array(*names).alias("values"))
+    head = rows.groupBy("file").agg(F.min(F.struct("file_row", "values")).alias("h"))
+    head = head.select("file", F.col("h.file_row").alias("_first"), F.when(F.get("h.values", F.lit(MOST_COLUMNS)).isNull(), F.filter("h.values", lambda v: v.isNotNull())).otherwise(F.raise_error(F.lit("too many columns"))).alias("_names"))
+    body = rows.join(head, "file").where(F.col("file_row") > F.col("_first"))
+    return body.select("file", "file_row", F.map_from_arrays("_names", F.slice("values", F.lit(1), F.size("_names"))).alias("cells"))
+
+
 def read_series_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(domain, start_ts, end_ts, ot, channels, file_row) of series files: domain is the folder, channels the other columns.
 
-    Every column is read as text and coerced, so that one odd cell makes one null. All files must have the same header.
-    A file is one split, so that file_row, its order of lines, is the order in it.
+    Every cell is read as text and coerced, so that one odd cell makes one null. Files may differ in their columns: the
+    first name of START_COLUMNS that a file has is its start. A file without one, or without OT, raises ValueError.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths)
-    start = next((c for c in START_COLUMNS if c in raw.columns), None)
-    if start is None or "OT" not in raw.columns:
-        raise ValueError(f"a series needs one of {START_COLUMNS} and OT; found {raw.columns}")
-    end = "end_date" if "end_date" in raw.columns else start
-    others = [c for c in raw.columns if c not in (start, end, "OT")]
-    channels = F.create_map(*(x for c in others for x in (F.lit(c), coerce(F.col(c))))) if others else F.create_map().cast("map<string,double>")
-    domain = F.element_at(F.split(F.input_file_name(), "/"), -2)
-    return raw.select(
-        domain.alias("domain"), F.try_to_timestamp(F.col(start)).alias("start_ts"), F.try_to_timestamp(F.col(end)).alias("end_ts"), coerce(F.col("OT")).alias("ot"), channels.alias("channels"), F.monotonically_increasing_id().alias("file_row")
-    )
+    raw = read_untyped_csv(spark, paths)
+    has = lambda c: F.array_contains(F.map_keys("cells"), c)
+    some_start = F.exists(F.map_keys("cells"), lambda k: k.isin(*START_COLUMNS))
+    lacking = raw.where(~some_start | ~has("OT")).select("file", F.map_keys("cells").alias("names")).first()
+    if lacking:
+        raise ValueError(f"a series needs one of {START_COLUMNS} and OT; {lacking['file']} has {lacking['names']}")
+    cell = lambda c: F.element_at("cells", F.lit(c))
+    start = F.when(F.lit(False), F.lit(None).cast("string"))
+    for c in START_COLUMNS:
+        start = start.when(has(c), cell(c))
+    # The names that are no channels: the start that counts, the end, the target.
+    own = F.element_at(F.filter(F.array(*map(F.lit, START_COLUMNS)), lambda c: F.array_contains(F.map_keys("cells"), c)), 1)
+    end = F.when(has("end_date"), cell("end_date")).otherwise(start)
+    channels = F.transform_values(F.map_filter("cells", lambda k, v: (k != own) & ~k.isin("OT", "end_date")), lambda k, v: coerce(v))
+    domain = F.element_at(F.split("file", "/"), -2)
+    return raw.select(domain.alias("domain"), F.try_to_timestamp(start).alias("start_ts"), F.try_to_timestamp(end).alias("end_ts"), coerce(cell("OT")).alias("ot"), channels.alias("channels"), "file_row")
 
 
 def read_text_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
