@@ -1,6 +1,7 @@
 """Operators over documents: odd inputs have defined results, and results equal brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -547,6 +548,25 @@ def test_quotation_counts_less():
     assert abuse > quoted > use.score("nothing") and typo > use.score("nothing")
 
 
+def test_features_equal_plain_counting():
+    """Hits, their edits and their context windows, counted word by word with plain edit distances."""
+    rng = random.Random(11)
+    terms = (("idiot", 1.0), ("scum", 0.5), ("worthless", 0.8))
+    use = toxicity.Scorer(toxicity.Model(terms, (-2.0, 4.0, 1.0)))
+    pool = ["idiot", "idi0t", "idiots", "scum", "scumm", "worthles", "worthless", "plain", "house", "tree", *sorted(toxicity.REPORTING)[:3], *sorted(toxicity.ADDRESS)[:3]]
+    for _ in range(400):
+        words = rng.choices(pool, k=rng.randint(1, 25))
+        total = 0.0
+        for i, w in enumerate(words):
+            found = min(((distance(w, t), k) for k, (t, _) in enumerate(terms) if distance(w, t) <= toxicity.edits_allowed(t)), default=None)
+            if found:
+                before, after = words[max(0, i - toxicity.CONTEXT) : i], words[i + 1 : i + 1 + toxicity.CONTEXT]
+                quoted = any(x in toxicity.REPORTING for x in before) and not any(x in toxicity.ADDRESS for x in before + after)
+                total += terms[found[1]][1] * (toxicity.QUOTED if quoted else 1) / (1 + found[0])
+        want = (math.log1p(total), min(1.0, 20 * total / len(words))) if total else (0.0, 0.0)
+        assert np.allclose(use.features(" ".join(words)), want), words
+
+
 def test_toxicity_held_out(spark, none):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))

@@ -36,10 +36,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def as_parquet(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read that: for large tables, of which later jobs read few columns."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    """Write df as Parquet in the shared folder and read that: for large tables, of which later jobs read few columns.
+
+    The table is the session's: it is removed when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.parquet(path)
 
 
 def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:

@@ -129,7 +129,8 @@ class Automaton:
 
 
 class Scorer:
-    REMEMBERED = 300_000
+    #: Distinct words that a task remembers, each of at most so many characters.
+    REMEMBERED, REMEMBERED_LENGTH = 300_000, 48
 
     def __init__(self, model: Model):
         self.model = model
@@ -140,9 +141,11 @@ class Scorer:
         try:
             return self.words[raw]
         except KeyError:
-            if len(self.words) >= self.REMEMBERED:
-                self.words.clear()
-            found = self.words[raw] = self.automaton.match(raw.strip(STRIP))
+            found = self.automaton.match(raw.strip(STRIP))
+            if len(raw) <= self.REMEMBERED_LENGTH:
+                if len(self.words) >= self.REMEMBERED:
+                    self.words.clear()
+                self.words[raw] = found
             return found
 
     def features(self, text: str | None) -> tuple[float, ...]:
@@ -291,7 +294,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every whole text. Null and empty texts get the score of a text without hits."""
+    """(doc_id, held_out, score, predicted) of every whole text. Null and empty texts get the score of a text without hits.
+
+    Repeated rows are kept and get equal scores. A text of any length is read whole; words that tie between terms go to the
+    nearest, the first of equals. A null doc_id gives a null held_out.
+    """
 
     def run(rows: Iterator[dict]) -> Iterator[dict]:
         use = Scorer(model)
