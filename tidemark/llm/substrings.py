@@ -30,7 +30,7 @@ from tidemark.llm.common import as_parquet, cut_lineage, map_rows
 #: Words of a window, and of an anchor and a phrase.
 WINDOW, PHRASE = 50, 10
 #: Bytes of text of a shard, about: with their phrases, what a task holds.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 512 << 10
 
 
 def split(text: str | None) -> list[bytes]:
