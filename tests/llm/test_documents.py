@@ -217,6 +217,45 @@ def test_simhash_odd(odd, none):
     assert simhash.dedup(odd).where("doc_id is null").count() == 1
 
 
+def test_similar_texts_are_found_and_others_stay(spark):
+    """Against exact Jaccard similarity of five-word shingles: 0.8 or more links, and less than a half never does."""
+    rng = random.Random(12)
+    texts, base = {}, [[f"w{rng.randrange(3000)}" for _ in range(rng.choice((60, 150, 400)))] for _ in range(60)]
+    for k, words in enumerate(base):
+        texts[2 * k] = " ".join(words)
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, round(len(words) * rng.choice((0.005, 0.01, 0.02, 0.2))))):
+            other[at] = "changed"
+        texts[2 * k + 1] = " ".join(other)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    shingles = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in texts.items()}
+    alike = {k: len(shingles[2 * k] & shingles[2 * k + 1]) / len(shingles[2 * k] | shingles[2 * k + 1]) for k in range(len(base))}
+    assert all(got[2 * k + 1] == (2 * k if v >= 0.8 else 2 * k + 1) for k, v in alike.items() if v >= 0.8 or v < 0.5)
+    assert all(got[2 * k] == 2 * k for k in alike) and sum(v >= 0.8 for v in alike.values()) > 20 and sum(v < 0.5 for v in alike.values()) > 5
+    assert {r["doc_id"] for r in simhash.dedup_similar(docs).collect()} == set(got.values())
+
+
+def test_long_fingerprints_are_compared_in_chunks(spark):
+    rng = np.random.default_rng(2)
+    fps = np.repeat(rng.integers(0, 2**63, (8, 4), dtype=np.uint64), 30, axis=0)
+    fps ^= np.uint64(1) << rng.integers(0, 63, fps.shape, dtype=np.uint64)
+    query, place = simhash.within(fps, simhash.planes(fps), len(fps), 5)
+    want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= 5}
+    assert set(zip(query.tolist(), place.tolist())) == want
+    keyed = spark.createDataFrame([(0, 7, f"id {k:03}", row) for k, row in enumerate(fps.view(np.int64).tolist())], "t int, key long, id string, fp array<long>")
+    for chunk in (4096, 16):
+        found = connected_components(simhash.compared(keyed, 8, chunk)).groupBy("component").count().collect()
+        assert {r["component"]: r["count"] for r in found} == {f"id {k:03}": 30 for k in range(0, 240, 30)}
+
+
+def test_similar_odd(odd, none):
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(odd).collect()}
+    assert got[2] == got[3] == got[4] == 2 and got[5] == got[1] == 1 and got[None] is None and got[7] == 7 and got[8] == 8
+    assert simhash.similar(none).count() == 0 and simhash.dedup_similar(odd).columns == odd.columns
+    assert simhash.dedup_similar(odd).where("doc_id is null").count() == 1
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)]

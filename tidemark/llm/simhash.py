@@ -3,6 +3,9 @@
 Two fingerprints of 64 bits that differ in at most r bits agree on at least m - r of m blocks of bits. So every pair within
 the radius meets in one of the C(m, m - r) tables that are keyed by m - r blocks. Within a key, fingerprints are compared
 in bit planes: plane b holds bit b of 64 fingerprints in one machine word.
+
+Key tables serve small radii. For similar texts, which differ in more bits than any exact key could allow for, fingerprints
+are longer, and tables are keyed by bands of the shingles' least hashes instead; the comparison is the same.
 """
 
 from __future__ import annotations
@@ -24,27 +27,56 @@ SEED = 42
 CHUNK = 4096
 #: Words of planes that one step compares with queries, all queries taken together: the memory of a step.
 PAIRED_WORDS = 1 << 15
+#: Long fingerprints have so many words of 64 bits.
+LANES = 4
+#: Bands of least hashes, and hashes in a band: texts of Jaccard similarity 0.8 share a band with a chance of 0.9998.
+BANDS, IN_BAND = 12, 3
 _SHIFTS = np.arange(BITS, dtype=np.uint64)
+#: Odd factors, which turn a shingle's hash into one per least hash and per lane.
+_FACTORS = np.array([xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(BANDS * IN_BAND + LANES)], np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """The 64-bit fingerprint of a whole text: lower case for A-Z, a bit is 1 if set in over half the shingles' hashes."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a whole text, repeats included, lower case for A-Z; of all words if they are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - shingle + 1
     digest, seed = xxhash.xxh64_intdigest, SEED
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if set in over half the hashes."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(((ones * 2 > n).astype(np.uint64) << _SHIFTS).sum())
+    return int(((ones * 2 > len(hashes)).astype(np.uint64) << _SHIFTS).sum())
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """The 64-bit fingerprint of a whole text; zero if it has no word."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def sketch(text: str | None, shingle: int = 5) -> tuple[list[int], list[int]]:
+    """(long fingerprint in words of 64 bits, keys of the bands), as signed numbers. Without a word all of them are zero."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return [0] * LANES, [0] * BANDS
+    lanes = [majority(hashes)]
+    for factor in _FACTORS[BANDS * IN_BAND + 1 :]:
+        turned = (hashes ^ (hashes >> np.uint64(32))) * factor
+        lanes.append(majority((turned ^ (turned >> np.uint64(29))) * factor))
+    least = np.array([(hashes * factor).min() for factor in _FACTORS[: BANDS * IN_BAND]], np.uint64).reshape(BANDS, IN_BAND)
+    signed = lambda v: v - (1 << BITS) if v >> 63 else v
+    return [signed(v) for v in lanes], [signed(xxhash.xxh64_intdigest(row.tobytes(), SEED)) for row in least]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -58,11 +90,25 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
+def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, fp array<long>, keys array<long>): a long fingerprint and the keys of its bands per document."""
+
+    def run(rows: Iterator[dict]) -> Iterator[dict]:
+        for row in rows:
+            fp, keys = sketch(row["text"], shingle)
+            yield {"doc_id": row["doc_id"], "fp": fp, "keys": keys}
+
+    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp array<long>, keys array<long>")
+
+
 def planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes of fingerprints: row b holds bit b of each, 64 to a word; the last word is filled with the first one."""
+    """Bit planes of fingerprints: row b holds bit b of each, 64 to a word; the last word is filled with the first one.
+
+    A fingerprint is a number of 64 bits, or a row of such numbers.
+    """
     n = len(fps)
-    padded = np.concatenate((fps, np.repeat(fps[:1], -n % BITS)))
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    padded = np.ascontiguousarray(np.concatenate((fps, np.repeat(fps[:1], -n % BITS, axis=0))))
+    bits = np.unpackbits(padded.view(np.uint8).reshape(len(padded), -1), axis=1, bitorder="little")
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
 
 
@@ -80,12 +126,12 @@ def within(queries: np.ndarray, stored: np.ndarray, n: int, radius: int) -> tupl
     counts = [np.zeros(len(query), np.uint64) for _ in range(width)]
     over = np.zeros(len(query), np.uint64)
     everything = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for bit in range(BITS):
+    for bit in range(len(stored)):
         carry = stored[bit, word] ^ masks[bit, query]
         for j in range(width):
             counts[j], carry = counts[j] ^ carry, counts[j] & carry
         over |= carry
-        if bit % 8 == 7 and bit < BITS - 1:
+        if bit % 8 == 7 and bit < len(stored) - 1:
             going = _beyond(counts, over, radius) != everything
             if not going.all():
                 query, word, over = query[going], word[going], over[going]
@@ -101,7 +147,8 @@ def within(queries: np.ndarray, stored: np.ndarray, n: int, radius: int) -> tupl
 
 def planes_of_lanes(queries: np.ndarray) -> np.ndarray:
     """Row b has, per query, all ones or all zeros, as its bit b is."""
-    return (queries[None, :] >> _SHIFTS[:, None] & np.uint64(1)) * np.uint64(0xFFFFFFFFFFFFFFFF)
+    bits = queries.reshape(len(queries), -1, 1) >> _SHIFTS & np.uint64(1)
+    return bits.reshape(len(queries), -1).T * np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _beyond(counts: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
@@ -117,9 +164,9 @@ def _beyond(counts: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarr
 
 
 def block_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is within the radius: among left, or between left and right. Fingerprints are unsigned.
+    """Links, as places in left and then right, that join what is within the radius: among left, or between left and right.
 
-    Instead of all pairs, each fingerprint is linked with the least that the pairs of this block join it to.
+    Fingerprints are unsigned, one or more words of 64 bits each. Instead of all pairs, each fingerprint is linked with the least that the pairs of this block join it to.
     """
     everything = left if right is None else np.concatenate((left, right))
     stored, n, shift = planes(everything if right is None else right), len(left if right is None else right), 0 if right is None else len(left)
@@ -130,7 +177,7 @@ def block_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tupl
         query, place = query + at, place + shift
         root = join_roots(root, query[query != place], place[query != place])
     far = np.nonzero(root != np.arange(len(root)))[0]
-    return everything[far], everything[root[far]]
+    return far, root[far]
 
 
 def tables_for(n: int, radius: int) -> list[int]:
@@ -152,20 +199,27 @@ def _signed(mask: int) -> Column:
 
 
 def links(fps: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links between distinct fingerprints of column fp, enough to join all that are within the radius.
-
-    Keys of one fingerprint are left out after a count. A key of more than a chunk is dealt to several by a hash, and
-    each pair of its chunks is compared by itself: rows are multiplied by the number of chunks, never by those in a key.
-    """
+    """(a, b): links between distinct fingerprints of column fp, enough to join all that are within the radius."""
     distinct = cut_lineage(fps.select("fp").where("fp is not null").distinct())
     keys = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(_signed(mask)).alias("key")) for k, mask in enumerate(tables_for(distinct.count(), radius))))
-    keyed = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.*")
+    keyed = distinct.select("fp", F.explode(keys).alias("k")).select("k.*", F.col("fp").alias("id"), "fp")
+    return compared(keyed, radius, chunk)
+
+
+def compared(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): links between ids, enough to join all that share a key of a table and whose fingerprints are within the radius.
+
+    keyed: t, key, id, fp (long or array<long>). Keys of one row are left out after a count. A key of more than a chunk is
+    dealt to several by a hash, and each pair of its chunks is compared by itself: rows are multiplied by the number of
+    chunks, never by those in a key.
+    """
+    id_type = dict(keyed.dtypes)["id"]
     counts = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
-    dealt = keyed.join(counts, ["t", "key"]).withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    dealt = keyed.join(counts, ["t", "key"]).withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     # For chunk c: the pairs (c, c), (c, other) and (other, c), the smaller first. A chunk by itself is compared once.
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    paired = paired.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
+    paired = paired.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "fp")
     group = ["t", "key", "i", "j"]
     ready = paired.repartition(*group).sortWithinPartitions(*group, "own")
 
@@ -174,19 +228,22 @@ def links(fps: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
 
         def out(frame: pd.DataFrame) -> pd.DataFrame:
             ids = frame[group].to_numpy()
-            fps, own = frame["fp"].to_numpy(np.int64).view(np.uint64), frame["own"].to_numpy()
+            fps, own, named = np.array(frame["fp"].tolist(), np.int64).view(np.uint64), frame["own"].to_numpy(), frame["id"].to_numpy()
             starts = np.concatenate(([0], np.nonzero((ids[1:] != ids[:-1]).any(axis=1))[0] + 1, [len(frame)]))
-            found = []
+            sides = [], []
             for a, b in zip(starts.tolist(), starts[1:].tolist()):
+                found = ()
                 i, j = ids[a, 2], ids[a, 3]
                 if i == j:
-                    found.append(block_links(fps[a:b], None, radius))
+                    found = block_links(fps[a:b], None, radius)
                 else:
                     cut = a + int((own[a:b] == i).sum())  # sorted by own, and i < j
                     if a < cut < b:
-                        found.append(block_links(fps[a:cut], fps[cut:b], radius))
-            sides = [np.concatenate([f[k] for f in found]).view(np.int64) if found else np.zeros(0, np.int64) for k in (0, 1)]
-            return pd.DataFrame({"a": sides[0], "b": sides[1]})
+                        found = block_links(fps[a:cut], fps[cut:b], radius)
+                for side, places in zip(sides, found):
+                    side.append(named[a:b][places])
+            a, b = (np.concatenate(side) if side else named[:0] for side in sides)
+            return pd.DataFrame({"a": a, "b": b})
 
         for batch in batches:
             held.append(batch)
@@ -199,7 +256,7 @@ def links(fps: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
         if held and len(held[0]):
             yield out(held[0])
 
-    return ready.mapInPandas(run, "a long, b long").distinct()
+    return ready.mapInPandas(run, f"a {id_type}, b {id_type}").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -224,5 +281,30 @@ def dedup(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
 
     Rows that repeat that doc_id all stay, and so do rows without a doc_id, which no group can name.
     """
-    extra = near_duplicates(docs, radius, shingle).where("doc_id != component_id").select(F.col("doc_id").alias("_extra")).distinct()
+    return _without_extra(docs, near_duplicates(docs, radius, shingle))
+
+
+def _without_extra(docs: DataFrame, found: DataFrame) -> DataFrame:
+    extra = found.where("doc_id != component_id").select(F.col("doc_id").alias("_extra")).distinct()
     return docs.join(extra, docs["doc_id"] == extra["_extra"], "left_anti")
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id) per document, which links join to the smallest doc_id they reach.
+
+    Two texts link if they share a band of least hashes and the cosine of their shingle counts, as their long fingerprints
+    tell it, is the similarity or more: the share of bits that differ is the angle as a part of a half turn. Texts without
+    a word are alike. A row without a doc_id has the component of the same sketch, null if there is none, and joins none.
+    """
+    radius = int(np.arccos(similarity) / np.pi * BITS * LANES)
+    found = cut_lineage(sketches(docs, shingle))
+    classes = cut_lineage(found.groupBy("fp", "keys").agg(F.min("doc_id").alias("least")).where("least is not null"))
+    keyed = classes.select(F.posexplode("keys").alias("t", "key"), F.col("least").alias("id"), "fp")
+    joined = connected_components(compared(keyed, radius))
+    of = classes.join(joined, classes["least"] == joined["id"], "left").select("fp", "keys", F.coalesce("component", "least").alias("component_id"))
+    return found.join(of, ["fp", "keys"], "left").select("doc_id", "component_id")
+
+
+def dedup_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """One document of each group of similar texts, chosen as dedup does."""
+    return _without_extra(docs, similar(docs, similarity, shingle))
