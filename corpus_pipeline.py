@@ -12,7 +12,7 @@ from tidemark.llm import bpe, mixing, pii, quality, simhash
 from tidemark.llm.common import as_parquet
 
 #: Parameters of the stages.
-SHINGLE = 5
+SHINGLE, SIMILARITY = 5, 0.8
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest doc_id. Shingles have five words."""
-    return simhash.dedup(docs, shingle=SHINGLE)
+    """One document of each SimHash group stays: the one with the smallest doc_id. Shingles have five words, similarity is 0.8."""
+    return simhash.dedup_similar(docs, SIMILARITY, SHINGLE)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
