@@ -113,15 +113,21 @@ def planes(fps: np.ndarray) -> np.ndarray:
 
 
 def within(queries: np.ndarray, stored: np.ndarray, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, place) of queries and the n fingerprints stored as planes that differ in at most radius bits.
+    """Pairs (query, place) of queries and the n fingerprints stored as planes that differ in at most radius bits."""
+    words = stored.shape[1]
+    query, word, lane = _hits(queries, np.repeat(np.arange(len(queries)), words), np.tile(np.arange(words), len(queries)), stored, radius)
+    place = word * BITS + lane
+    return query[place < n], place[place < n]
+
+
+def _hits(queries: np.ndarray, query: np.ndarray, word: np.ndarray, stored: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, word, lane) of the lanes within the radius, for queries[query] against the words of planes beside them.
 
     A pair of a query and a word of planes has carry-save counters: counts[j] holds bit j of its 64 distances, and over the
     lanes that went beyond the counters. Planes are added in turn; words all of whose lanes are beyond the radius are
     abandoned.
     """
     width = (radius + 1).bit_length()  # 2 ** width > radius + 1, so that an overflow means beyond the radius
-    words = stored.shape[1]
-    query, word = np.repeat(np.arange(len(queries)), words), np.tile(np.arange(words), len(queries))
     masks = planes_of_lanes(queries)
     counts = [np.zeros(len(query), np.uint64) for _ in range(width)]
     over = np.zeros(len(query), np.uint64)
@@ -141,8 +147,7 @@ def within(queries: np.ndarray, stored: np.ndarray, n: int, radius: int) -> tupl
     inside = ~_beyond(counts, over, radius)
     lanes = np.unpackbits(inside.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     row, lane = np.nonzero(lanes)
-    place = word[row] * BITS + lane
-    return query[row][place < n], place[place < n]
+    return query[row], word[row], lane
 
 
 def planes_of_lanes(queries: np.ndarray) -> np.ndarray:
@@ -180,6 +185,25 @@ def block_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tupl
     return far, root[far]
 
 
+def small_links(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as places, within each of many groups of 64 fingerprints at most: a group has one word of planes.
+
+    Groups are compared side by side, so that the steps of the counters are shared by many.
+    """
+    root = np.arange(len(fps))
+    for at in range(0, len(starts), 1024):
+        start, size = starts[at : at + 1024, None], sizes[at : at + 1024, None]
+        lanes = np.arange(BITS)[None, :]
+        places = start + np.where(lanes < size, lanes, 0)
+        group, own = np.nonzero(lanes < size)
+        mine = places[group, own]
+        query, word, lane = _hits(fps[mine], np.arange(len(mine)), group, planes(fps[places.ravel()]), radius)
+        a, b = mine[query], places[word, lane]
+        root = join_roots(root, a[a != b], b[a != b])
+    far = np.nonzero(root != np.arange(len(root)))[0]
+    return far, root[far]
+
+
 def tables_for(n: int, radius: int) -> list[int]:
     """Masks of the key bits of each table, for n distinct fingerprints.
 
@@ -230,8 +254,10 @@ def compared(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
             ids = frame[group].to_numpy()
             fps, own, named = np.array(frame["fp"].tolist(), np.int64).view(np.uint64), frame["own"].to_numpy(), frame["id"].to_numpy()
             starts = np.concatenate(([0], np.nonzero((ids[1:] != ids[:-1]).any(axis=1))[0] + 1, [len(frame)]))
-            sides = [], []
-            for a, b in zip(starts.tolist(), starts[1:].tolist()):
+            sizes, small = np.diff(starts), np.diff(starts) <= BITS
+            small &= ids[starts[:-1], 2] == ids[starts[:-1], 3]
+            sides = tuple([named[places]] for places in small_links(fps, starts[:-1][small], sizes[small], radius))
+            for a, b in zip(starts[:-1][~small].tolist(), starts[1:][~small].tolist()):
                 found = ()
                 i, j = ids[a, 2], ids[a, 3]
                 if i == j:
@@ -242,7 +268,7 @@ def compared(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
                         found = block_links(fps[a:cut], fps[cut:b], radius)
                 for side, places in zip(sides, found):
                     side.append(named[a:b][places])
-            a, b = (np.concatenate(side) if side else named[:0] for side in sides)
+            a, b = map(np.concatenate, sides)
             return pd.DataFrame({"a": a, "b": b})
 
         for batch in batches:
