@@ -218,7 +218,7 @@ def test_simhash_odd(odd, none):
 
 
 def test_similar_texts_are_found_and_others_stay(spark):
-    """Against exact Jaccard similarity of five-word shingles: 0.8 or more links, and less than a half never does."""
+    """Against exact Jaccard similarity of five-word shingles: 0.8 or more links, and nothing less does."""
     rng = random.Random(12)
     texts, base = {}, [[f"w{rng.randrange(3000)}" for _ in range(rng.choice((60, 150, 400)))] for _ in range(60)]
     for k, words in enumerate(base):
@@ -231,7 +231,7 @@ def test_similar_texts_are_found_and_others_stay(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
     shingles = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in texts.items()}
     alike = {k: len(shingles[2 * k] & shingles[2 * k + 1]) / len(shingles[2 * k] | shingles[2 * k + 1]) for k in range(len(base))}
-    assert all(got[2 * k + 1] == (2 * k if v >= 0.8 else 2 * k + 1) for k, v in alike.items() if v >= 0.8 or v < 0.5)
+    assert all(got[2 * k + 1] == (2 * k if v >= 0.8 else 2 * k + 1) for k, v in alike.items())
     assert all(got[2 * k] == 2 * k for k in alike) and sum(v >= 0.8 for v in alike.values()) > 20 and sum(v < 0.5 for v in alike.values()) > 5
     assert {r["doc_id"] for r in simhash.dedup_similar(docs).collect()} == set(got.values())
 
@@ -249,6 +249,31 @@ def test_long_fingerprints_are_compared_in_chunks(spark):
         assert {r["component"]: r["count"] for r in found} == {f"id {k:03}": 30 for k in range(0, 240, 30)}
 
 
+@pytest.mark.parametrize("chunk, chunk_shingles", [(4096, 1 << 21), (7, 1 << 21), (4096, 300)])
+def test_alike_texts_of_a_component_equal_all_pairs(spark, chunk, chunk_shingles):
+    """Near copies of few texts, copies of copies among them: every pair against every other by sets of words."""
+    rng, texts = random.Random(8), {}
+    for k in range(60):
+        words = texts[rng.randrange(k)].split() if k % 20 else [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for at in rng.sample(range(len(words)), rng.randint(0, 4)):
+            words[at] = f"x{rng.randrange(5000)}"
+        texts[k] = " ".join(words)
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in texts.items()}
+    root = {k: k for k in texts}
+    for _ in root:
+        for a in root:
+            for b in root:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    near = spark.createDataFrame([(k, 0) for k in texts], "id long, component long")
+    sizes = spark.createDataFrame([(k, len(v)) for k, v in sets.items()], "id long, n long")
+    found = connected_components(simhash.verified(docs, near, sizes, 0.8, 5, chunk, chunk_shingles)).collect()
+    got = {k: k for k in texts} | {r["id"]: r["component"] for r in found}
+    assert got == root and 3 < len(set(root.values())) < 60
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()} == root
+
+
 def test_similar_odd(odd, none):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(odd).collect()}
     assert got[2] == got[3] == got[4] == 2 and got[5] == got[1] == 1 and got[None] is None and got[7] == 7 and got[8] == 8

@@ -7,7 +7,6 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -243,16 +242,9 @@ def plain_quality(text):
     return "\n".join(x for x in lines if not plain_line_fails(x))
 
 
-def plain_fingerprint(text):
+def plain_shingles(text):
     words = plain_words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
-    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(max(1, len(words) - 4))] if words else []
-    whole, out = (1 << 64) - 1, 0
-    for lane in range(4):
-        factor = xxhash.xxh64_intdigest(str(36 + lane), 42) | 1
-        turned = hashes if lane == 0 else [(h ^ h >> 32) * factor & whole for h in hashes]
-        turned = turned if lane == 0 else [(h ^ h >> 29) * factor & whole for h in turned]
-        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in turned) > len(turned)) << 64 * lane
-    return out
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
 def plain_targets(sizes):
@@ -272,13 +264,13 @@ def test_pipeline_equals_plain_python(spark):
     sf = "/root/testdata/sf0.001"
     rows = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     kept = [r | {"text": clean} for r in rows if (clean := plain_quality(r["text"] or "")) is not None]
-    prints, root = {r["doc_id"]: plain_fingerprint(r["text"]) for r in kept}, {r["doc_id"]: r["doc_id"] for r in kept}
+    sets, root = {r["doc_id"]: plain_shingles(r["text"]) for r in kept}, {r["doc_id"]: r["doc_id"] for r in kept}
     changed = True
     while changed:
         changed = False
         for a in root:
             for b in root:
-                if root[b] < root[a] and bin(prints[a] ^ prints[b]).count("1") <= 52:  # of 256 bits: a cosine of 0.8
+                if root[b] < root[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     root[a], changed = root[b], True
     single = [r | {"text": pii.replace(r["text"], pii.DEFAULT_KEY.encode())[0]} for r in kept if root[r["doc_id"]] == r["doc_id"]]
     # Each source's documents follow one another in the order of a hash, run after run, until its target is met.

@@ -5,11 +5,13 @@ the radius meets in one of the C(m, m - r) tables that are keyed by m - r blocks
 in bit planes: plane b holds bit b of 64 fingerprints in one machine word.
 
 Key tables serve small radii. For similar texts, which differ in more bits than any exact key could allow for, fingerprints
-are longer, and tables are keyed by bands of the shingles' least hashes instead; the comparison is the same.
+are longer, and tables are keyed by bands of the shingles' least hashes instead; the comparison is the same. Such
+fingerprints only propose: texts that they join are held against one another shingle by shingle.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,8 +29,12 @@ SEED = 42
 CHUNK = 4096
 #: Words of planes that one step compares with queries, all queries taken together: the memory of a step.
 PAIRED_WORDS = 1 << 15
+#: Distinct shingles of the texts that one side of a verification holds, about: the memory of a task.
+CHUNK_SHINGLES = 1 << 21
 #: Long fingerprints have so many words of 64 bits.
 LANES = 4
+#: Standard deviations that a long fingerprint's distance may lie above the one that its similarity is worth.
+SPREAD = 4
 #: Bands of least hashes, and hashes in a band: texts of Jaccard similarity 0.8 share a band with a chance of 0.9998.
 BANDS, IN_BAND = 12, 3
 _SHIFTS = np.arange(BITS, dtype=np.uint64)
@@ -65,9 +71,13 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def sketch(text: str | None, shingle: int = 5) -> tuple[list[int], list[int]]:
-    """(long fingerprint in words of 64 bits, keys of the bands), as signed numbers. Without a word all of them are zero."""
-    hashes = shingle_hashes(text, shingle)
+def distinct_shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The set of a whole text's shingles, as their hashes in order; empty without a word."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def sketch(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    """(long fingerprint in words of 64 bits, keys of the bands) of a set of shingles, as signed numbers; zeros if it is empty."""
     if not len(hashes):
         return [0] * LANES, [0] * BANDS
     lanes = [majority(hashes)]
@@ -91,14 +101,16 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, fp array<long>, keys array<long>): a long fingerprint and the keys of its bands per document."""
+    """(doc_id, same binary, n long, fp array<long>, keys array<long>) per document: a digest of the set of its shingles, their
+    number, a long fingerprint and the keys of its bands."""
 
     def run(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:
-            fp, keys = sketch(row["text"], shingle)
-            yield {"doc_id": row["doc_id"], "fp": fp, "keys": keys}
+            hashes = distinct_shingles(row["text"], shingle)
+            fp, keys = sketch(hashes)
+            yield {"doc_id": row["doc_id"], "same": hashlib.sha256(hashes.tobytes()).digest(), "n": len(hashes), "fp": fp, "keys": keys}
 
-    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp array<long>, keys array<long>")
+    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, same binary, n long, fp array<long>, keys array<long>")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -315,20 +327,96 @@ def _without_extra(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(extra, docs["doc_id"] == extra["_extra"], "left_anti")
 
 
+def radius_for(similarity: float) -> int:
+    """Bits of a long fingerprint by which sets of that Jaccard similarity may differ.
+
+    Sets of equal size have the cosine 2 s / (1 + s), others of the same similarity a higher one; the share of bits that
+    differ is the angle as a part of a half turn, and spreads like heads of a coin.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(BITS * LANES * share + SPREAD * np.sqrt(BITS * LANES * share * (1 - share)))
+
+
+def alike(codes: np.ndarray, ends: np.ndarray, similarity: float, middle: int = 0) -> np.ndarray:
+    """For each set, the first one that pairs of a Jaccard similarity of so much or more join it to.
+
+    Set k is codes[ends[k]:ends[k + 1]], of numbers below the length of codes. All pairs are compared, or, with a middle,
+    those of a set before it and one from it on; pairs that are joined already need no comparison.
+    """
+    sizes, n = np.diff(ends), len(ends) - 1
+    root, marked = np.arange(n), np.zeros(len(codes) + 1, bool)
+    for k in range(middle or n):
+        others = np.arange(middle or k + 1, n)
+        small, large = np.minimum(sizes[others], sizes[k]), np.maximum(sizes[others], sizes[k])
+        others = others[(root[others] != root[k]) & (small >= similarity * large)]
+        others = others[sizes[others] > 0]
+        if not len(others):
+            continue
+        mine = codes[ends[k] : ends[k + 1]]
+        marked[mine] = True
+        lengths = sizes[others]
+        first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        held = codes[np.repeat(ends[others] - first, lengths) + np.arange(lengths.sum())]
+        shared = np.add.reduceat(marked[held], first, dtype=np.int64)
+        marked[mine] = False
+        joined = others[shared >= similarity * (sizes[k] + lengths - shared)]
+        if len(joined):
+            met = np.unique(root[np.append(joined, k)])
+            root[np.isin(root, met)] = met[0]
+    return root
+
+
+def verified(docs: DataFrame, near: DataFrame, sizes: DataFrame, similarity: float, shingle: int, chunk: int = CHUNK, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+    """(a, b): links between doc_ids, enough to join all that near puts in one component and whose shingles are alike.
+
+    near: id, component; sizes: id, n, the number of an id's shingles. Similarity is that of Jaccard, of sets of shingles. A
+    component of more than a chunk, of texts or of shingles, is dealt to several by a hash and each pair of its chunks is
+    compared by itself, as compared() does.
+    """
+    id_type = dict(near.dtypes)["id"]
+    weighed = near.join(sizes, "id").groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(chunk)), F.ceil(F.sum("n") / F.lit(chunk_shingles)), F.lit(1)).cast("int").alias("chunks"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(near.join(weighed, "component"), "id").distinct()
+
+    def sets(rows: Iterator[dict]) -> Iterator[dict]:
+        for row in rows:
+            hashes = distinct_shingles(row["text"], shingle)
+            yield {"id": row["id"], "component": row["component"], "chunks": row["chunks"], "shingles": hashes.view(np.int64).tolist()}
+
+    dealt = map_rows(texts, sets, f"id {id_type}, component {id_type}, chunks int, shingles array<long>").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    paired = paired.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "shingles")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["own", "id"], kind="stable")
+        own, ids = frame["own"].to_numpy(), frame["id"].to_numpy()
+        ends = np.concatenate(([0], np.cumsum(frame["shingles"].map(len).to_numpy(np.int64))))
+        codes = np.unique(np.concatenate(frame["shingles"].to_list()).astype(np.int64), return_inverse=True)[1]
+        middle = int((own == own[0]).sum()) if frame["i"].iloc[0] != frame["j"].iloc[0] else 0
+        if middle == len(frame):  # the other chunk of this pair is empty
+            return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+        root = alike(codes, ends, similarity, middle)
+        far = np.nonzero(root != np.arange(len(root)))[0]
+        return pd.DataFrame({"a": ids[far], "b": ids[root[far]]})
+
+    return paired.groupBy("component", "i", "j").applyInPandas(run, f"a {id_type}, b {id_type}")
+
+
 def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """(doc_id, component_id) per document, which links join to the smallest doc_id they reach.
 
-    Two texts link if they share a band of least hashes and the cosine of their shingle counts, as their long fingerprints
-    tell it, is the similarity or more: the share of bits that differ is the angle as a part of a half turn. Texts without
-    a word are alike. A row without a doc_id has the component of the same sketch, null if there is none, and joins none.
+    Two texts link if the Jaccard similarity of their sets of shingles is so much or more. Candidates share a band of least
+    hashes, and their long fingerprints are within radius_for(similarity); what candidates join is then compared shingle by
+    shingle, so that no other texts link. Texts without a word are alike. A row without a doc_id has the component of the
+    same set, null if there is none, and joins none. Rows that repeat a doc_id have one component.
     """
-    radius = int(np.arccos(similarity) / np.pi * BITS * LANES)
     found = cut_lineage(sketches(docs, shingle))
-    classes = cut_lineage(found.groupBy("fp", "keys").agg(F.min("doc_id").alias("least")).where("least is not null"))
+    classes = cut_lineage(found.groupBy("same", "n", "fp", "keys").agg(F.min("doc_id").alias("least")).where("least is not null"))
     keyed = classes.select(F.posexplode("keys").alias("t", "key"), F.col("least").alias("id"), "fp")
-    joined = connected_components(compared(keyed, radius))
-    of = classes.join(joined, classes["least"] == joined["id"], "left").select("fp", "keys", F.coalesce("component", "least").alias("component_id"))
-    return found.join(of, ["fp", "keys"], "left").select("doc_id", "component_id")
+    near = connected_components(compared(keyed, radius_for(similarity)))
+    sizes = classes.groupBy(F.col("least").alias("id")).agg(F.sum("n").alias("n"))
+    joined = connected_components(verified(docs, near, sizes, similarity, shingle))
+    of = classes.join(joined, classes["least"] == joined["id"], "left").select("same", F.coalesce("component", "least").alias("component_id"))
+    return found.join(of, "same", "left").select("doc_id", "component_id")
 
 
 def dedup_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
