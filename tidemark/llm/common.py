@@ -35,14 +35,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def as_parquet(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read that: for large tables, of which later jobs read few columns.
+def as_parquet(df: DataFrame, **options: str) -> DataFrame:
+    """Write df as Parquet in the shared folder, with the writer's options, and read that: for large tables, of which later jobs read few columns.
 
     The table is the session's: it is removed when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.parquet(path)

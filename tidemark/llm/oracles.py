@@ -61,4 +61,16 @@ def substrings() -> str:
     """
 
 
-ORACLES = {"op2_embeddings": embeddings(), "op5_quality": quality(), "op7_licenses": licenses.oracle_sql(), "op9_substrings": substrings()}
+def negatives() -> str:
+    return """
+    WITH known AS (SELECT vec_id, label::BIGINT AS label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR abs(x::DOUBLE * 256) >= 67108864)) = 0),
+    r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM known QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, v) = 1),
+    s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 100 = 0),
+    p AS (SELECT a, b AS p, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+    SELECT p.a AS anchor_id, p AS positive_id, row_number() OVER (PARTITION BY p.a, p ORDER BY score DESC, b)::INTEGER AS rank, b AS negative_id, ps AS positive_score, score AS negative_score
+    FROM p JOIN s ON s.a = p.a WHERE NOT same AND 30 * ps <= 100 * score AND 100 * score <= 90 * ps QUALIFY row_number() OVER (PARTITION BY p.a, p ORDER BY score DESC, b) <= 10
+    """
+
+
+ORACLES = {"op2_embeddings": embeddings(), "op5_quality": quality(), "op7_licenses": licenses.oracle_sql(), "op9_substrings": substrings(), "op11_negatives": negatives()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, embeddings, licenses, mixing, oracles, pages, pii, quality, simhash, substrings, toxicity
+from tidemark.llm import bpe, embeddings, licenses, mixing, negatives, oracles, packing, pages, pii, quality, simhash, substrings, toxicity
 from tidemark.llm.common import table
 
 
@@ -53,6 +53,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_embeddings": op2_embeddings,
@@ -64,5 +72,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_substrings": op9_substrings,
     "op10_toxicity": op10_toxicity,
+    "op11_negatives": op11_negatives,
+    "op13_packing": op13_packing,
 }
 ORACLES = oracles.ORACLES
