@@ -73,4 +73,22 @@ def negatives() -> str:
     """
 
 
-ORACLES = {"op2_embeddings": embeddings(), "op5_quality": quality(), "op7_licenses": licenses.oracle_sql(), "op9_substrings": substrings(), "op11_negatives": negatives()}
+def phrases() -> str:
+    return r"""
+    WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, row_number() OVER () AS row FROM documents),
+    pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    words AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+    grams AS (SELECT lang, array_to_string(list_slice(w, s, s + m - 1), ' ') AS phrase, m, count(*) AS f FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM w) t, (VALUES (1), (2), (3), (4), (5)) k(m) WHERE s + m - 1 <= len(w) GROUP BY ALL),
+    frequent AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE f >= 100),
+    cand AS (SELECT * FROM frequent WHERE m > 1),
+    cuts AS (SELECT lang, phrase, m, a, k, array_to_string(list_slice(w, 1, k), ' ') AS lp, array_to_string(list_slice(w, k + 1, m), ' ') AS rp FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) t),
+    scored AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n, ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score FROM cuts c JOIN frequent x ON x.lang = c.lang AND x.phrase = lp JOIN frequent y ON y.lang = c.lang AND y.phrase = rp JOIN words ON words.lang = c.lang),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_ AS (SELECT lang, array_to_string(list_slice(w, s, s + z - 1), ' ') AS phrase, a FROM (SELECT *, unnest(range(1, m - z + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS z FROM cand) t) t),
+    kept AS (SELECT l.* FROM lowest l WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = l.lang AND i.phrase = l.phrase AND 100 * i.a >= 100 * l.a))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+    """
+
+
+ORACLES = {"op2_embeddings": embeddings(), "op5_quality": quality(), "op7_licenses": licenses.oracle_sql(), "op9_substrings": substrings(), "op11_negatives": negatives(), "op12_phrases": phrases()}

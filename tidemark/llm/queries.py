@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, embeddings, licenses, mixing, negatives, oracles, packing, pages, pii, quality, simhash, substrings, toxicity
+from tidemark.llm import bpe, embeddings, licenses, mixing, negatives, oracles, packing, pages, phrases, pii, quality, simhash, substrings, toxicity
 from tidemark.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op9_substrings": op9_substrings,
     "op10_toxicity": op10_toxicity,
     "op11_negatives": op11_negatives,
+    "op12_phrases": op12_phrases,
     "op13_packing": op13_packing,
 }
 ORACLES = oracles.ORACLES
