@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, text
-from tidemark.operators import forecast, pit, ridge, series, statistics
+from tidemark.operators import forecast, lagged, moments, pit, residual, ridge, series, statistics
 from tidemark.sources import sinks, tables
 
 DAY = datetime(2020, 1, 1)
@@ -194,19 +194,100 @@ def test_rotation_is_a_shift_that_moves_rows():
         assert sorted(order) == list(range(n)) and len({(a - b) % n for a, b in zip(order, range(n))}) == 1 and order[0] != 0
 
 
-def test_aligned_text_that_tells_beats_its_permutations(spark):
-    rng = np.random.default_rng(2)
+def task_rows(seed=2, n=160):
+    rng = np.random.default_rng(seed)
     rows = []
-    for i in range(160):
-        e = rng.normal(size=3)
-        x = rng.normal(size=4)
-        rows.append(("a", 1, i, "train" if i < 80 else "cal" if i < 110 else "dec", 1 if i < 135 else 2, x.tolist(), [float(x[-1] + e[0])], e.tolist(), [0.0, 1.0]))
-    df = spark.createDataFrame(rows, "domain string, horizon int, i int, segment string, half int, x array<double>, y array<double>, e array<double>, q array<double>")
-    scores = {r["variant"]: r for r in ridge.residual_candidates(df).collect()}
-    assert scores["semantic"]["mse"] < 0.2 * scores["numeric"]["mse"] and set(scores) == {"numeric", "semantic", "frequency", "fourier"}
+    for i in range(n):
+        e, x = rng.normal(size=3), rng.normal(size=4)
+        segment, half = ("train", None) if i < 80 else ("cal", None) if i < 110 else ("dec", 1 if i < 128 else None if i < 130 else 2) if i < 145 else ("test", None)
+        rows.append(("a", 1, i, n, segment, half, x.tolist(), [float(x[-1] + e[0]), float(x[-1] + e[1] * x[0])], e.tolist(), rng.normal(size=2).tolist(), ridge.frequencies(x[None])[0].tolist()))
+    return rows
+
+
+TASK = "domain string, horizon int, i int, n int, segment string, half int, x array<double>, y array<double>, e array<double>, q array<double>, f array<double>"
+
+
+def part_of(rows, *segments):
+    some = [r for r in rows if r[4] in segments]
+    return {c: np.array([r[k] for r in some], float) for k, c in ((6, "x"), (7, "y"), (8, "e"), (9, "q"))} | {"half": np.array([r[5] or 0 for r in some])}
+
+
+def rest(part):
+    return part["y"] - part["x"][:, -1:]
+
+
+@pytest.mark.parametrize("chunk", [16384, 7])
+def test_candidates_from_sums_equal_direct_fits(spark, monkeypatch, chunk):
+    monkeypatch.setattr(moments.chunked_gram, "__defaults__", (chunk,))
+    rows = task_rows()
+    train, cal, dec = (part_of(rows, s) for s in ("train", "cal", "dec"))
+    df = spark.createDataFrame(rows, TASK).repartition(5)
+    got = {r["mode"]: r for r in residual.solved(df, ["domain", "horizon"], residual.VARIANTS).collect()}
+    assert set(got) == {"numeric", "semantic", "frequency", "fourier"} and got["semantic"]["mse"] < 0.8 * got["numeric"]["mse"]
+    for variant, r in got.items():
+        build = ridge.Builder(variant, train)
+        alpha, score, (w, c) = ridge.best_fit((build(train), rest(train)), (build(cal), rest(cal)))
+        error = ((rest(dec) - build(dec) @ w - c) ** 2).mean(axis=1)
+        assert r["alpha"] == alpha and r["columns"] == build(dec).shape[1]
+        want = [score, error.mean(), error[dec["half"] == 1].mean(), error[dec["half"] == 2].mean(), (rest(dec) ** 2).mean()]
+        assert np.allclose([r[k] for k in ("calibration_mse", "mse", "mse_first", "mse_second", "fallback_mse")], want)
+    few = spark.createDataFrame([r for r in rows if r[4] != "cal"], TASK)
+    assert residual.solved(few, ["domain", "horizon"], residual.VARIANTS).count() == 0 and residual.solved(df.where("false"), ["domain"], residual.VARIANTS).count() == 0
+
+
+def test_attribution_modes_are_choices_of_columns(spark):
+    rows = task_rows()
+    train, cal, test = (part_of(rows, s) for s in ("train", "cal", "test"))
+    df = spark.createDataFrame(rows, TASK)
+    for modes in residual.MODES.values():
+        got = {r["mode"]: r for r in residual.solved(df, ["domain"], modes, refit=True).collect()}
+        assert set(got) == set(modes) and got["full"]["columns"] == got["dimension_matched_numeric"]["columns"]
+    build = ridge.Builder("semantic", train)
+    alpha, _, _ = ridge.best_fit((build(train), rest(train)), (build(cal), rest(cal)))
+    got = {r["mode"]: r for r in residual.solved(df, ["domain"], residual.MODES["semantic"], refit=True).collect()}["full"]
+    both = np.vstack((build(train), build(cal))), np.vstack((rest(train), rest(cal)))
+    (w, c), = ridge.solve(*both, (alpha,))
+    assert got["alpha"] == alpha and np.isclose(got["test_mse"], ridge.mse(rest(test), build(test) @ w + c))
+
+
+def test_probe_on_vectors_equals_direct_fits(spark):
+    rows = [(*r[:4], {"cal": "val", "dec": "none"}.get(r[4], r[4]), *r[5:]) for r in task_rows()]
+    train, val, test = (part_of(rows, s) for s in ("train", "val", "test"))
+    got = {r["kind"]: r for r in residual.probe(spark.createDataFrame(rows, TASK), ["domain"], {"TextOnly": ("e", "q"), "EarlyFusion": ("x", "e", "q")}, ridge.ALPHAS).collect()}
+    both = {c: np.concatenate((train[c], val[c])) for c in train}
+    for kind, parts in (("TextOnly", "eq"), ("EarlyFusion", "xeq")):
+        def design(d, by):
+            return np.hstack([ridge.Scale(by["q"])(d["q"]) if c == "q" else d[c] for c in parts])
+        alpha, score, _ = ridge.best_fit((design(train, train), train["y"]), (design(val, train), val["y"]))
+        (w, c), = ridge.solve(design(both, both), both["y"], (alpha,))
+        assert got[kind]["alpha"] == alpha and np.allclose([got[kind]["validation_mse"], got[kind]["test_mse"]], [score, ridge.mse(test["y"], design(test, both) @ w + c)])
+
+
+def test_circular_null_equals_direct_fits(spark):
+    rows = task_rows(n=145)
+    df = spark.createDataFrame(rows, TASK).repartition(4)
+    alphas = spark.createDataFrame([("a", 3.0)], "domain string, alpha double")
+    got = {r["draw"]: r["null_score"] for r in lagged.circular_null(df, ["domain"], alphas, 20, 5, 77, most=2).collect()}
+    parts = {s: part_of(rows, s) for s in ("train", "dec")}
+    sizes = spark.createDataFrame([(s, len(p["x"])) for s, p in parts.items()], "segment string, n int")
+    shifts = {r["segment"]: r["shifts"] for r in lagged.drawn_shifts(sizes, 5, 20, 77).collect()}
+    assert all(5 <= k <= len(parts[s]["x"]) - 5 for s, v in shifts.items() for k in v) and len(set(shifts["train"])) > 10
+    build = ridge.Builder("semantic", parts["train"])
+    build.e = ridge.Components(parts["train"]["e"], 2)
+    for d in range(20):
+        moved = {s: p | {c: np.roll(p[c], shifts[s][d], axis=0) for c in "eq"} for s, p in parts.items()}
+        (w, c), = ridge.solve(build(moved["train"]), rest(moved["train"]), (3.0,))
+        assert np.isclose(got[d + 1], ridge.mse(rest(moved["dec"]), build(moved["dec"]) @ w + c))
+    tiny = spark.createDataFrame([("a", s, n) for s, n in (("train", 2), ("dec", 3))], "domain string, segment string, n int")
+    assert {r["segment"]: set(r["shifts"]) for r in lagged.drawn_shifts(tiny, 24, 50, 1).collect()} == {"train": {1}, "dec": {1, 2}}
+
+
+def test_aligned_text_that_tells_beats_its_permutations(spark):
+    df = spark.createDataFrame(task_rows(), TASK)
+    aligned = {r["mode"]: r["mse"] for r in residual.solved(df, ["domain", "horizon"], {"semantic": residual.VARIANTS["semantic"]}).collect()}["semantic"]
     for mode in ("row", "circular"):
         nulls = ridge.null_scores(df, "semantic", 9, mode, chunk=4).collect()
-        assert len(nulls) == 9 and min(r["null_score"] for r in nulls) > scores["semantic"]["mse"]
+        assert len(nulls) == 9 and min(r["null_score"] for r in nulls) > aligned
 
 
 def test_lists_and_settings(spark, tmp_path):

@@ -50,26 +50,41 @@ def spectrum(x: Column, length: int) -> Column:
     return F.array(*(power(k) for k in range(length // 2 + 1)))
 
 
-def frequency_statistics(x: Column, power: Column, bins: int) -> dict[str, Column]:
-    """Ten statistics of a window x with powers of so many bins, in their fixed order.
+def once(value: Column, f) -> Column:
+    """f(value), with the value as a lambda's variable: worked out once a row, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def shares(power: Column) -> Column:
+    return F.transform(power, lambda p: p / F.greatest(array_sum(power), F.lit(1e-8)))
+
+
+def frequency_array(x: Column, length: int) -> Column:
+    """The ten frequency statistics of a window of fixed length, as an array. The window, its powers, their shares and the steps are variables of
+    lambdas, so that each is worked out once a row."""
+    bins = length // 2 + 1
+    return once(x, lambda w: once(spectrum(w, length), lambda power: once(shares(power), lambda share: F.array(*frequency_statistics(w, power, bins, share).values()))))
+
+
+def frequency_statistics(x: Column, power: Column, bins: int, share: Column | None = None) -> dict[str, Column]:
+    """Ten statistics of a window x with powers of so many bins, and their shares, in their fixed order.
 
     Shares of power in four bands, centroid, entropy over its maximum, the strongest bin but the first over the last,
     the greatest share, the rise from first to last value, and the population deviation of the steps.
     """
-    share = F.transform(power, lambda p: p / F.greatest(array_sum(power), F.lit(1e-8)))
+    share = shares(power) if share is None else share
     edges = [int(k * bins / 4) for k in range(5)]
     bands = {f"band{k}": array_sum(F.slice(share, lo + 1, hi - lo)) for k, (lo, hi) in enumerate(zip(edges, edges[1:]), 1)}
     last = max(1, bins - 1)
     others = F.slice(power, 2, last)
     steps = F.zip_with(F.slice(x, F.lit(2), F.size(x) - 1), F.slice(x, F.lit(1), F.size(x) - 1), lambda b, a: b - a)
-    mean = array_mean(steps)
     return bands | {
         "centroid": array_sum(F.zip_with(share, F.array(*(F.lit(k / last) for k in range(bins))), lambda s, f: s * f)),
         "entropy": -array_sum(F.transform(share, lambda s: s * F.log(F.greatest(s, F.lit(1e-12))))) / math.log(max(2, bins)),
         "dominant": F.array_position(others, F.array_max(others)).cast("double") / last if bins > 1 else F.lit(0.0),
         "concentration": F.array_max(share),
         "slope": F.element_at(x, -1) - x[0],
-        "volatility": F.sqrt(array_mean(F.transform(steps, lambda d: (d - mean) * (d - mean)))),
+        "volatility": once(steps, lambda s: once(array_mean(s), lambda mean: F.sqrt(array_mean(F.transform(s, lambda d: (d - mean) * (d - mean)))))),
     }
 
 

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.operators.moments import Sums, gram, matrix
+
 # Penalties tried, in order; the first of equals wins.
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
 
@@ -115,18 +117,6 @@ def frequencies(x: np.ndarray) -> np.ndarray:
     return np.column_stack(stats)
 
 
-def gram(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, segment, p, pos, s): sums of products of every two of 1, x and y, over a segment's rows.
-
-    pos counts the pairs of the upper triangle row by row, p is the length of x. Sums are combined before the shuffle, and
-    what is left follows the columns, not the rows.
-    """
-    v = F.concat(F.array(F.lit(1.0)), "x", "y")
-    pairs = F.flatten(F.transform("v", lambda a, i: F.transform(F.slice("v", i + 1, F.size("v") - i), lambda b: a * b)))
-    each = rows.withColumn("v", v).select(*keys, "segment", F.size("x").alias("p"), F.posexplode(pairs).alias("pos", "s"))
-    return each.groupBy(*keys, "segment", "p", "pos").agg(F.sum("s").alias("s"))
-
-
 def grid(rows: DataFrame, keys: list[str], alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """(keys, alpha, validation_mse, test_mse) of ridge of y on scaled x, the penalty chosen on 'cal': one Gram matrix serves all.
 
@@ -135,33 +125,22 @@ def grid(rows: DataFrame, keys: list[str], alphas: tuple[float, ...] = ALPHAS) -
     digits are equal; the first penalty wins.
     """
     schema = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes) + ", alpha double, validation_mse double, test_mse double"
+    some = rows.select(*keys, "segment", F.size("x").alias("p"), F.concat(F.array(F.lit(1.0)), "x", "y").alias("v"))
 
     def solved(part: pd.DataFrame) -> pd.DataFrame:
-        p, sums = int(part["p"].iat[0]), {}
-        for segment, some in part.groupby("segment"):
-            k = int((np.sqrt(8 * len(some) + 1) - 1) / 2)
-            upper = np.zeros((k, k))
-            upper[np.triu_indices(k)] = some.sort_values("pos")["s"]
-            sums[segment] = upper + np.triu(upper, 1).T
-        if any(sums.get(s, np.zeros((1, 1)))[0, 0] < 2 for s in ("train", "cal", "test")):
+        p, sums = int(part["p"].iat[0]), {s: Sums(matrix(g)) for s, g in zip(part["segment"], part["gram"])}
+        if any(s not in sums or sums[s].n < 2 for s in ("train", "cal", "test")):
             return pd.DataFrame(columns=[*keys, "alpha", "validation_mse", "test_mse"])
-        train = sums["train"]
-        n, mean = train[0, 0], train[0, 1:] / train[0, 0]
-        std = np.sqrt(np.maximum(np.diag(train)[1 : p + 1] / n - mean[:p] ** 2, 0.0))
-        # 1, scaled x and centred y out of 1, x and y
-        turn = np.diag(np.concatenate(([1.0], 1 / np.where(std < 1e-8, 1.0, std), np.ones(len(mean) - p))))
-        turn[1:, 0] = -mean * np.diag(turn)[1:]
-        turned = {k: turn @ v @ turn.T for k, v in sums.items()}
-        x, y = slice(1, p + 1), slice(p + 1, None)
-        scores = []
-        for alpha in alphas:
-            w = np.linalg.solve(turned["train"][x, x] + alpha * np.eye(p), turned["train"][x, y])
-            error = lambda g: float(np.trace(g[y, y] - 2 * w.T @ g[x, y] + w.T @ g[x, x] @ w) / (g[0, 0] * w.shape[1]))  # noqa: B023, E731
-            scores.append((error(turned["cal"]), error(turned["test"])))
-        best = int(np.argmin(np.round([a for a, _ in scores], 9)))
-        return pd.DataFrame([{k: part[k].iat[0] for k in keys} | {"alpha": alphas[best], "validation_mse": scores[best][0], "test_mse": scores[best][1]}])
-
-    return gram(rows, keys).groupBy(*keys).applyInPandas(solved, schema)
+        x, y = np.arange(1, p + 1), np.arange(p + 1, len(sums["train"].total))
+        mean, std = sums["train"].mean(), sums["train"].std()
+        mean[0], std[0], mean[y], std[y] = 0.0, 1.0, 0.0, 1.0
+        sums = {s: g.scaled(mean, std) for s, g in sums.items()}
+        fits = [sums["train"].fit(x, y, alpha) for alpha in alphas]
+        scores = [sums["cal"].error(x, y, w) for w in fits]
+        best = int(np.argmin(np.round(scores, 9)))
+        return pd.DataFrame([{k: part[k].iat[0] for k in keys} | {"alpha": alphas[best], "validation_mse": scores[best], "test_mse": sums["test"].error(x, y, fits[best])}])
+
+    return gram(some, [*keys, "segment", "p"]).groupBy(*keys).applyInPandas(solved, schema)
 
 
 def ar_ridge(windows: DataFrame) -> DataFrame:
@@ -169,33 +148,6 @@ def ar_ridge(windows: DataFrame) -> DataFrame:
     return grid(windows.where(F.col("segment").isin("train", "cal", "test")), ["domain", "horizon"])
 
 
-CANDIDATE = "domain string, horizon int, variant string, alpha double, calibration_mse double, mse double, mse_first double, mse_second double, fallback_mse double, fallback_first double, fallback_second double"
-
-
-def residual_candidates(windows: DataFrame, variants: tuple[str, ...] = ("numeric", "semantic", "frequency", "fourier")) -> DataFrame:
-    """Errors on the decision span of ridge on the residual from the last value, per variant, beside that value's own.
-
-    windows: domain, horizon, i, segment ('train', 'cal', 'dec'), half (1, 2 or null), x, y, e (text vector), q (quality).
-    """
-    each = windows.withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        variant = part["variant"].iat[0]
-        train, cal, dec = (design(part, s) for s in ("train", "cal", "dec"))
-        if min(len(d["x"]) for d in (train, cal, dec)) < 2:
-            return pd.DataFrame(columns=[c.split(" ")[0] for c in CANDIDATE.split(", ")])
-        build = Builder(variant, train)
-        rest = lambda d: d["y"] - d["x"][:, -1:]
-        alpha, score, (w, c) = best_fit((build(train), rest(train)), (build(cal), rest(cal)))
-        error, plain = ((rest(dec) - (build(dec) @ w + c)) ** 2).mean(axis=1), (rest(dec) ** 2).mean(axis=1)
-        half = part[part["segment"] == "dec"].sort_values("i")["half"].to_numpy()
-        of = lambda v, k: float(v[half == k].mean()) if (half == k).any() else None
-        row = {"domain": part["domain"].iat[0], "horizon": part["horizon"].iat[0], "variant": variant, "alpha": alpha, "calibration_mse": score, "mse": error.mean(), "mse_first": of(error, 1), "mse_second": of(error, 2), "fallback_mse": plain.mean(), "fallback_first": of(plain, 1), "fallback_second": of(plain, 2)}
-        return pd.DataFrame([row])
-
-    return each.groupBy("domain", "horizon", "variant").applyInPandas(fit, CANDIDATE)
-
-
 def dual_predict(x: np.ndarray, y: np.ndarray, at: np.ndarray, alphas: tuple[float, ...]) -> list[np.ndarray]:
     """Predictions per penalty, solved in the space of rows: one eigendecomposition serves all, for more columns than rows."""
     mx, my = x.mean(axis=0), y.mean(axis=0)

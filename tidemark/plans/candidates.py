@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions.numbers import int_frac
-from tidemark.operators import pit, ridge, series as S, statistics as R
+from tidemark.functions.numbers import frequency_array, int_frac
+from tidemark.operators import lagged, residual, ridge, series as S, statistics as R
 from tidemark.plans import query
 from tidemark.plans.series import rounded, train_scaled
 from tidemark.plans.text import index, quality_features
+from tidemark.sources.shared import settled
 from tidemark.sources.tables import table
 
 LENGTH, STEPS = 24, (3, 6)
@@ -37,7 +38,27 @@ def task_windows(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame
     texts = texts.select("domain", "i", F.pmod(F.coalesce("fact", F.col("i").cast("long")), F.lit(known)).alias("v"))
     quality = quality_features(spark, sf_dir)
     quality = quality.select("domain", "i", F.array(*quality.columns[2:]).alias("q"))
-    return rows.join(texts.join(quality, ["domain", "i"]), ["domain", "i"]).join(vectors, "v").drop("v")
+    rows = rows.join(texts.join(quality, ["domain", "i"]), ["domain", "i"]).join(vectors, "v").drop("v")
+    return settled(rows.withColumn("f", frequency_array(F.col("x"), LENGTH)))
+
+
+def candidates(windows: DataFrame, variants: tuple[str, ...] = tuple(residual.VARIANTS)) -> DataFrame:
+    """Errors of each variant on the decision span and its halves, beside the last value's own."""
+    out = residual.solved(windows, ["domain", "horizon"], {v: residual.VARIANTS[v] for v in variants})
+    return out.withColumnRenamed("mode", "variant").drop("columns", "test_mse")
+
+
+@query()
+def attribution_modes(spark, sf_dir):
+    """Errors of five sets of columns of one head, with and without statistics of the window: what each part adds.
+
+    test_mse is that of a fit on training and calibration rows with the penalty chosen on calibration rows.
+    """
+    windows, out = task_windows(spark, sf_dir, True), None
+    for head, modes in residual.MODES.items():
+        some = residual.solved(windows, ["domain", "horizon"], modes, refit=True).withColumn("head", F.lit(head))
+        out = some if out is None else out.unionByName(some)
+    return out.select("domain", "horizon", "head", "mode", "columns", "alpha", *(rounded(c).alias(c) for c in ("calibration_mse", "mse", "fallback_mse", "test_mse")))
 
 
 @query()
@@ -48,7 +69,8 @@ def ridge_baseline(spark, sf_dir):
 
 @query()
 def residual_candidates(spark, sf_dir):
-    out = ridge.residual_candidates(task_windows(spark, sf_dir, True))
+    """Errors of ridge on what the last value leaves, for four sets of features, on the decision span and its halves."""
+    out = candidates(task_windows(spark, sf_dir, True))
     return out.select("domain", "horizon", "variant", "alpha", *(rounded(c).alias(c) for c in out.columns[4:]))
 
 
@@ -56,7 +78,7 @@ def residual_candidates(spark, sf_dir):
 def candidate_routes(spark, sf_dir):
     """Candidates, their permutation p-values and the gate's route per series and horizon."""
     windows = task_windows(spark, sf_dir, True)
-    scores = ridge.residual_candidates(windows, ("semantic",))
+    scores = candidates(windows, ("semantic",))
     nulls = ridge.null_scores(windows, "semantic", DRAWS, chunk=50)
     keys = ["domain", "horizon"]
     p = R.empirical_p(nulls.join(scores.select(*keys, F.col("mse").alias("aligned")), keys), keys)
@@ -65,11 +87,35 @@ def candidate_routes(spark, sf_dir):
     return gated.select(*keys, "draws", rounded("p").alias("p"), rounded("mse").alias("mse")).join(routes, keys)
 
 
+@query()
+def circular_routes(spark, sf_dir):
+    """p-values of the semantic candidate against 999 circular shifts of its text, by which a gate's finding is tried."""
+    windows, keys = task_windows(spark, sf_dir, True), ["domain", "horizon"]
+    scores = candidates(windows, ("semantic",))
+    nulls = lagged.circular_null(windows, keys, scores.select(*keys, "alpha"), 999, max(STEPS), 1001)
+    p = R.empirical_p(nulls.join(scores.select(*keys, F.col("mse").alias("aligned")), keys), keys)
+    return p.join(scores, keys).select(*keys, "draws", rounded("p").alias("p"), rounded("mse").alias("mse"), (F.col("mse") < F.col("fallback_mse")).alias("better"))
+
+
+@query()
+def semantic_probe(spark, sf_dir):
+    """Ridge of the target on every origin's own whole vector, alone and beside the window, and on vectors of other origins."""
+    rows = task_windows(spark, sf_dir, True).where("segment != 'dec'").withColumn("segment", F.when(F.col("segment") == "cal", "val").otherwise(F.col("segment")))
+    on = ["domain", "horizon", "segment"]
+    moved = R.shuffled(rows.withColumn("text", F.struct("e", "q")), on, "i", "text", 202601)
+    first = rows.groupBy(*on).agg(F.min("i").alias("first"))
+    moved = moved.join(first, on).select(*on, (F.col("first") + F.col("at")).alias("i"), F.col("shuffled.e").alias("e"), F.col("shuffled.q").alias("q"))
+    kept = rows.select(*on, "i", "x", "y")
+    both = rows.select(*on, "i", "x", "y", "e", "q", F.lit("aligned").alias("alignment")).unionByName(kept.join(moved, [*on, "i"]).withColumn("alignment", F.lit("shuffled")))
+    out = residual.probe(both, ["domain", "horizon", "alignment"], {"TextOnly": ("e", "q"), "EarlyFusion": ("x", "e", "q")}, ridge.ALPHAS)
+    return out.select("domain", "horizon", "alignment", "kind", "columns", "alpha", rounded("validation_mse").alias("validation_mse"), rounded("test_mse").alias("test_mse"))
+
+
 @query()
 def null_sensitivity(spark, sf_dir):
     """p-values of the frequency candidate under four nulls: rows or shifts moved, interaction scales kept or fitted anew."""
     windows, keys = task_windows(spark, sf_dir, True), ["domain", "horizon"]
-    aligned = ridge.residual_candidates(windows, ("frequency",)).select(*keys, F.col("mse").alias("aligned"))
+    aligned = candidates(windows, ("frequency",)).select(*keys, F.col("mse").alias("aligned"))
     kinds = [(mode, refit) for mode in ("row", "circular") for refit in (False, True)]
     out = None
     for mode, refit in kinds:

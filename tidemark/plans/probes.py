@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.numbers import int_frac
-from tidemark.operators import ridge, series as S, statistics as R
+from tidemark.operators import lagged, residual, ridge, series as S, statistics as R
 from tidemark.plans import query
 from tidemark.plans.series import INPUT, SCALED_SQL, rounded, train_scaled
 from tidemark.plans.text import PIT_SQL, index
@@ -84,3 +84,45 @@ def probe_permutation_null(spark, sf_dir):
     aligned = scores.where("draw = 0").select("domain", F.col("score").alias("aligned"))
     p = R.empirical_p(scores.where("draw > 0").join(aligned, "domain"), ["domain"], null="score").join(aligned, "domain").join(fallback(rows), "domain")
     return p.select("domain", "draws", F.round("p", 6).alias("p"), rounded("aligned").alias("mse"), ((F.col("aligned") < F.col("fallback_mse")) & (F.col("p") <= 0.025)).alias("eligible"))
+
+
+SHIFTS, GUARD = 999, 6
+_LOW = f"least(greatest(1, {GUARD}), n - 1)"
+_LOW = f"CASE WHEN n - {_LOW} < {_LOW} THEN 1 ELSE {_LOW} END"
+
+
+@query(f"""WITH {BASE_SQL}, r2 AS (SELECT domain, segment, y, c AS a, d AS b, p FROM pl), {_solved("domain")},
+zs AS (SELECT domain, r2.segment, p, (a - ma) / sa AS a, (b - mb) / sb AS b, y - my AS y FROM r2 JOIN st USING (domain) WHERE r2.segment IN ('train', 'test')),
+nn AS (SELECT domain, segment, count(*) AS n FROM zs GROUP BY domain, segment), lo AS (SELECT *, {_LOW} AS low FROM nn),
+sh AS (SELECT domain, segment, n, draw, low + ('0x' || substr(md5('{SEED}|' || draw || '|' || CASE segment WHEN 'test' THEN 'dec' ELSE segment END), 1, 8))::BIGINT % greatest(n - 2 * low + 1, 1) AS s FROM lo, (SELECT unnest(range(1, {SHIFTS + 1})) AS draw)),
+mv AS (SELECT z.domain, z.segment, draw, z.y, t.a, t.b FROM zs z JOIN sh ON sh.domain = z.domain AND sh.segment = z.segment JOIN zs t ON t.domain = z.domain AND t.segment = z.segment AND t.p = (z.p - 1 - s + n) % n + 1),
+g AS (SELECT domain, draw, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS cy FROM mv WHERE segment = 'train' GROUP BY domain, draw),
+w AS (SELECT domain, draw, alpha, mse, ((bb + alpha) * ay - ab * cy) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wa, ((aa + alpha) * cy - ab * ay) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wb FROM g JOIN best USING (domain)),
+e AS (SELECT domain, draw, any_value(alpha) AS alpha, any_value(mse) AS aligned, avg((y - wa * a - wb * b) ** 2) AS score FROM mv JOIN w USING (domain, draw) WHERE segment = 'test' GROUP BY domain, draw)
+SELECT domain, count(*) AS draws, any_value(alpha) AS alpha, round((1 + count(*) FILTER (round(score, 9) <= round(aligned, 9))) / (count(*) + 1), 6) AS p, round(avg(score), 6) AS mean_null, round(any_value(aligned), 6) AS mse FROM e GROUP BY domain""")
+def circular_probe_null(spark, sf_dir):
+    """p of the text probe against 999 circular shifts of its texts, the penalty and the scales staying those of the aligned one."""
+    rows = placed(spark, sf_dir)
+    aligned = ridge.grid(rows.select("domain", "segment", F.col("text").alias("x"), "y"), ["domain"])
+    none = F.array().cast("array<double>")
+    moving = rows.where("segment != 'cal'").select("domain", F.col("p").alias("i"), F.when(F.col("segment") == "test", "dec").otherwise(F.col("segment")).alias("segment"), none.alias("x"), "y", none.alias("e"), F.col("text").alias("q"))
+    nulls = lagged.circular_null(moving, ["domain"], aligned.select("domain", "alpha"), SHIFTS, GUARD, SEED).withColumn("null_score", F.round("null_score", 9))
+    scores = nulls.join(aligned.select("domain", "alpha", F.round("test_mse", 9).alias("aligned")), "domain")
+    p = R.empirical_p(scores, ["domain"]).join(scores.groupBy("domain").agg(F.avg("null_score").alias("mean_null"), F.first("alpha").alias("alpha"), F.first("aligned").alias("aligned")), "domain")
+    return p.select("domain", "draws", "alpha", F.round("p", 6).alias("p"), rounded("mean_null").alias("mean_null"), rounded("aligned").alias("mse"))
+
+
+@query(f"""WITH {BASE_SQL}, pm AS (SELECT domain, avg(c) AS mc, avg(d) AS md, 0.5 * atan2(2 * covar_pop(c, d), var_pop(c) - var_pop(d)) AS t, avg(a) AS ma, stddev_pop(a) AS sa, avg(y) AS my FROM pl WHERE segment = 'train' GROUP BY domain),
+f1 AS (SELECT domain, segment, y - my AS y, y AS raw, CASE WHEN abs(cos(t)) >= abs(sin(t)) OR sin(t) > 0 THEN 1 ELSE -1 END * (cos(t) * (c - mc) + sin(t) * (d - md)) AS a, (pl.a - ma) / sa AS f FROM pl JOIN pm USING (domain)),
+cs AS (SELECT domain, avg(a * f) AS mx, stddev_pop(a * f) AS sx FROM f1 WHERE segment = 'train' GROUP BY domain), z2 AS (SELECT domain, segment, y, raw, a, (a * f - mx) / sx AS b FROM f1 JOIN cs USING (domain)),
+{_solved("domain").split("gr AS", 1)[1].join(("gr AS", ""))}
+SELECT domain, 2 AS columns, alpha, round(cal, 6) AS calibration_mse, round(mse, 6) AS mse, round(plain, 6) AS fallback_mse FROM best""")
+def component_candidates(spark, sf_dir):
+    """The residual candidate of one principal component of the texts' columns and its product with the last value."""
+    rows = placed(spark, sf_dir)
+    n = rows.groupBy("domain").agg(F.count("*").cast("int").alias("n"))
+    zero, none = F.array(F.lit(0.0)), F.array().cast("array<double>")
+    segment = F.when(F.col("segment") == "test", "dec").otherwise(F.col("segment"))
+    rows = rows.join(n, "domain").select("domain", F.col("p").alias("i"), "n", segment.alias("segment"), F.lit(None).cast("int").alias("half"), zero.alias("x"), "y", F.col("text").alias("e"), none.alias("q"), F.slice("numbers", 1, 1).alias("f"))
+    out = residual.solved(rows, ["domain"], {"components": ("pca", "cross")}, most=1, crossed=1)
+    return out.select("domain", "columns", "alpha", *(rounded(c).alias(c) for c in ("calibration_mse", "mse", "fallback_mse")))
