@@ -1,5 +1,6 @@
 """Known answers and invariants of the operators."""
 
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -8,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, text
-from tidemark.operators import forecast, lagged, moments, pit, residual, ridge, series, statistics
+from tidemark.operators import forecast, lagged, moments, pit, residual, ridge, series, statistics, terms
 from tidemark.sources import sinks, tables
 
 DAY = datetime(2020, 1, 1)
@@ -344,3 +345,56 @@ def test_places_in_buckets_are_those_of_one_window(spark):
     got = {(r["g"], r["k"]): r["at"] for r in series.ordinal(df, ["g"], F.floor(F.col("t") / 7), ["t", "k"], "at").collect()}
     for g in "ab":
         assert [got[g, k] for _, k in sorted((t, k) for h, t, k in rows if h == g)] == list(range(1, 151))
+
+
+@pytest.mark.parametrize("most", [3, 1024])
+def test_text_models_equal_direct_fits(spark, most):
+    rng = np.random.default_rng(8)
+    words = ["rise", "fall", "rate", "bank", "x1", "a", "Éclair"]
+    rows = [("d", i, 90, "train" if i < 50 else "val" if i < 70 else "test", rng.normal(size=2).tolist(), [float(rng.normal())], " ".join(rng.choice(words, rng.integers(0, 9)))) for i in range(90)]
+    rows[3] = (*rows[3][:6], None)
+    schema = "domain string, i int, n int, segment string, x array<double>, y array<double>, text string"
+    df = spark.createDataFrame(rows, schema).withColumn("text", terms.plain("text")).repartition(3)
+    got = {r["kind"]: r for r in terms.text_models(df, ["domain"], ridge.ALPHAS, most=most).collect()}
+
+    def texts(*segments):
+        return [(r[6] or "").lower().replace("é", "e") for r in rows if r[3] in segments]
+
+    def weighed(fit, some):
+        df, total = Counter(), Counter()
+        for t in fit:
+            found = Counter(terms.terms_of(t))
+            df.update(found.keys())
+            total.update(found)
+        known = sorted((t for t in df if df[t] >= 2), key=lambda t: (-total[t], t))[:most]
+        out = np.zeros((len(some), len(known)))
+        for k, t in enumerate(some):
+            c = Counter(terms.terms_of(t))
+            v = np.array([(1 + np.log(c[w])) * (np.log((1 + len(fit)) / (1 + df[w])) + 1) if c[w] else 0.0 for w in known])
+            out[k] = v / (np.linalg.norm(v) or 1.0)
+        return out
+
+    numbers_of = lambda k, *segments: np.array([r[k] for r in rows if r[3] in segments])
+    for kind in ("TextOnly", "EarlyFusion"):
+        def design(fit, *segments):
+            t = weighed(texts(*fit), texts(*segments))
+            return t if kind == "TextOnly" else np.hstack((numbers_of(4, *segments), t))  # noqa: B023
+        one, both = ("train",), ("train", "val")
+        alpha, score, _ = ridge.best_fit((design(one, "train"), numbers_of(5, "train")), (design(one, "val"), numbers_of(5, "val")))
+        (w, c), = ridge.solve(design(both, *both), numbers_of(5, *both), (alpha,))
+        assert got[kind]["alpha"] == alpha and np.allclose([got[kind]["validation_mse"], got[kind]["test_mse"]], [score, ridge.mse(numbers_of(5, "test"), design(both, "test") @ w + c)])
+
+
+def test_vocabulary_is_that_of_all_terms(spark):
+    rng = np.random.default_rng(9)
+    rows = [(" ".join(f"w{int(k)}" for k in rng.zipf(1.3, 30) % 60),) for _ in range(80)]
+    df = spark.createDataFrame(rows, "text string")
+    found, total = Counter(), Counter()
+    for (t,) in rows:
+        one = Counter(terms.terms_of(t))
+        found.update(one.keys())
+        total.update(one)
+    want = [(t, found[t]) for t in sorted((t for t in found if found[t] >= 2), key=lambda t: (-total[t], t))]
+    for most, words in ((5, 50_000), (40, 50_000), (40, 0), (5000, 50_000)):
+        assert terms.vocabulary(df, most, words_at_most=words) == want[:most]
+    assert terms.vocabulary(df.where("false")) == []

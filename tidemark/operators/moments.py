@@ -128,14 +128,15 @@ class Sums:
 
     def scaled(self, mean: np.ndarray, std: np.ndarray) -> "Sums":
         """The sums of (column - mean) / std; of the first column, the mean is 0 and the deviation 1."""
-        turn = np.diag(1.0 / std)
-        turn[1:, 0] -= mean[1:] / std[1:]
-        return Sums(turn @ self.total @ turn.T)
+        mean = np.where(np.arange(len(mean)) > 0, mean, 0.0)
+        moved = self.total - np.outer(mean, self.total[0]) - np.outer(self.total[0], mean) + self.n * np.outer(mean, mean)
+        return Sums(moved / np.outer(std, std))
 
     def fit(self, x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
         """Ridge coefficients of columns y on columns x and, without penalty, on 1: row 0 has the intercepts."""
-        c = self.scaled(np.where(np.arange(len(self.total)) > 0, self.mean(), 0.0), np.ones(len(self.total)))
-        w = np.linalg.solve(c.total[np.ix_(x, x)] + alpha * np.eye(len(x)), c.total[np.ix_(x, y)])
+        first = self.total[0]
+        centred = lambda a, b: self.total[np.ix_(a, b)] - np.outer(first[a], first[b]) / self.n
+        w = np.linalg.solve(centred(x, x) + alpha * np.eye(len(x)), centred(x, y))
         return np.vstack((self.mean()[y] - self.mean()[x] @ w, w))
 
     def error(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:

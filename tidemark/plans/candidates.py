@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.numbers import frequency_array, int_frac
-from tidemark.operators import lagged, residual, ridge, series as S, statistics as R
+from tidemark.operators import lagged, residual, ridge, series as S, statistics as R, terms
 from tidemark.plans import query
 from tidemark.plans.series import rounded, train_scaled
 from tidemark.plans.text import index, quality_features
@@ -111,6 +111,24 @@ def semantic_probe(spark, sf_dir):
     return out.select("domain", "horizon", "alignment", "kind", "columns", "alpha", rounded("validation_mse").alias("validation_mse"), rounded("test_mse").alias("test_mse"))
 
 
+@query()
+def text_models(spark, sf_dir):
+    """Ridge of the target on 1,024 terms of each origin's newest texts, alone and beside the window, and on other origins' texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", terms.plain("text").alias("words"))
+    known = docs.count()
+    newest = F.filter(F.array(F.get("search_ids", F.lit(0)), F.get("report_ids", F.lit(0))), lambda f: f.isNotNull())
+    facts = index(spark, sf_dir).select("domain", "i", F.explode(F.array_distinct(newest)).alias("fact")).withColumn("fact", F.col("fact").cast("long"))
+    texts = facts.join(docs, F.pmod("fact", F.lit(known)) == F.col("doc_id")).groupBy("domain", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fact", "words"))), lambda f: f["words"]), " [sep] ").alias("text"))
+    rows = task_windows(spark, sf_dir, False).where("segment != 'dec'").withColumn("segment", F.when(F.col("segment") == "cal", "val").otherwise(F.col("segment")))
+    on = ["domain", "horizon", "segment"]
+    rows = settled(rows.join(texts, ["domain", "i"], "left").select(*on, "i", "n", "x", "y", F.coalesce("text", F.lit("")).alias("text")))
+    first = rows.groupBy(*on).agg(F.min("i").alias("first"))
+    moved = R.shuffled(rows, on, "i", "text", 202602).join(first, on).select(*on, (F.col("first") + F.col("at")).alias("i"), F.col("shuffled").alias("text"))
+    both = rows.withColumn("alignment", F.lit("aligned")).unionByName(rows.drop("text").join(moved, [*on, "i"]).withColumn("alignment", F.lit("shuffled")))
+    out = terms.text_models(settled(both), ["domain", "horizon", "alignment"], ridge.ALPHAS)
+    return out.select("domain", "horizon", "alignment", "kind", "terms", "alpha", rounded("validation_mse").alias("validation_mse"), rounded("test_mse").alias("test_mse"))
+
+
 @query()
 def null_sensitivity(spark, sf_dir):
     """p-values of the frequency candidate under four nulls: rows or shifts moved, interaction scales kept or fitted anew."""

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.numbers import int_frac
-from tidemark.operators import lagged, residual, ridge, series as S, statistics as R
+from tidemark.operators import lagged, residual, ridge, series as S, statistics as R, terms
 from tidemark.plans import query
 from tidemark.plans.series import INPUT, SCALED_SQL, rounded, train_scaled
 from tidemark.plans.text import PIT_SQL, index
+from tidemark.sources.shared import settled
+from tidemark.sources.tables import table
 
 SEED, DRAWS = 61, 49
 _PLACE = "row_number() OVER (PARTITION BY domain, segment ORDER BY i)"
@@ -126,3 +128,32 @@ def component_candidates(spark, sf_dir):
     rows = rows.join(n, "domain").select("domain", F.col("p").alias("i"), "n", segment.alias("segment"), F.lit(None).cast("int").alias("half"), zero.alias("x"), "y", F.col("text").alias("e"), none.alias("q"), F.slice("numbers", 1, 1).alias("f"))
     out = residual.solved(rows, ["domain"], {"components": ("pca", "cross")}, most=1, crossed=1)
     return out.select("domain", "columns", "alpha", *(rounded(c).alias(c) for c in ("calibration_mse", "mse", "fallback_mse")))
+
+
+_SCOPES = "(VALUES ('one', 'train'), ('both', 'train'), ('both', 'cal')) v(which, segment)"
+
+
+@query(f"""WITH {BASE_SQL}, txt AS (SELECT pl.domain, pl.segment, pl.p, pl.y, regexp_extract_all(lower(translate(text, 'áéíóúñäöüàèçêÉÁÍÓÚÑÄÖÜÀÈÇÊ', 'aeiounaouaeceEAIOUNAOUAECE')), '[a-z0-9]{{2,}}') AS t FROM pl JOIN documents ON doc_id = pl.p % (SELECT count(*) FROM documents)),
+tw AS (SELECT domain, segment, p, unnest(list_concat(t, list_transform(range(1, len(t)), lambda k: t[k] || ' ' || t[k + 1]))) AS term FROM txt), tf AS (SELECT domain, segment, p, term, count(*) AS c FROM tw GROUP BY ALL),
+voc AS (SELECT which, domain, term, count(*) AS df, row_number() OVER (PARTITION BY which, domain ORDER BY sum(c) DESC, term) AS k FROM tf JOIN {_SCOPES} USING (segment) GROUP BY which, domain, term HAVING count(*) >= 2 QUALIFY k <= 2),
+nn AS (SELECT which, domain, count(*) AS n FROM txt JOIN {_SCOPES} USING (segment) GROUP BY which, domain),
+wt AS (SELECT which, domain, segment, p, k, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN voc USING (domain, term) JOIN nn USING (which, domain)),
+un AS (SELECT which, domain, segment, p, coalesce(sum(x) FILTER (k = 1), 0) / sqrt(sum(x * x)) AS a, coalesce(sum(x) FILTER (k = 2), 0) / sqrt(sum(x * x)) AS b FROM wt GROUP BY ALL),
+vec AS (SELECT s.which, t.domain, t.segment, t.p, t.y, coalesce(a, 0) AS a, coalesce(b, 0) AS b, v.segment IS NOT NULL AS fits FROM txt t CROSS JOIN (VALUES ('one'), ('both')) s(which) LEFT JOIN un ON un.which = s.which AND un.domain = t.domain AND un.segment = t.segment AND un.p = t.p LEFT JOIN {_SCOPES} ON v.which = s.which AND v.segment = t.segment),
+st AS (SELECT which, domain, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM vec WHERE fits GROUP BY which, domain), z AS (SELECT which, domain, segment, fits, a - ma AS a, b - mb AS b, y - my AS y FROM vec JOIN st USING (which, domain)),
+gr AS (SELECT which, domain, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS cy FROM z WHERE fits GROUP BY which, domain),
+w AS (SELECT which, domain, alpha, ((bb + alpha) * ay - ab * cy) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wa, ((aa + alpha) * cy - ab * ay) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wb FROM gr, (VALUES {", ".join(f"({a!r}::DOUBLE)" for a in ridge.ALPHAS)}) t(alpha)),
+e AS (SELECT which, domain, alpha, avg((y - wa * a - wb * b) ** 2) FILTER (segment = 'cal') AS cal, avg((y - wa * a - wb * b) ** 2) FILTER (segment = 'test') AS test FROM z JOIN w USING (which, domain) GROUP BY ALL),
+best AS (SELECT domain, alpha, cal FROM e WHERE which = 'one' QUALIFY row_number() OVER (PARTITION BY domain ORDER BY round(cal, 9), alpha) = 1)
+SELECT domain, 2 AS terms, alpha, round(best.cal, 6) AS validation_mse, round(test, 6) AS test_mse FROM best JOIN e USING (domain, alpha) WHERE which = 'both'""")
+def two_term_probe(spark, sf_dir):
+    """Ridge on the weights of two terms of each origin's document; vocabularies are those of the rows that a fit has."""
+    rows = placed(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", terms.plain("text").alias("words"))
+    known = docs.count()
+    n = rows.groupBy("domain").agg(F.count("*").cast("int").alias("n"))
+    rows = rows.join(n, "domain").join(docs, F.col("p") % known == F.col("doc_id"))
+    segment = F.when(F.col("segment") == "cal", "val").otherwise(F.col("segment"))
+    rows = settled(rows.select("domain", F.col("p").alias("i"), "n", segment.alias("segment"), F.col("numbers").alias("x"), "y", F.col("words").alias("text")))
+    out = terms.text_models(rows, ["domain"], ridge.ALPHAS, most=2).where("kind = 'TextOnly'")
+    return out.select("domain", "terms", "alpha", rounded("validation_mse").alias("validation_mse"), rounded("test_mse").alias("test_mse"))

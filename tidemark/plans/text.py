@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.text import FUTURE_WORDS, is_valid, normalise, tells_future
-from tidemark.operators import pit
+from tidemark.operators import pit, terms
 from tidemark.plans import query
 from tidemark.plans.series import SERIES_SQL, positioned, rounded
+from tidemark.sources.shared import spread
 from tidemark.sources.tables import DOMAINS, dated_facts, table
 
 #: Documents say nothing of the future and none is missing: some are made so by doc_id, in queries and SQL alike.
@@ -154,27 +157,29 @@ def encode_split(spark, sf_dir):
     return split.groupBy("source").agg(F.count("*").alias("facts"), F.count_if("old").alias("reused"), F.count_if(~F.col("old")).alias("to_encode"))
 
 
-#: Terms kept at most, and the least number of documents of one.
-TERMS, MIN_DF = 256, 2
 TFIDF_SQL = """w AS (SELECT doc_id, pos, tok FROM (SELECT doc_id, generate_subscripts(t, 1) AS pos, unnest(t) AS tok FROM (SELECT doc_id, regexp_extract_all(lower(translate(text, 'áéíóúñäöüàèçêÉÁÍÓÚÑÄÖÜÀÈÇÊ', 'aeiounaouaeceEAIOUNAOUAECE')), '[a-z0-9]{2,}') AS t FROM documents))),
 g AS (SELECT doc_id, tok AS term FROM w UNION ALL SELECT a.doc_id, a.tok || ' ' || b.tok FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1),
-tf AS (SELECT doc_id, term, count(*) AS c FROM g GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df, sum(c) AS total FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 256),
+tf AS (SELECT doc_id, term, count(*) AS c FROM g GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df, sum(c) AS total FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 1024),
 n AS (SELECT count(*) AS n FROM documents), x AS (SELECT doc_id, term, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term), n)"""
 
 
 @query(f"""WITH {TFIDF_SQL} SELECT doc_id, count(*) AS terms, round(max(x) / sqrt(sum(x * x)), 6) AS top_weight, arg_max(term, (x, term)) AS top_term FROM x GROUP BY doc_id""")
 def tfidf(spark, sf_dir):
     """Unit TF-IDF vectors of words and word pairs, as each document's number of terms and its weightiest one."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    plain = F.lower(F.translate("text", "áéíóúñäöüàèçêÉÁÍÓÚÑÄÖÜÀÈÇÊ", "aeiounaouaeceEAIOUNAOUAECE"))
-    tokens = F.regexp_extract_all(plain, F.lit("([a-z0-9]{2,})"), F.lit(1))
-    pairs = lambda t: F.when(F.size(t) > 1, F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    all_terms = docs.withColumn("t", tokens).select("doc_id", F.concat("t", pairs(F.col("t"))).alias("all"))
-    # The vocabulary first, of counts that are combined before their shuffle: so only its own terms are ever counted by document.
-    once = all_terms.select(F.explode(F.array_distinct("all")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= MIN_DF)
-    total = all_terms.select(F.explode("all").alias("term")).groupBy("term").agg(F.count("*").alias("total"))
-    vocabulary = once.join(total, "term").orderBy(F.desc("total"), "term").limit(TERMS)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", terms.plain("text").alias("text"))
+    known = terms.vocabulary(docs)
     n = docs.count()
-    tf = all_terms.select("doc_id", F.explode("all").alias("term")).join(F.broadcast(vocabulary), "term").groupBy("doc_id", "term").agg(F.count("*").alias("c"), F.first("df").alias("df"))
-    weighed = tf.withColumn("x", (1 + F.log("c")) * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
-    return weighed.groupBy("doc_id").agg(F.count("*").alias("terms"), rounded(F.max("x") / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("top_weight"), F.max_by("term", F.struct("x", "term")).alias("top_term"))
+
+    def run(batches):
+        place, idf = {t: k for k, (t, _) in enumerate(known)}, terms.idf_of(np.array([df for _, df in known], float), n)
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                at, w = terms.weights(text, place, idf)
+                if len(w):
+                    # The weightiest, the last in order among equals to twelve digits
+                    k, top = max(zip(at.tolist(), w.tolist()), key=lambda x: (round(x[1], 12), known[x[0]][0]))
+                    out.append((doc_id, len(w), top, known[k][0]))
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "terms", "top_weight", "top_term"), r)) for r in out], schema=pa.schema([("doc_id", pa.int64()), ("terms", pa.int64()), ("top_weight", pa.float64()), ("top_term", pa.string())]))
+
+    return docs.mapInArrow(run, "doc_id long, terms long, top_weight double, top_term string").withColumn("top_weight", rounded("top_weight"))
