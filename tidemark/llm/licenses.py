@@ -210,16 +210,12 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
-#: Files of a directory that meet its licence in one task, about.
-SALT_ROWS = 100_000
-
-
 def inherit(scanned: DataFrame, path: str = "path") -> DataFrame:
     """scanned with license, origin ('own', 'inherited', 'none') and license_dir.
 
     A file without a licence of its own takes that of the nearest directory at or above its own that has a licence file with
     one; of several there, the best score, then the least path. Directories are resolved once each, by a join of their
-    ancestors to those that have a licence, then joined to their files; one of very many files is dealt to several tasks.
+    ancestors to those that have a licence, then joined to their files in a join that can be split.
     """
     kept = [c for c in scanned.columns if c not in ("license", "origin", "license_dir")]
     name = F.element_at(F.split(F.col(path), "/"), -1)
@@ -227,17 +223,15 @@ def inherit(scanned: DataFrame, path: str = "path") -> DataFrame:
     here = cut_lineage(here)  # so that the texts are scanned once
     owners = here.where(F.col("name").rlike(LICENCE_FILE) & F.col("own_license").isNotNull())
     owners = owners.groupBy(F.col("dir").alias("owner")).agg(F.min(F.struct(-F.col("own_score"), "path", F.col("own_license").alias("l")))["l"].alias("l"))
-    dirs = here.where("own_license is null and dir is not null").groupBy("dir").agg(F.count("*").alias("files"))
+    dirs = here.where("own_license is null and dir is not null").select("dir").distinct()
     steps = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
-    near = dirs.select("dir", "files", F.posexplode(above).alias("depth", "owner")).join(owners, "owner")
-    near = near.groupBy("dir").agg(F.max_by(F.struct("l", "owner"), "depth").alias("found"), F.first("files").alias("files"))
-    # A file's salt runs over as many numbers as the largest directory needs, which the directory's row is copied to.
-    most = dirs.agg(F.coalesce(F.max("files"), F.lit(0))).first()[0]
-    salts = 1 + most // SALT_ROWS
-    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("dir", "salt", "found")
+    near = dirs.select("dir", F.posexplode(above).alias("depth", "owner")).join(owners, "owner")
+    near = near.groupBy("dir").agg(F.max_by(F.struct("l", "owner"), "depth").alias("found"))
+    # One row per directory, written, so that the join below has a shuffle of its own on each side, whose large directories adaptive execution splits.
+    near = cut_lineage(near)
     own = F.col("own_license").isNotNull()
-    needy = here.where(~own).withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int")).join(near, ["dir", "salt"], "left")
+    needy = here.where(~own).join(near, "dir", "left")
     needy = needy.select("row", F.col("found.l").alias("license"), F.when(F.col("found").isNotNull(), "inherited").otherwise("none").alias("origin"), F.col("found.owner").alias("license_dir"))
     with_own = here.where(own).select("row", F.col("own_license").alias("license"), F.lit("own").alias("origin"), F.lit(None).cast("string").alias("license_dir"))
     return with_own.unionByName(needy).select("row.*", "license", "origin", "license_dir")

@@ -16,7 +16,7 @@ from math import isqrt, prod
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import map_rows
+from tidemark.llm.common import as_parquet, map_rows
 
 # Alphabets within which a character is replaced, so that script, case and kind stay.
 ALPHABETS = (
@@ -32,23 +32,28 @@ ALPHABETS = (
 )
 VOWELS = "aeiou"
 CONSONANTS = "bcdfghjklmnpqrstvwxyz"
-# Given names by gender, and titles with the gender they tell.
+# Given names by gender and script, family names that come first, and titles with the gender they tell.
 GIVEN = {
-    "f": ("Alice", "Amelia", "Amy", "Angela", "Anna", "Astrid", "Camille", "Carla", "Carmen", "Charlotte", "Clara", "Claire", "Elena", "Emily", "Emma", "Eva", "Greta", "Hannah", "Helen", "Ines", "Ingrid", "Isabel", "Jane", "Julia", "Karen", "Laura", "Linda", "Lucy", "Maria", "Marie", "Marta", "Mary", "Nicole", "Olivia", "Paula", "Pilar", "Rachel", "Rosa", "Sarah", "Sofia", "Sophie", "Susan", "Teresa", "Ursula"),
-    "m": ("Adam", "Alejandro", "Andrew", "Antoine", "Bernd", "Brian", "Carlos", "Charles", "Daniel", "David", "Diego", "Edward", "Erik", "Felix", "Fernando", "Frank", "George", "Hans", "Henry", "Hugo", "Jack", "James", "Javier", "John", "Jorge", "Jürgen", "Karl", "Kevin", "Klaus", "Luis", "Martin", "Michael", "Miguel", "Oscar", "Paul", "Pedro", "Peter", "Pierre", "Robert", "Stefan", "Steven", "Thomas", "William", "Wolfgang"),
+    "f": ("Alice", "Amelia", "Amy", "Angela", "Anna", "Astrid", "Camille", "Carla", "Carmen", "Charlotte", "Clara", "Claire", "Elena", "Emily", "Emma", "Eva", "Greta", "Hannah", "Helen", "Ines", "Ingrid", "Isabel", "Jane", "Julia", "Karen", "Laura", "Linda", "Lucy", "Maria", "Marie", "Marta", "Mary", "Nicole", "Olivia", "Paula", "Pilar", "Rachel", "Rosa", "Sarah", "Sofia", "Sophie", "Susan", "Teresa", "Ursula", "Abigail", "Agnes", "Alexandra", "Andrea", "Barbara", "Beatrice", "Brenda", "Caroline", "Catherine", "Chloe", "Christina", "Deborah", "Diana", "Donna", "Dorothy", "Eleanor", "Elizabeth", "Frances", "Gabriela", "Heidi", "Jennifer", "Jessica", "Kathleen", "Katrin", "Kimberly", "Lucia", "Manuela", "Margaret", "Melissa", "Michelle", "Monika", "Nancy", "Natalie", "Patricia", "Priya", "Rebecca", "Sandra", "Sharon", "Silvia", "Stephanie", "Valentina", "Veronica", "Victoria", "Yvonne"),
+    "m": ("Adam", "Alejandro", "Andrew", "Antoine", "Bernd", "Brian", "Carlos", "Charles", "Daniel", "David", "Diego", "Edward", "Erik", "Felix", "Fernando", "Frank", "George", "Hans", "Henry", "Hugo", "Jack", "James", "Javier", "John", "Jorge", "Jürgen", "Karl", "Kevin", "Klaus", "Luis", "Martin", "Michael", "Miguel", "Oscar", "Paul", "Pedro", "Peter", "Pierre", "Robert", "Stefan", "Steven", "Thomas", "William", "Wolfgang", "Alan", "Albert", "Alexander", "Alfred", "Anthony", "Arthur", "Benjamin", "Bob", "Bruno", "Christopher", "Dennis", "Dieter", "Donald", "Eduardo", "Emilio", "Enrique", "Eric", "Francisco", "Gary", "Gerhard", "Günter", "Heinrich", "Jacob", "Jason", "Jeffrey", "Jim", "Joe", "Jonathan", "Joseph", "Joshua", "Kenneth", "Larry", "Manuel", "Mario", "Matthew", "Mohammed", "Nicolas", "Patrick", "Philippe", "Raj", "Ricardo", "Richard", "Roberto", "Ronald", "Ryan", "Samuel", "Scott", "Sergio", "Stephen", "Timothy", "Tom", "Walter"),
+    "f-cyrillic": ("Александра", "Алина", "Анастасия", "Анна", "Валентина", "Вера", "Галина", "Дарья", "Екатерина", "Елена", "Ирина", "Ксения", "Людмила", "Мария", "Надежда", "Наталья", "Ольга", "Светлана", "Татьяна", "Юлия"),
+    "m-cyrillic": ("Александр", "Алексей", "Андрей", "Антон", "Борис", "Виктор", "Владимир", "Дмитрий", "Евгений", "Иван", "Игорь", "Константин", "Максим", "Михаил", "Николай", "Олег", "Павел", "Пётр", "Сергей", "Юрий"),
+    "first": ("Cao", "Chen", "Feng", "Gao", "Huang", "Liang", "Lin", "Liu", "Luo", "Nguyen", "Tang", "Wang", "Xiao", "Xie", "Yamamoto", "Yang", "Zhang", "Zhao", "Zheng", "Zhou", "Zhu"),
 }
 TITLES = {"Mr": "m", "Sir": "m", "Herr": "m", "Señor": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Madame": "f", "Mme": "f", "Dr": "", "Prof": ""}
 
 SECRET_CUE = r"(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|passwd|password|pwd|bearer)"
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])"),
-    "secret": re.compile(rf"\b{SECRET_CUE}\b[\"']?[ \t]*(?:=|:|\s)[ \t]*[\"']?(?P<v>(?=[A-Za-z+/_.=-]*\d)[A-Za-z0-9+/_.=-]{{8,}}+)(?=[\"'\s,;)]|$)", re.I),
+    # After a sign that assigns, any value; after white space, one with a digit.
+    "secret": re.compile(rf"\b{SECRET_CUE}\b[\"']?[ \t]*(?:[=:][ \t]*[\"']?|\s[ \t]*[\"']?(?=[A-Za-z+/_.=-]*\d))(?P<v>[A-Za-z0-9+/_.=-]{{8,}}+)(?=[\"'\s,;)]|$)", re.I),
     "key": re.compile(r"\b(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-)(?P<v>[A-Za-z0-9_-]{12,})\b"),
-    "iban": re.compile(r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
+    "iban": re.compile(r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)\b"),
     "card": re.compile(r"(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\d-])"),
-    "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|(?i:\bSSN|\bsocial security(?: number| no\.?)?)[ \t:#]{1,3}(?P<w>\d{3}[ -]?\d{2}[ -]?\d{4})(?![\d-])"),
     "ip": re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"),
-    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w.])\+\d{9,15}(?!\w)"),
+    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w.])\+\d{9,15}(?!\w)"
+        r"|(?<![\w.])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?![\w-])|(?<![\w.-])[2-9]\d{2}555\d{4}(?![\w-])|(?i:\b(?:tel|phone|call|mobile|cell|fax|whatsapp|telefon|teléfono|téléphone)\b[.:]?[ \t]{0,3}(?:is|at|no\.?|number)?[ \t:]{0,3})(?P<w>[2-9]\d{8,9})(?![\w-])"),
 }
 # Months by language and form, and the words of street addresses.
 MONTHS = (
@@ -67,15 +72,23 @@ PATTERNS |= {
     "address": re.compile(
         rf"(?<![\w.])(?:\d{{1,5}}[ \t](?:{_CAPITAL}[ \t]){{1,3}}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Way|Square|Place|Terrace)"
         rf"|[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|platz|allee|gasse)[ \t]\d{{1,4}}"
-        rf"|\d{{1,4}},?[ \t](?:rue|avenue|boulevard|place|chemin|allée)[ \t](?:d[eu]s?[ \t](?:la[ \t])?)?{_CAPITAL}(?:[ \t]{_CAPITAL}){{0,2}}"
+        rf"|\d{{1,4}},?[ \t](?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Pp]lace|[Cc]hemin|[Aa]llée)[ \t](?:d[eu]s?[ \t](?:la[ \t])?)?{_CAPITAL}(?:[ \t]{_CAPITAL}){{0,2}}"
         rf"|(?:Calle|Avenida|Plaza|Paseo)[ \t](?:del?[ \t](?:la[ \t])?)?{_CAPITAL}(?:[ \t]{_CAPITAL}){{0,2}},?[ \t]\d{{1,4}})(?!\w)"
     ),
 }
 #: What stays of an address: the words that make it one.
-STREET = re.compile(r"^(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Way|Square|Place|Terrace|rue|avenue|boulevard|place|chemin|allée|Calle|Avenida|Plaza|Paseo|d[eu]s?|del|la)$")
+STREET = re.compile(r"^(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Way|Square|Place|Terrace|[Rr]ue|avenue|boulevard|place|[Cc]hemin|[Aa]llée|Calle|Avenida|Plaza|Paseo|d[eu]s?|del|la)$")
 STREET_END = re.compile(r"(?:straße|strasse|weg|platz|allee|gasse)$")
 _WORDS = r"[A-ZÀ-ÝА-ЯΑ-Ω][\w'’-]+"
-NAME = re.compile(r"\b(?:(?:" + "|".join(TITLES) + rf")\.?[ \t]+(?P<v>{_WORDS}(?:[ \t]{_WORDS}){{0,2}})|(?P<u>(?:" + "|".join(n for pool in GIVEN.values() for n in pool) + rf")(?:[ \t]{_WORDS}){{1,2}}))")
+_GIVEN = [n for pool in GIVEN.values() for n in pool]
+_SHOUTED = [n.upper() for n in _GIVEN]
+#: A name after a title, or a given name (or a family name that comes first) with more names after it, in capitals throughout or not.
+NAME = re.compile(
+    r"\b(?:(?:" + "|".join(TITLES) + rf")\.?[ \t]+(?P<v>{_WORDS}(?:[ \t]{_WORDS}){{0,2}})|(?P<u>(?:" + "|".join(_GIVEN) + rf")(?:[ \t]{_WORDS}){{1,2}}|(?:" + "|".join(_SHOUTED) + r")(?:[ \t][A-ZÀ-ÝА-ЯΑ-Ω]{2,}){1,2})(?![\w]))"
+)
+POSSESSIVE = re.compile(r"['’]s?(?=\s|$)")
+#: The pool of a given name, by its small letters.
+POOL = {n.lower(): (group, n) for group, pool in GIVEN.items() for n in pool}
 #: Where two finds overlap, the earlier type here keeps the text.
 ORDER = ("email", "key", "secret", "iban", "card", "ssn", "ipv6", "ip", "phone", "birth", "address", "name")
 
@@ -265,11 +278,13 @@ def _word(key: bytes, word: str) -> str:
 
 
 def _name(key: bytes, word: str) -> str:
-    for gender, pool in GIVEN.items():
-        if word in pool:
-            return permute(key, f"given-{gender}", [word], [list(pool)])[0]
+    """A name of the pool for one of the pool, in the same case; another word for one that is in no pool."""
+    if word.lower() in POOL:
+        group, name = POOL[word.lower()]
+        new = permute(key, f"given-{group}", [name], [list(GIVEN[group])])[0]
+        return new if word == name else new.upper() if word == word.upper() else new.lower() if word == word.lower() else new
     new = _word(key, word)
-    while any(new in pool for pool in GIVEN.values()):  # on along the cycle: a name of the pool stands for one of the pool only
+    while new.lower() in POOL:  # on along the cycle
         new = _word(key, new)
     return new
 
@@ -343,6 +358,11 @@ def surrogate(key: bytes, kind: str, value: str) -> str:
     return MAKE[kind](key, value)
 
 
+def _checks(iban: str) -> bool:
+    flat = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
 def _is_ipv6(text: str) -> bool:
     try:
         ipaddress.IPv6Address(text)
@@ -357,7 +377,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
     def add(kind: str) -> None:
         for m in PATTERNS[kind].finditer(text):
-            at = m.span("v") if "v" in PATTERNS[kind].groupindex else m.span()
+            at = next((m.span(g) for g in ("v", "w") if g in PATTERNS[kind].groupindex and m[g] is not None), m.span())
             value = text[slice(*at)]
             if kind == "ip" and not all(int(p) < 256 and (p == "0" or p[0] != "0") for p in value.split(".")):
                 continue
@@ -365,24 +385,32 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 continue
             if kind == "phone" and not 7 <= len(digits_of(value)) <= 15:
                 continue
-            if kind == "iban" and len(value.replace(" ", "")) < 15:
+            if kind == "iban" and (len(value.replace(" ", "")) < 15 or value == value.lower() and not _checks(value)):
                 continue
             found.append((*at, kind))
 
     if "@" in text:
         add("email")
+    for kind in ("key", "secret"):
+        if GUARDS[kind](text):
+            add(kind)
     if DIGIT(text):
-        for kind in ("key", "secret", "iban", "card", "ssn", "ipv6", "ip", "phone", "birth", "address"):
+        for kind in ("iban", "card", "ssn", "ipv6", "ip", "phone", "birth", "address"):
             if GUARDS[kind](text):
                 add(kind)
     names: set[str] = set()
     for m in NAME.finditer(text) if TITLE(text) else ():
         which = "v" if m["v"] else "u"
-        found.append((*m.span(which), "name"))
-        parts = m[which].split()
-        names |= {m[which], parts[-1]} if len(parts) > 1 else set(parts)
-    if names:  # later mentions without the title
-        again = re.compile(r"(?<![\w'’-])(?:" + "|".join(map(re.escape, sorted(names, key=lambda n: (-len(n), n)))) + r")(?![\w'’-])")
+        value = POSSESSIVE.split(m[which], maxsplit=1)[0]
+        start = m.start(which)
+        found.append((start, start + len(value), "name"))
+        parts = value.split()
+        names |= {value, parts[-1]} if len(parts) > 1 else set(parts)
+    if names:  # mentions without the title, in the possessive too; of more names than one, in any case
+        whole = [n for n in names if " " in n]
+        some = lambda names: "|".join(map(re.escape, sorted(names, key=lambda n: (-len(n), n))))
+        each = ([f"(?i:{some(whole)})"] if whole else []) + [some({n for n in names} | {n.upper() for n in names})]
+        again = re.compile(r"(?<![\w'’-])(?:" + "|".join(each) + r")(?=['’]s?(?!\w)|(?![\w'’-]))")
         found += [(*m.span(), "name") for m in again.finditer(text)]
     found.sort(key=lambda x: (ORDER.index(x[2]), x[0], -x[1]))
     taken: list[tuple[int, int, str]] = []
@@ -403,15 +431,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 DIGIT = re.compile(r"\d").search
-TITLE = re.compile(r"\b(?:" + "|".join([*TITLES, *(n for pool in GIVEN.values() for n in pool)]) + r")\b").search
+TITLE = re.compile(r"\b(?:" + "|".join([*TITLES, *_GIVEN, *_SHOUTED]) + r")\b").search
 GUARDS = {
     "key": re.compile(r"AKIA|ASIA|gh[po]_|sk-|xox").search,
     "secret": re.compile(r"token|secret|key|passw|pwd|bearer", re.I).search,
-    "iban": re.compile(r"[A-Z]{2}\d\d").search,
+    "iban": re.compile(r"[A-Z]{2}\d\d|[a-z]{2}\d\d").search,
     "card": re.compile(r"\d{4}").search,
-    "ssn": re.compile(r"\d-\d\d-").search,
+    "ssn": re.compile(r"\d-\d\d-|\b(?:SSN|social security)", re.I).search,
     "ip": re.compile(r"\d\.\d+\.").search,
-    "phone": re.compile(r"\d{3,4}[ .-]\d{3,4}|\+\d").search,
+    "phone": re.compile(r"\d{3,4}[ .-]\d{3,4}|\+\d|\d{9}").search,
     "ipv6": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]").search,
     "birth": re.compile(rf"\b{BIRTH}", re.I).search,
     "address": re.compile(r"\d,?[ \t][\w]|\w[ \t]\d").search,
@@ -474,6 +502,21 @@ def session_key(spark: SparkSession) -> bytes:
     return spark.conf.get(KEY_SETTING, DEFAULT_KEY).encode()
 
 
+def audited(docs: DataFrame, key: bytes, tries: int = 4) -> DataFrame:
+    """pseudonymise(docs, key), written and audited: if its surrogates collide, with the first of the keys derived from it whose
+    don't. Texts are searched once; only surrogates and digests are shuffled, combined before. Raises ValueError if every key
+    has collisions."""
+    for k in range(tries):
+        out = as_parquet(pseudonymise(docs, _derived(key, k)))
+        if collisions(out).isEmpty():
+            return out
+    raise ValueError(f"surrogates of different values collide under {tries} keys")
+
+
+def _derived(key: bytes, k: int) -> bytes:
+    return hashlib.blake2b(b"key %d" % k, key=key[:64], digest_size=32).digest() if k else key
+
+
 def audited_key(docs: DataFrame, key: bytes, tries: int = 4) -> bytes:
     """key if its surrogates of these documents don't collide, else the first of the keys derived from it that has none.
 
@@ -487,7 +530,7 @@ def audited_key(docs: DataFrame, key: bytes, tries: int = 4) -> bytes:
                 yield {"entities": entities}
 
     for k in range(tries):
-        use = hashlib.blake2b(b"key %d" % k, key=key[:64], digest_size=32).digest() if k else key
+        use = _derived(key, k)
         if collisions(map_rows(docs.select("text"), run, f"entities {ENTITIES}")).isEmpty():
             return use
     raise ValueError(f"surrogates of different values collide under {tries} keys")

@@ -41,7 +41,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text with surrogates, and entities: type, place, keyed digest of the original, surrogate."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, pii.audited_key(docs, pii.session_key(spark)))
+    return pii.audited(docs, pii.session_key(spark))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
