@@ -266,9 +266,8 @@ def test_alike_texts_of_a_component_equal_all_pairs(spark, chunk, chunk_shingles
                 if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     root[a] = root[b] = min(root[a], root[b])
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    near = spark.createDataFrame([(k, 0) for k in texts], "id long, component long")
-    sizes = spark.createDataFrame([(k, len(v)) for k, v in sets.items()], "id long, n long")
-    found = connected_components(simhash.verified(docs, near, sizes, 0.8, 5, chunk, chunk_shingles)).collect()
+    near = spark.createDataFrame([(k, 0) for k in texts], "id long, c long")
+    found = connected_components(simhash.verified(simhash.shingle_sets(docs, near, 5), near, 0.8, chunk, chunk_shingles)).collect()
     got = {k: k for k in texts} | {r["id"]: r["component"] for r in found}
     assert got == root and 3 < len(set(root.values())) < 60
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()} == root
@@ -698,3 +697,28 @@ def test_a_clash_takes_the_next_key(spark, monkeypatch):
     monkeypatch.setattr(pii, "collisions", lambda out: out if next(tries) else found(out))
     want = pii.pseudonymise(docs, pii._derived(b"k", 1))
     assert sorted(map(tuple, pii.audited(docs, b"k").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_chain_of_loose_links_is_verified_in_bounded_sets(spark):
+    """Each text shares 70 of 100 words with the next: candidates chain, but what is compared grows with the texts."""
+    rng = random.Random(3)
+    counted = {}
+    for n in (150, 300):
+        words = [f"w{k}" for k in range(30 * n + 100)]
+        texts = [(k, " ".join(words[30 * k : 30 * k + 100])) for k in range(n)] + [(n, " ".join(words[:99] + ["x"])), (n + 1, " ".join(words[1:100]))]
+        docs = spark.createDataFrame(rng.sample(texts, len(texts)), "doc_id long, text string")
+        found = simhash.sketches(docs).select(F.posexplode("keys").alias("t", "key"), F.col("doc_id").alias("id"), "fp")
+        near = simhash.clusters(found, simhash.radius_for(0.6)).cache()
+        counted[n] = near.groupBy("c").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")), F.max("n")).first()
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+        assert got == {k: 0 if k in (n, n + 1) else k for k in range(n + 2)}
+    assert counted[300][0] <= 2.6 * counted[150][0] and counted[300][1] <= 16
+
+
+def test_equal_sets_of_several_keys_are_one(spark):
+    rows = [(t, 7, k, [t * 0 + 5] * simhash.LANES) for t in (2, 4) for k in (1, 2, 3)] + [(3, 9, 1, [5] * simhash.LANES), (3, 9, 2, [5] * simhash.LANES)]
+    keyed = spark.createDataFrame(rows, "t int, key long, id long, fp array<long>")
+    got = {}
+    for r in simhash.clusters(keyed, 3).collect():
+        got.setdefault(r["c"], set()).add((r["id"], r["t"]))
+    assert sorted(map(sorted, got.values())) == [[(1, 2), (2, 2), (3, 2)], [(1, 3), (2, 3)]]

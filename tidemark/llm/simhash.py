@@ -12,7 +12,7 @@ fingerprints only propose: texts that they join are held against one another shi
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import cut_lineage, map_rows
+from tidemark.llm.common import as_parquet, cut_lineage, map_rows
 from tidemark.llm.components import connected_components, join_roots
 
 BITS = 64
@@ -37,6 +37,8 @@ LANES = 4
 SPREAD = 4
 #: Bands of least hashes, and hashes in a band: texts of Jaccard similarity 0.8 share a band with a chance of 0.9998.
 BANDS, IN_BAND = 12, 3
+#: First and last band of each round of verification.
+ROUNDS = ((0, 1), (2, BANDS - 1))
 _SHIFTS = np.arange(BITS, dtype=np.uint64)
 #: Odd factors, which turn a shingle's hash into one per least hash and per lane.
 _FACTORS = np.array([xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(BANDS * IN_BAND + LANES)], np.uint64)
@@ -250,6 +252,27 @@ def compared(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     chunks, never by those in a key.
     """
     id_type = dict(keyed.dtypes)["id"]
+    return _compared(keyed, radius, chunk, lambda t, far, root: pd.DataFrame({"a": far, "b": root}), f"a {id_type}, b {id_type}").distinct()
+
+
+def clusters(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """(c, id, t): sets of ids that a key's links join, each with the first table that has it; ids that share a key and whose
+    fingerprints are within the radius are in one set. A set lies within two chunks of one key, and equal sets of many keys are one."""
+
+    def sets(t: np.ndarray, far: np.ndarray, root: np.ndarray) -> pd.DataFrame:
+        members = pd.DataFrame({"t": np.append(t, t), "root": np.append(root, root), "id": np.append(far, root)}).drop_duplicates().sort_values(["t", "root", "id"])
+        name = members.groupby(["t", "root"], sort=False)["id"].transform(lambda ids: np.int64(np.uint64(xxhash.xxh64_intdigest(",".join(map(str, ids)), SEED)).view(np.int64)))
+        return pd.DataFrame({"c": name.to_numpy(np.int64), "id": members["id"], "t": members["t"].to_numpy(np.int32)})
+
+    found = _compared(keyed, radius, chunk, sets, f"c long, id {dict(keyed.dtypes)['id']}, t int")
+    return found.groupBy("c", "id").agg(F.min("t").alias("t"))
+
+
+def _compared(keyed: DataFrame, radius: int, chunk: int, give: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """What give makes of the links in each pair of a key's chunks: tables, ids and the ids that they are linked with.
+
+    Links of one pair of chunks lead to the least place that they join, so equal second ids of one call are one set.
+    """
     counts = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
     dealt = keyed.join(counts, ["t", "key"]).withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
@@ -268,7 +291,7 @@ def compared(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
             starts = np.concatenate(([0], np.nonzero((ids[1:] != ids[:-1]).any(axis=1))[0] + 1, [len(frame)]))
             sizes, small = np.diff(starts), np.diff(starts) <= BITS
             small &= ids[starts[:-1], 2] == ids[starts[:-1], 3]
-            sides = tuple([named[places]] for places in small_links(fps, starts[:-1][small], sizes[small], radius))
+            sides = tuple([places] for places in small_links(fps, starts[:-1][small], sizes[small], radius))
             for a, b in zip(starts[:-1][~small].tolist(), starts[1:][~small].tolist()):
                 found = ()
                 i, j = ids[a, 2], ids[a, 3]
@@ -279,9 +302,9 @@ def compared(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
                     if a < cut < b:
                         found = block_links(fps[a:cut], fps[cut:b], radius)
                 for side, places in zip(sides, found):
-                    side.append(named[a:b][places])
-            a, b = map(np.concatenate, sides)
-            return pd.DataFrame({"a": a, "b": b})
+                    side.append(a + places)
+            far, root = map(np.concatenate, sides)
+            return give(ids[far, 0].astype(np.int64), named[far], named[root])
 
         for batch in batches:
             held.append(batch)
@@ -294,7 +317,7 @@ def compared(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
         if held and len(held[0]):
             yield out(held[0])
 
-    return ready.mapInPandas(run, f"a {id_type}, b {id_type}").distinct()
+    return ready.mapInPandas(run, schema)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -366,25 +389,28 @@ def alike(codes: np.ndarray, ends: np.ndarray, similarity: float, middle: int =
     return root
 
 
-def verified(docs: DataFrame, near: DataFrame, sizes: DataFrame, similarity: float, shingle: int, chunk: int = CHUNK, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
-    """(a, b): links between doc_ids, enough to join all that near puts in one component and whose shingles are alike.
-
-    near: id, component; sizes: id, n, the number of an id's shingles. Similarity is that of Jaccard, of sets of shingles. A
-    component of more than a chunk, of texts or of shingles, is dealt to several by a hash and each pair of its chunks is
-    compared by itself, as compared() does.
-    """
-    id_type = dict(near.dtypes)["id"]
-    weighed = near.join(sizes, "id").groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(chunk)), F.ceil(F.sum("n") / F.lit(chunk_shingles)), F.lit(1)).cast("int").alias("chunks"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(near.join(weighed, "component"), "id").distinct()
+def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles array<long>) of the documents whose doc_id is among ids, in order and without repeats."""
 
     def sets(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:
-            hashes = distinct_shingles(row["text"], shingle)
-            yield {"id": row["id"], "component": row["component"], "chunks": row["chunks"], "shingles": hashes.view(np.int64).tolist()}
+            yield {"id": row["id"], "shingles": distinct_shingles(row["text"], shingle).view(np.int64).tolist()}
 
-    dealt = map_rows(texts, sets, f"id {id_type}, component {id_type}, chunks int, shingles array<long>").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    paired = paired.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "shingles")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids.select("id").distinct(), "id", "left_semi")
+    return map_rows(texts, sets, f"id {dict(ids.dtypes)['id']}, shingles array<long>")
+
+
+def verified(sets: DataFrame, near: DataFrame, similarity: float, chunk: int = 2 * CHUNK, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+    """(a, b): links between ids, enough to join all that near puts in one set and whose shingles are alike.
+
+    sets: id, shingles; near: id, c, the sets of candidates. Similarity is that of Jaccard. A set of more than a chunk, of ids
+    or of shingles, is dealt to several by a hash and each pair of its chunks is compared by itself, as compared() does.
+    """
+    id_type = dict(near.dtypes)["id"]
+    sizes = sets.groupBy("id").agg(F.sum(F.size("shingles")).alias("n"))
+    weighed = near.join(sizes, "id").groupBy("c").agg(F.greatest(F.ceil(F.count("*") / F.lit(chunk)), F.ceil(F.sum("n") / F.lit(chunk_shingles)), F.lit(1)).cast("int").alias("chunks"))
+    dealt = near.join(weighed, "c").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    paired = dealt.select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id").join(sets, "id")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["own", "id"], kind="stable")
@@ -398,23 +424,32 @@ def verified(docs: DataFrame, near: DataFrame, sizes: DataFrame, similarity: flo
         far = np.nonzero(root != np.arange(len(root)))[0]
         return pd.DataFrame({"a": ids[far], "b": ids[root[far]]})
 
-    return paired.groupBy("component", "i", "j").applyInPandas(run, f"a {id_type}, b {id_type}")
+    return paired.groupBy("c", "i", "j").applyInPandas(run, f"a {id_type}, b {id_type}")
 
 
 def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """(doc_id, component_id) per document, which links join to the smallest doc_id they reach.
 
     Two texts link if the Jaccard similarity of their sets of shingles is so much or more. Candidates share a band of least
-    hashes, and their long fingerprints are within radius_for(similarity); what candidates join is then compared shingle by
-    shingle, so that no other texts link. Texts without a word are alike. A row without a doc_id has the component of the
+    hashes, and their long fingerprints are within radius_for(similarity). What candidates join within one band's key is then
+    compared shingle by shingle, so that no other texts link and loose links never chain. Bands are taken in rounds: sets
+    that earlier rounds have put in one component are done. Texts without a word are alike. A row without a doc_id has the component of the
     same set, null if there is none, and joins none. Rows that repeat a doc_id have one component.
     """
     found = cut_lineage(sketches(docs, shingle))
     classes = cut_lineage(found.groupBy("same", "n", "fp", "keys").agg(F.min("doc_id").alias("least")).where("least is not null"))
     keyed = classes.select(F.posexplode("keys").alias("t", "key"), F.col("least").alias("id"), "fp")
-    near = connected_components(compared(keyed, radius_for(similarity)))
-    sizes = classes.groupBy(F.col("least").alias("id")).agg(F.sum("n").alias("n"))
-    joined = connected_components(verified(docs, near, sizes, similarity, shingle))
+    near = cut_lineage(clusters(keyed, radius_for(similarity)))
+    sets = as_parquet(shingle_sets(docs, near, shingle))
+    links = joined = None
+    for first, last in ROUNDS:
+        some = near.where(F.col("t").between(first, last)).select("c", "id")
+        if joined is not None:
+            placed = some.join(joined, "id", "left").select("c", F.coalesce("component", "id").alias("r"))
+            some = some.join(placed.groupBy("c").agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a != b"), "c", "left_semi")
+        new = verified(sets, some, similarity)
+        links = cut_lineage(new if links is None else new.unionByName(links))
+        joined = connected_components(links)
     of = classes.join(joined, classes["least"] == joined["id"], "left").select("same", F.coalesce("component", "least").alias("component_id"))
     return found.join(of, "same", "left").select("doc_id", "component_id")
 
