@@ -82,10 +82,20 @@ STREET_END = re.compile(r"(?:straße|strasse|weg|platz|allee|gasse)$")
 _WORDS = r"[A-ZÀ-ÝА-ЯΑ-Ω][\w'’-]+"
 _GIVEN = [n for pool in GIVEN.values() for n in pool]
 _SHOUTED = [n.upper() for n in _GIVEN]
-#: A name after a title, or a given name (or a family name that comes first) with more names after it, in capitals throughout or not.
-NAME = re.compile(
-    r"\b(?:(?:" + "|".join(TITLES) + rf")\.?[ \t]+(?P<v>{_WORDS}(?:[ \t]{_WORDS}){{0,2}})|(?P<u>(?:" + "|".join(_GIVEN) + rf")(?:[ \t]{_WORDS}){{1,2}}|(?:" + "|".join(_SHOUTED) + r")(?:[ \t][A-ZÀ-ÝА-ЯΑ-Ω]{2,}){1,2})(?![\w]))"
-)
+KNOWN_NAMES = frozenset(TITLES) | frozenset(_GIVEN) | frozenset(_SHOUTED)
+CAPITALISED = re.compile(r"[A-ZÀ-ÝА-ЯΑ-Ω]\w*").findall
+
+
+@lru_cache(maxsize=1024)
+def name_pattern(known: tuple[str, ...]) -> re.Pattern:
+    """A name after a title, or a given name (or a family name that comes first) with more names after it, in capitals throughout or not,
+    of those titles and names that a text has."""
+    some = lambda names: "|".join(n for n in known if n in names) or "(?!)"
+    return re.compile(
+        rf"\b(?:(?:{some(TITLES)})\.?[ \t]+(?P<v>{_WORDS}(?:[ \t]{_WORDS}){{0,2}})|(?P<u>(?:{some(_GIVEN)})(?:[ \t]{_WORDS}){{1,2}}|(?:{some(_SHOUTED)})(?:[ \t][A-ZÀ-ÝА-ЯΑ-Ω]{{2,}}){{1,2}})(?![\w]))"
+    )
+
+
 POSSESSIVE = re.compile(r"['’]s?(?=\s|$)")
 #: The pool of a given name, by its small letters.
 POOL = {n.lower(): (group, n) for group, pool in GIVEN.items() for n in pool}
@@ -399,7 +409,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if GUARDS[kind](text):
                 add(kind)
     names: set[str] = set()
-    for m in NAME.finditer(text) if TITLE(text) else ():
+    known = KNOWN_NAMES.intersection(CAPITALISED(text))
+    for m in name_pattern(tuple(sorted(known))).finditer(text) if known else ():
         which = "v" if m["v"] else "u"
         value = POSSESSIVE.split(m[which], maxsplit=1)[0]
         start = m.start(which)
@@ -431,7 +442,6 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 DIGIT = re.compile(r"\d").search
-TITLE = re.compile(r"\b(?:" + "|".join([*TITLES, *_GIVEN, *_SHOUTED]) + r")\b").search
 GUARDS = {
     "key": re.compile(r"AKIA|ASIA|gh[po]_|sk-|xox").search,
     "secret": re.compile(r"token|secret|key|passw|pwd|bearer", re.I).search,
