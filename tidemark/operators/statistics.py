@@ -107,13 +107,19 @@ def disagreement_gate(points: DataFrame, keys: list[str], quantiles: tuple[float
     gap = F.abs(F.col("candidate") - F.col("numeric"))
     cuts = points.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), F.percentile(gap, F.array(*map(F.lit, quantiles)))))).alias("t"))
     grid = cuts.select(*keys, F.explode("t").alias("threshold")).withColumn("weight", F.explode(F.array(*map(F.lit, weights))))
-    blended = F.col("numeric") + F.when(gap <= F.col("threshold"), F.col("weight")).otherwise(0.0) * (F.col("candidate") - F.col("numeric"))
-    e = blended - F.col("actual")
-    tried = points.join(grid, keys).groupBy(*keys, "threshold", "weight").agg(F.avg(e * e).alias("mse"), F.avg((gap <= F.col("threshold")).cast("double")).alias("accepted"))
+    tried = apply_disagreement_gate(points, grid, keys)
     best = tried.groupBy(*keys).agg(F.min(F.struct(F.round("mse", 9).alias("m"), "threshold", "weight", "mse", "accepted")).alias("b"))
     return best.select(*keys, "b.threshold", "b.weight", "b.mse", "b.accepted")
 
 
+def apply_disagreement_gate(points: DataFrame, gates: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, threshold, weight, mse, accepted) of gates on points: the error of the blend and the share of points it changes."""
+    gap = F.abs(F.col("candidate") - F.col("numeric"))
+    blended = F.col("numeric") + F.when(gap <= F.col("threshold"), F.col("weight")).otherwise(0.0) * (F.col("candidate") - F.col("numeric"))
+    e = blended - F.col("actual")
+    return points.join(gates, keys).groupBy(*keys, "threshold", "weight").agg(F.avg(e * e).alias("mse"), F.avg((gap <= F.col("threshold")).cast("double")).alias("accepted"))
+
+
 def within_tolerance(a: Column, b: Column, absolute: float = 1e-7, relative: float = 1e-6) -> Column:
     """Whether a recomputed value agrees with a stored one; two unknown values agree."""
     known = F.abs(a - b) <= absolute + relative * F.abs(b)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.functions.numbers import int_frac
 from tidemark.operators import statistics as R
 from tidemark.plans import query
-from tidemark.plans.forecast import LONG_SQL, error_table, test_predictions
+from tidemark.plans.forecast import LONG_SQL, error_table, predictions_between, test_predictions
 from tidemark.plans.series import positioned, rounded
 from tidemark.sources.sinks import remaining
 from tidemark.sources.tables import table
@@ -79,14 +80,27 @@ def gate_route(spark, sf_dir):
     return R.route(R.gate(candidates(spark, sf_dir), ["task"]), ["task"], ["semantic", "frequency"])
 
 
-@query(f"""WITH {LONG_SQL}, x AS (SELECT domain, horizon, i, step, actual, max(prediction) FILTER (model = 'Last') AS numeric, max(prediction) FILTER (model = 'WindowMean') AS candidate FROM predictions WHERE horizon = 6 GROUP BY domain, horizon, i, step, actual),
-q AS (SELECT domain, unnest(list_concat([0.0::DOUBLE], quantile_cont(abs(candidate - numeric), [0.5, 0.7, 0.8, 0.9, 0.95, 1.0]))) AS threshold FROM x GROUP BY domain), g AS (SELECT DISTINCT domain, threshold, w AS weight FROM q, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) t(w)),
-t AS (SELECT x.domain, threshold, weight, avg((numeric + CASE WHEN abs(candidate - numeric) <= threshold THEN weight ELSE 0 END * (candidate - numeric) - actual) ** 2) AS mse, avg(CASE WHEN abs(candidate - numeric) <= threshold THEN 1.0 ELSE 0.0 END) AS accepted FROM x JOIN g USING (domain) GROUP BY x.domain, threshold, weight)
-SELECT domain, round(threshold, 6) AS threshold, weight, round(mse, 6) AS mse, round(accepted, 6) AS accepted FROM t QUALIFY row_number() OVER (PARTITION BY domain ORDER BY round(mse, 9), threshold, weight) = 1""")
+_TEST = "i >= floor(n * 0.8::DOUBLE) AND i + horizon <= n"
+_BOTH = f"(i >= floor(n * 0.7::DOUBLE) AND i + horizon <= floor(n * 0.8::DOUBLE) OR {_TEST})"
+
+
+@query(f"""WITH {LONG_SQL.replace(_TEST, _BOTH)}, x AS (SELECT p.domain, i, step, actual, i >= floor(any_value(n) * 0.8::DOUBLE) AS test, max(prediction) FILTER (model = 'Last') AS numeric, max(prediction) FILTER (model = 'WindowMean') AS candidate FROM predictions p JOIN (SELECT domain, max(n) AS n FROM series GROUP BY domain) s ON s.domain = p.domain WHERE horizon = 6 GROUP BY p.domain, i, step, actual),
+q AS (SELECT domain, unnest(list_concat([0.0::DOUBLE], quantile_cont(abs(candidate - numeric), [0.5, 0.7, 0.8, 0.9, 0.95, 1.0]))) AS threshold FROM x WHERE NOT test GROUP BY domain), g AS (SELECT DISTINCT domain, threshold, w AS weight FROM q, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) t(w)),
+t AS (SELECT x.domain, test, threshold, weight, avg((numeric + CASE WHEN abs(candidate - numeric) <= threshold THEN weight ELSE 0 END * (candidate - numeric) - actual) ** 2) AS mse, avg(CASE WHEN abs(candidate - numeric) <= threshold THEN 1.0 ELSE 0.0 END) AS accepted FROM x JOIN g USING (domain) GROUP BY x.domain, test, threshold, weight),
+best AS (SELECT * FROM t WHERE NOT test QUALIFY row_number() OVER (PARTITION BY domain ORDER BY round(mse, 9), threshold, weight) = 1)
+SELECT b.domain, round(b.threshold, 6) AS threshold, b.weight, round(b.mse, 6) AS mse, round(b.accepted, 6) AS accepted, round(t.mse, 6) AS test_mse, round(t.accepted, 6) AS test_accepted FROM best b JOIN t ON t.domain = b.domain AND t.threshold = b.threshold AND t.weight = b.weight AND t.test""")
 def disagreement_gate(spark, sf_dir):
-    points = test_predictions(spark, sf_dir).where("horizon = 6").groupBy("domain", "i", "step", "actual").pivot("model", ["Last", "WindowMean"]).agg(F.first("prediction"))
-    out = R.disagreement_gate(points.withColumnsRenamed({"Last": "numeric", "WindowMean": "candidate"}), ["domain"])
-    return out.select("domain", rounded("threshold").alias("threshold"), "weight", rounded("mse").alias("mse"), rounded("accepted").alias("accepted"))
+    """The gate that errs least on the validation span, and what it does on the test span, which it never saw."""
+
+    def points(lo, hi):
+        wide = predictions_between(spark, sf_dir, lo, hi).where("horizon = 6").groupBy("domain", "i", "step", "actual").pivot("model", ["Last", "WindowMean"]).agg(F.first("prediction"))
+        return wide.withColumnsRenamed({"Last": "numeric", "WindowMean": "candidate"})
+
+    n = F.col("n")
+    out = R.disagreement_gate(points(int_frac(n, 0.7), int_frac(n, 0.8)), ["domain"])
+    test = R.apply_disagreement_gate(points(int_frac(n, 0.8), n), out.select("domain", "threshold", "weight"), ["domain"])
+    out = out.join(test.select("domain", F.col("mse").alias("test_mse"), F.col("accepted").alias("test_accepted")), "domain")
+    return out.select("domain", rounded("threshold").alias("threshold"), "weight", *(rounded(c).alias(c) for c in ("mse", "accepted", "test_mse", "test_accepted")))
 
 
 @query(f"""WITH {LONG_SQL}, s AS (SELECT domain, horizon, model, mse, CASE WHEN horizon = 12 AND model = 'Last' THEN mse * 1.001 WHEN horizon = 6 AND model = 'WindowMean' THEN NULL ELSE mse END AS stored FROM e)
