@@ -31,11 +31,11 @@ def block_power(spark, sf_dir):
 
 @query(f"""WITH {LOSS_SQL}, pre AS (SELECT domain, i + 1 AS at, sum(d) OVER (PARTITION BY domain ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM loss UNION ALL SELECT DISTINCT domain, 0, 0.0 FROM loss),
 z AS (SELECT domain, count(*) AS n, avg(d) AS mean, least(24, count(*)) AS len FROM loss GROUP BY domain), k AS (SELECT *, CAST(ceil(n / len) AS BIGINT) AS blocks FROM z),
-g AS (SELECT domain, n, rep, ('0x' || substr(md5('2026|' || rep || '|' || b), 1, 8))::BIGINT % (n - len + 1) AS lo, CASE WHEN b < blocks THEN len ELSE n - (blocks - 1) * len END AS rows FROM k, range(1, 1001) r(rep), LATERAL (SELECT unnest(range(1, blocks + 1)) AS b) t),
+g AS (SELECT domain, n, rep, ('0x' || substr(md5('2026|' || rep || '|' || b), 1, 8))::BIGINT % (n - len + 1) AS lo, CASE WHEN b < blocks THEN len ELSE n - (blocks - 1) * len END AS rows FROM k, range(1, 5001) r(rep), LATERAL (SELECT unnest(range(1, blocks + 1)) AS b) t),
 m AS (SELECT g.domain, rep, sum(h.s - l.s) / any_value(n) AS m FROM (SELECT *, lo + rows AS hi FROM g) g JOIN pre l ON l.domain = g.domain AND l.at = lo JOIN pre h ON h.domain = g.domain AND h.at = hi GROUP BY g.domain, rep)
 SELECT z.domain, n, round(any_value(z.mean), 6) + 0.0 AS mean, round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0 AS high FROM m JOIN z USING (domain) GROUP BY z.domain, n""")
 def block_bootstrap(spark, sf_dir):
-    out = R.block_bootstrap(losses(spark, sf_dir), ["domain"], 24, 1000, 2026)
+    out = R.block_bootstrap(losses(spark, sf_dir), ["domain"], 24, 5000, 2026)
     return out.select("domain", "n", *(rounded(c).alias(c) for c in ("mean", "low", "high")))
 
 

@@ -65,7 +65,7 @@ def recoded_labels(spark, sf_dir):
 
 
 #: Block lengths of the paired comparisons, their repeats and seed.
-LENGTHS, REPEATS, SEED = (6, 12, 24), 300, 77
+LENGTHS, REPEATS, SEED = (6, 12, 24), 5000, 77
 PAIRS_SQL = LONG_SQL + """, paired AS (SELECT c.against, p.domain, CAST(row_number() OVER (PARTITION BY c.against, p.domain ORDER BY p.i) - 1 AS BIGINT) AS i, avg(CASE WHEN p.model = c.against THEN (prediction - actual) ** 2 ELSE -((prediction - actual) ** 2) END) * 2 AS d
  FROM predictions p, (VALUES ('Last'), ('SeasonalNaive')) c(against) WHERE horizon = 24 AND p.model IN (c.against, 'WindowMean') GROUP BY c.against, p.domain, p.i)"""
 COMPARED_SQL = (
@@ -113,10 +113,10 @@ def interval_class(spark, sf_dir):
     return compared(spark, sf_dir).select("against", "domain", "block", F.when(F.col("low") > 0, "gain").when(F.col("high") < 0, "loss").otherwise("open").alias("class"))
 
 
-@query(f"""WITH {LOSS_SQL}, z AS (SELECT *, count(*) OVER (PARTITION BY domain) AS n FROM loss), g AS (SELECT domain, n, rep, i, ('0x' || substr(md5('9|' || rep || '|' || i), 1, 8))::BIGINT % n AS pick FROM z, range(1, 101) r(rep)),
+@query(f"""WITH {LOSS_SQL}, z AS (SELECT *, count(*) OVER (PARTITION BY domain) AS n FROM loss), g AS (SELECT domain, n, rep, i, ('0x' || substr(md5('9|' || rep || '|' || i), 1, 8))::BIGINT % n AS pick FROM z, range(1, 1001) r(rep)),
 m AS (SELECT g.domain, rep, avg(l.d) AS m FROM g JOIN loss l ON l.domain = g.domain AND l.i = g.pick GROUP BY g.domain, rep) SELECT domain, count(*) AS repeats, round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0 AS high FROM m GROUP BY domain""")
 def iid_bootstrap(spark, sf_dir):
-    out = R.iid_bootstrap(losses(spark, sf_dir), ["domain"], 100, 9)
+    out = R.iid_bootstrap(losses(spark, sf_dir), ["domain"], 1000, 9)
     return out.select("domain", "repeats", rounded("low").alias("low"), rounded("high").alias("high"))
 
 
