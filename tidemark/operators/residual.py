@@ -40,6 +40,8 @@ def packed(**arrays: np.ndarray) -> bytes:
 
 def components(covariance: np.ndarray, most: int, rows: float) -> np.ndarray:
     """Principal directions as rows, the largest first: at most so many, and no more than rows less one. The entry of greatest size is positive."""
+    if not len(covariance):
+        return np.zeros((0, 0))
     _, vectors = np.linalg.eigh(covariance)
     v = vectors.T[::-1][: max(0, min(most, int(rows) - 1, len(covariance)))]
     return v * np.where(np.take_along_axis(v, np.abs(v).argmax(axis=1)[:, None], axis=1) < 0, -1.0, 1.0)
@@ -67,7 +69,7 @@ def fitted(rows: DataFrame, keys: list[str], most: int = COMPONENTS) -> DataFram
 
 
 def parts_of(rows: pa.Table, params: bytes, wanted: set[str], crossed: int = CROSSED) -> dict[str, np.ndarray]:
-    """Features of rows by part: scaled x, q and f, components of e, their products with statistics, random controls."""
+    """Features of rows by part: scaled x, q and f, components of e, their products with statistics, random controls, e itself."""
     p = np.load(io.BytesIO(params))
     scaled = {c: (rows_of(rows[c]) - p[f"{c}_mean"]) / p[f"{c}_std"] for c in "xqf"}
     pca = (rows_of(rows["e"]) - p["e_mean"]) @ p["v"].T
@@ -79,6 +81,7 @@ def parts_of(rows: pa.Table, params: bytes, wanted: set[str], crossed: int = CRO
         "fourier": lambda: random_fourier(scaled["x"], f.shape[1] * pca.shape[1], SEED),
         "matched": lambda: random_fourier(scaled["x"], wide, SEED),
         "matched_f": lambda: random_fourier(np.hstack((scaled["x"], scaled["f"])), wide + f.shape[1] * pca.shape[1], SEED),
+        "e": lambda: rows_of(rows["e"]),
     }
     return {name: make[name]() for name in make if name in wanted}
 
@@ -86,7 +89,7 @@ def parts_of(rows: pa.Table, params: bytes, wanted: set[str], crossed: int = CRO
 def layout(nx: int, nq: int, nf: int, ne: int, n_train: float, wanted: set[str], most: int, crossed: int) -> dict[str, np.ndarray]:
     """Columns of each part, after the first column of ones, in the order of parts_of."""
     k, c = max(0, min(most, int(n_train) - 1, ne)), min(crossed, nf)
-    widths = {"x": nx, "q": nq, "f": nf, "pca": k, "cross": c * k, "fourier": c * k, "matched": k + nq, "matched_f": k + nq + c * k}
+    widths = {"x": nx, "q": nq, "f": nf, "pca": k, "cross": c * k, "fourier": c * k, "matched": k + nq, "matched_f": k + nq + c * k, "e": ne}
     at, out = 1, {}
     for name, width in widths.items():
         if name in wanted:
@@ -95,8 +98,8 @@ def layout(nx: int, nq: int, nf: int, ne: int, n_train: float, wanted: set[str],
     return out
 
 
-def sums(rows: DataFrame, keys: list[str], wanted: set[str], most: int = COMPONENTS, crossed: int = CROSSED) -> DataFrame:
-    """(keys, segment, gram, nx, nq, nf, ne, h): sums of products of ones, the wanted parts of features, and what the last value leaves of y.
+def sums(rows: DataFrame, keys: list[str], wanted: set[str], most: int = COMPONENTS, crossed: int = CROSSED, residual: bool = True) -> DataFrame:
+    """(keys, segment, gram, nx, nq, nf, ne, h): sums of products of ones, the wanted parts of features, and what the last value leaves of y (y itself if not residual).
 
     rows: keys, i, n, segment, half (1, 2 or null), x, y, e, q, f. The decision span's segment is 'dec0', 'dec1' or 'dec2', by half.
     """
@@ -105,12 +108,12 @@ def sums(rows: DataFrame, keys: list[str], wanted: set[str], most: int = COMPONE
 
     def features(table: pa.Table, params: bytes) -> np.ndarray:
         x, y = rows_of(table["x"]), rows_of(table["y"])
-        return np.hstack((np.ones((len(x), 1)), *parts_of(table, params, wanted, crossed).values(), y - x[:, -1:]))
+        return np.hstack((np.ones((len(x), 1)), *parts_of(table, params, wanted, crossed).values(), y - x[:, -1:] if residual else y))
 
     return chunked_gram(some, [*keys, *SIZES], "span", fitted(rows, keys, most), features)
 
 
-def solved(rows: DataFrame, keys: list[str], modes: dict[str, tuple[str, ...]], alphas: tuple[float, ...] = ALPHAS, most: int = COMPONENTS, crossed: int = CROSSED, refit: bool = False) -> DataFrame:
+def solved(rows: DataFrame, keys: list[str], modes: dict[str, tuple[str, ...]], alphas: tuple[float, ...] = ALPHAS, most: int = COMPONENTS, crossed: int = CROSSED, refit: bool = False, residual: bool = True) -> DataFrame:
     """Per key and mode: columns, alpha, calibration_mse, errors on the decision span and its halves beside the last value's own.
 
     Products with statistics and random controls are scaled by their training rows. The penalty errs least on 'cal' (to nine
@@ -148,7 +151,7 @@ def solved(rows: DataFrame, keys: list[str], modes: dict[str, tuple[str, ...]],
                 out.append({k: first[k] for k in keys} | dict(zip(names, values, strict=True)))
         return pd.DataFrame(out, columns=[*keys, *names])
 
-    return sums(rows, keys, wanted, most, crossed).groupBy(*keys).applyInPandas(solve, schema)
+    return sums(rows, keys, wanted, most, crossed, residual).groupBy(*keys).applyInPandas(solve, schema)
 
 
 def probe(rows: DataFrame, keys: list[str], kinds: dict[str, tuple[str, ...]], alphas: tuple[float, ...]) -> DataFrame:

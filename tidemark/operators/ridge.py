@@ -1,8 +1,4 @@
-"""Ridge forecasters, residual candidates and their permutation nulls: one small least-squares task per group.
-
-A task is a series and horizon (and variant, and chunk of draws), which Spark groups and schedules; numpy solves it. Windows
-of a task are bounded by the series' rows.
-"""
+"""Ridge forecasters solved from sums of products, and what other modules of least squares share."""
 
 from __future__ import annotations
 
@@ -16,107 +12,6 @@ from tidemark.operators.moments import Sums, gram, matrix
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
 
 
-class Scale:
-    """Mean and population deviation of columns; a deviation of nearly 0 counts as 1."""
-
-    def __init__(self, x: np.ndarray):
-        self.mean, std = x.mean(axis=0), x.std(axis=0)
-        self.std = np.where(std < 1e-8, 1.0, std)
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.std
-
-
-class Components:
-    """Centred principal components of vectors, at most so many, and no more than rows less one or columns."""
-
-    def __init__(self, x: np.ndarray, most: int = 24):
-        self.mean = x.mean(axis=0)
-        _, _, v = np.linalg.svd(x - self.mean, full_matrices=False)
-        v = v[: max(0, min(most, len(x) - 1, x.shape[1]))]
-        self.v = v * np.where(np.take_along_axis(v, np.abs(v).argmax(axis=1)[:, None], axis=1) < 0, -1.0, 1.0)
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) @ self.v.T
-
-
-def solve(x: np.ndarray, y: np.ndarray, alphas: tuple[float, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(coefficients, intercept) per penalty, the intercept free of it: one Gram matrix serves all."""
-    mx, my = x.mean(axis=0), y.mean(axis=0)
-    a, b = x - mx, y - my
-    gram, cross = a.T @ a, a.T @ b
-    out = []
-    for alpha in alphas:
-        w = np.linalg.solve(gram + alpha * np.eye(len(gram)), cross)
-        out.append((w, my - mx @ w))
-    return out
-
-
-def mse(y: np.ndarray, p: np.ndarray) -> float:
-    return float(np.mean((y - p) ** 2))
-
-
-def best_fit(train: tuple[np.ndarray, np.ndarray], check: tuple[np.ndarray, np.ndarray], alphas: tuple[float, ...] = ALPHAS):
-    """(alpha, error on check, fit) of the penalty that errs least on check."""
-    fits = solve(*train, alphas)
-    scores = [mse(check[1], check[0] @ w + c) for w, c in fits]
-    k = int(np.argmin(scores))
-    return alphas[k], scores[k], fits[k]
-
-
-def design(part: pd.DataFrame, segment: str) -> dict[str, np.ndarray]:
-    rows = part[part["segment"] == segment].sort_values("i")
-    return {c: np.array(rows[c].tolist(), float) for c in ("x", "y", "e", "q") if c in rows}
-
-
-def _interactions(z: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    return (parts[:, :, None] * z[:, None, :]).reshape(len(z), -1)
-
-
-class Builder:
-    """Features of a variant, every scale and component fitted on the training rows alone.
-
-    numeric: the window. semantic: window, components of the text vector, text quality. frequency: these, frequency
-    statistics of the window, and their first eight times every component.
-    """
-
-    def __init__(self, variant: str, train: dict[str, np.ndarray]):
-        self.variant = variant
-        self.x = Scale(train["x"])
-        if variant != "numeric":
-            self.e, self.q = Components(train["e"]), Scale(train["q"])
-        if variant in ("frequency", "fourier"):
-            self.f = Scale(frequencies(train["x"]))
-            self.cross = Scale(self._extra(train))
-
-    def _extra(self, rows: dict[str, np.ndarray]) -> np.ndarray:
-        parts, f = self.e(rows["e"]), self.f(frequencies(rows["x"]))[:, :8]
-        return _interactions(f, parts) if self.variant == "frequency" else random_fourier(self.x(rows["x"]), f.shape[1] * parts.shape[1], 2026)
-
-    def __call__(self, rows: dict[str, np.ndarray]) -> np.ndarray:
-        x = self.x(rows["x"])
-        if self.variant == "numeric":
-            return x
-        parts = self.e(rows["e"])
-        out = [x, parts, self.q(rows["q"])]
-        if self.variant in ("frequency", "fourier"):
-            out += [self.f(frequencies(rows["x"])), self.cross(self._extra(rows))]
-        return np.hstack(out)
-
-
-def frequencies(x: np.ndarray) -> np.ndarray:
-    """The ten frequency statistics of windows, as tidemark.functions.numbers gives them."""
-    power = np.abs(np.fft.rfft(x, axis=1)) ** 2
-    share, bins = power / np.maximum(power.sum(axis=1, keepdims=True), 1e-8), power.shape[1]
-    cut = [int(k * bins / 4) for k in range(5)]
-    stats = [share[:, a:b].sum(axis=1) for a, b in zip(cut, cut[1:])]
-    stats.append(share @ (np.arange(bins) / max(1, bins - 1)))
-    stats.append(-(share * np.log(np.maximum(share, 1e-12))).sum(axis=1) / np.log(max(2, bins)))
-    stats.append((power[:, 1:].argmax(axis=1) + 1) / max(1, bins - 1) if bins > 1 else np.zeros(len(x)))
-    stats += [share.max(axis=1), x[:, -1] - x[:, 0], np.diff(x, axis=1).std(axis=1)]
-    return np.column_stack(stats)
-
-
 def grid(rows: DataFrame, keys: list[str], alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """(keys, alpha, validation_mse, test_mse) of ridge of y on scaled x, the penalty chosen on 'cal': one Gram matrix serves all.
 
@@ -148,15 +43,6 @@ def ar_ridge(windows: DataFrame) -> DataFrame:
     return grid(windows.where(F.col("segment").isin("train", "cal", "test")), ["domain", "horizon"])
 
 
-def dual_predict(x: np.ndarray, y: np.ndarray, at: np.ndarray, alphas: tuple[float, ...]) -> list[np.ndarray]:
-    """Predictions per penalty, solved in the space of rows: one eigendecomposition serves all, for more columns than rows."""
-    mx, my = x.mean(axis=0), y.mean(axis=0)
-    a = x - mx
-    values, vectors = np.linalg.eigh(a @ a.T)
-    kernel, turned = (at - mx) @ a.T @ vectors, vectors.T @ (y - my)
-    return [my + kernel @ (turned / (np.maximum(values, 0.0) + alpha)[:, None]) for alpha in alphas]
-
-
 def random_fourier(x: np.ndarray, width: int, seed: int) -> np.ndarray:
     """So many random cosine features of scaled rows: a control as wide as the interactions, without their text."""
     rng = np.random.default_rng(seed)
@@ -168,38 +54,3 @@ def rotated(n: int, rng: np.random.Generator, guard: int) -> np.ndarray:
     """Positions turned by a random shift of at least guard rows either way; a quarter of the rows where there are too few."""
     guard = min(guard, max(1, n // 4))
     return np.roll(np.arange(n), int(rng.integers(guard, max(guard + 1, n - guard + 1))) % n)
-
-
-def null_scores(windows: DataFrame, variant: str, draws: int, mode: str = "row", refit: bool = False, guard: int = 24, chunk: int = 25) -> DataFrame:
-    """(domain, horizon, draw, null_score): errors on the decision span when text is parted from its rows.
-
-    row: text rows are permuted within every segment, by the generator of seed 1001 + draw, training first, then
-    calibration, then decision; the penalty is chosen anew. circular: training and decision text is turned by a shift,
-    calibration stays, and so does the aligned penalty. refit fits scales of interactions on the moved text too, where the
-    frozen gate keeps those of the aligned text. Chunks of draws are tasks of their own, so that many draws spread out.
-    """
-    if mode not in ("row", "circular"):
-        raise ValueError(f"no such mode: {mode}")
-    each = windows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // chunk))))
-
-    def score(part: pd.DataFrame) -> pd.DataFrame:
-        train, cal, dec = (design(part, s) for s in ("train", "cal", "dec"))
-        out = []
-        if min(len(d["x"]) for d in (train, cal, dec)) >= 2:
-            rest = lambda d: d["y"] - d["x"][:, -1:]
-            build = Builder(variant, train)
-            alpha, _, _ = best_fit((build(train), rest(train)), (build(cal), rest(cal)))
-            first = int(part["chunk"].iat[0]) * chunk
-            for k in range(first, min(draws, first + chunk)):
-                rng = np.random.default_rng(1001 + k)
-                moved = []
-                for which, d in enumerate((train, cal, dec)):
-                    n = len(d["x"])
-                    order = rng.permutation(n) if mode == "row" else np.arange(n) if which == 1 else rotated(n, rng, guard)
-                    moved.append(d | {"e": d["e"][order], "q": d["q"][order]})
-                use = Builder(variant, moved[0]) if refit else build
-                _, _, (w, c) = best_fit((use(moved[0]), rest(train)), (use(moved[1]), rest(cal)), ALPHAS if mode == "row" else (alpha,))
-                out.append({"domain": part["domain"].iat[0], "horizon": part["horizon"].iat[0], "draw": k, "null_score": mse(rest(dec), use(moved[2]) @ w + c)})
-        return pd.DataFrame(out, columns=["domain", "horizon", "draw", "null_score"])
-
-    return each.groupBy("domain", "horizon", "chunk").applyInPandas(score, "domain string, horizon int, draw int, null_score double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.numbers import frequency_array, int_frac
-from tidemark.operators import lagged, residual, ridge, series as S, statistics as R, terms
+from tidemark.operators import dual, lagged, permuted, residual, ridge, series as S, statistics as R, terms
 from tidemark.plans import query
 from tidemark.plans.series import rounded, train_scaled
 from tidemark.plans.text import index, quality_features
@@ -13,8 +13,8 @@ from tidemark.sources.shared import settled
 from tidemark.sources.tables import table
 
 LENGTH, STEPS = 24, (3, 6)
-#: Draws of the gate's null.
-DRAWS = 199
+#: Draws of the gate's null, draws of each of the four nulls of the widest candidate, and their seed.
+DRAWS, WIDE_DRAWS, SEED = 999, 199, 1001
 
 
 def task_windows(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
@@ -79,9 +79,8 @@ def candidate_routes(spark, sf_dir):
     """Candidates, their permutation p-values and the gate's route per series and horizon."""
     windows = task_windows(spark, sf_dir, True)
     scores = candidates(windows, ("semantic",))
-    nulls = ridge.null_scores(windows, "semantic", DRAWS, chunk=50)
     keys = ["domain", "horizon"]
-    p = R.empirical_p(nulls.join(scores.select(*keys, F.col("mse").alias("aligned")), keys), keys)
+    p = R.empirical_p(permuted.null_scores(windows, keys, residual.VARIANTS["semantic"], DRAWS, SEED), keys)
     gated = R.gate(scores.join(p, keys), keys)
     routes = R.route(gated, keys, ["semantic"])
     return gated.select(*keys, "draws", rounded("p").alias("p"), rounded("mse").alias("mse")).join(routes, keys)
@@ -132,12 +131,42 @@ def text_models(spark, sf_dir):
 @query()
 def null_sensitivity(spark, sf_dir):
     """p-values of the frequency candidate under four nulls: rows or shifts moved, interaction scales kept or fitted anew."""
-    windows, keys = task_windows(spark, sf_dir, True), ["domain", "horizon"]
-    aligned = candidates(windows, ("frequency",)).select(*keys, F.col("mse").alias("aligned"))
-    kinds = [(mode, refit) for mode in ("row", "circular") for refit in (False, True)]
-    out = None
-    for mode, refit in kinds:
-        p = R.empirical_p(ridge.null_scores(windows, "frequency", 39, mode, refit, chunk=10).join(aligned, keys), keys)
-        p = p.select(*keys, F.lit(mode).alias("mode"), F.lit(refit).alias("refit"), "draws", rounded("p").alias("p"))
+    windows, keys, out = task_windows(spark, sf_dir, True), ["domain", "horizon"], None
+    for mode in ("row", "circular"):
+        nulls = permuted.null_scores(windows, keys, residual.VARIANTS["frequency"], WIDE_DRAWS, SEED, mode, refits=(False, True))
+        p = R.empirical_p(nulls, [*keys, "refit"]).select(*keys, F.lit(mode).alias("mode"), "refit", "draws", rounded("p").alias("p"))
         out = p if out is None else out.unionByName(p)
     return out
+
+
+#: Features of the development study: the whole vector and its quality, without and with statistics of the window and their products.
+DEVELOPMENT = {"numeric": ("x",), "no_frequency": ("x", "e", "q"), "full": ("x", "e", "q", "f", "cross")}
+PLACEBOS = 3
+
+
+@query()
+def development_candidates(spark, sf_dir):
+    """Ridge of the target itself on whole vectors, beside the mean of three fits on permuted texts: what a development gate takes in.
+
+    The penalty is chosen on calibration rows, errors are those of the decision span and its halves; the fallback is the
+    numeric fit's. A variant is chosen that beats it, the mean placebo, and the fallback in both halves.
+    """
+    windows, keys = task_windows(spark, sf_dir, True), ["domain", "horizon"]
+    fits = residual.solved(windows, keys, DEVELOPMENT, most=16, residual=False).withColumnRenamed("mode", "variant")
+    numeric = fits.where("variant = 'numeric'").select(*keys, F.col("mse").alias("fallback_mse"), F.col("mse_first").alias("fallback_first"), F.col("mse_second").alias("fallback_second"))
+    placebo = None
+    for variant in ("no_frequency", "full"):
+        nulls = permuted.null_scores(windows, keys, DEVELOPMENT[variant], PLACEBOS, SEED, refits=(True,), residual=False, most=16)
+        one = nulls.groupBy(*keys).agg(F.count("*").alias("placebos"), F.avg("null_score").alias("placebo_mse")).withColumn("variant", F.lit(variant))
+        placebo = one if placebo is None else placebo.unionByName(one)
+    rows = fits.select(*keys, "variant", "columns", "alpha", "mse", "mse_first", "mse_second").join(placebo, [*keys, "variant"]).join(numeric, keys)
+    chosen = R.development_gate(rows, keys).select(*keys, F.col("variant").alias("chosen"))
+    return rows.join(chosen, keys).select(*keys, "variant", "columns", "alpha", "placebos", *(rounded(c).alias(c) for c in ("mse", "placebo_mse", "fallback_mse")), "chosen")
+
+
+@query()
+def dual_semantic_probe(spark, sf_dir):
+    """Ridge of the target on every origin's whole vector, solved in the space of rows."""
+    rows = task_windows(spark, sf_dir, True).where("segment != 'dec'").select("domain", "horizon", "segment", "i", F.col("e").alias("x"), "y")
+    out = dual.dual_grid(rows, ["domain", "horizon"])
+    return out.select("domain", "horizon", "rows", "alpha", rounded("validation_mse").alias("validation_mse"), rounded("test_mse").alias("test_mse"))

@@ -9,6 +9,8 @@ from tidemark.operators import statistics as R
 from tidemark.plans import query
 from tidemark.plans.forecast import LONG_SQL, error_table, predictions_between, test_predictions
 from tidemark.plans.series import positioned, rounded
+from tidemark.sources.sealed import evidence_order, freeze, open_frozen
+from tidemark.sources.shared import fresh_path
 from tidemark.sources.sinks import remaining
 from tidemark.sources.tables import table
 
@@ -155,3 +157,24 @@ def remaining_tasks(spark, sf_dir):
     grid = events.select(F.col("event_type").alias("domain")).distinct().withColumn("horizon", F.explode(F.array(F.lit(6), F.lit(12), F.lit(24)))).withColumn("fold", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     done = events.select(F.col("event_type").alias("domain"), F.when(F.col("user_id") % 2 == 0, 6).otherwise(12).alias("horizon"), F.lit(1).alias("fold"))
     return remaining(grid, done, ("domain", "horizon", "fold"))
+
+
+@query(f"""WITH {LONG_SQL.replace(_TEST, _BOTH)}, x AS (SELECT p.*, i >= floor(s.n * 0.8::DOUBLE) AS test FROM predictions p JOIN (SELECT domain, max(n) AS n FROM series GROUP BY domain) s ON s.domain = p.domain),
+m AS (SELECT domain, horizon, model, test, avg((prediction - actual) ** 2) AS mse FROM x GROUP BY domain, horizon, model, test),
+d AS (SELECT * FROM m WHERE NOT test QUALIFY row_number() OVER (PARTITION BY domain, horizon ORDER BY round(mse, 9), model) = 1)
+SELECT d.domain, d.horizon, d.model, round(d.mse, 6) AS validation_mse, round(t.mse, 6) AS test_mse, true AS in_order FROM d JOIN m t ON t.domain = d.domain AND t.horizon = d.horizon AND t.model = d.model AND t.test""")
+def sealed_test(spark, sf_dir):
+    """The model chosen on the validation span, frozen under a seal, and its test errors, which only a sealed decision opens.
+
+    Results are written too; in_order tells by the files' own times that the decisions were frozen before them.
+    """
+    path, results = fresh_path(spark, "decisions"), fresh_path(spark, "results")
+    n, keys = F.col("n"), ["domain", "horizon"]
+    errors = lambda rows: rows.groupBy(*keys, "model").agg(F.avg((F.col("prediction") - F.col("actual")) ** 2).alias("mse"))
+    seen = errors(predictions_between(spark, sf_dir, int_frac(n, 0.7), int_frac(n, 0.8)))
+    best = F.min(F.struct(F.round("mse", 9).alias("m"), "model", "mse"))
+    freeze(seen.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.model", F.col("b.mse").alias("validation_mse")), path)
+    decided = open_frozen(spark, path)
+    decided.join(errors(test_predictions(spark, sf_dir)), [*keys, "model"]).write.parquet(results)
+    out = spark.read.parquet(results).join(F.broadcast(evidence_order(spark, path, results)))
+    return out.select(*keys, "model", rounded("validation_mse").alias("validation_mse"), rounded("mse").alias("test_mse"), "in_order")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.numbers import int_frac
-from tidemark.operators import lagged, residual, ridge, series as S, statistics as R, terms
+from tidemark.operators import dual, lagged, permuted, residual, ridge, series as S, statistics as R, terms
 from tidemark.plans import query
 from tidemark.plans.series import INPUT, SCALED_SQL, rounded, train_scaled
 from tidemark.plans.text import PIT_SQL, index
 from tidemark.sources.shared import settled
 from tidemark.sources.tables import table
 
-SEED, DRAWS = 61, 49
+SEED, DRAWS = 61, 999
 _PLACE = "row_number() OVER (PARTITION BY domain, segment ORDER BY i)"
 BASE_SQL = (
     PIT_SQL
@@ -57,6 +57,14 @@ def shuffled(rows: DataFrame, draws: DataFrame) -> DataFrame:
     return rows.drop("text").join(moved, ["domain", "segment", "p"])
 
 
+def as_task(rows: DataFrame) -> DataFrame:
+    """Rows of the probe as those of a task, whose features are the text's two columns and whose decision span is the test's."""
+    none = F.array().cast("array<double>")
+    n = F.count("*").over(S.W.partitionBy("domain")).cast("int")
+    segment = F.when(F.col("segment") == "test", "dec").otherwise(F.col("segment"))
+    return rows.select("domain", F.col("p").alias("i"), n.alias("n"), segment.alias("segment"), none.alias("x"), "y", none.alias("e"), F.col("text").alias("q"), none.alias("f"))
+
+
 def fallback(rows: DataFrame) -> DataFrame:
     y = F.col("y")[0]
     return rows.where("segment = 'test'").groupBy("domain").agg(F.avg(y * y).alias("fallback_mse"))
@@ -74,20 +82,30 @@ def residual_probes(spark, sf_dir):
     return out.select("domain", "variant", "alpha", rounded("validation_mse").alias("calibration_mse"), rounded("test_mse").alias("mse"), rounded("fallback_mse").alias("fallback_mse"), (F.col("test_mse") < F.col("fallback_mse")).alias("better"))
 
 
-@query(f"""WITH {BASE_SQL}, dr AS (SELECT unnest(range(0, {DRAWS + 1})) AS draw), sh AS (SELECT domain, segment, draw, row_number() OVER (PARTITION BY domain, segment, draw ORDER BY CASE WHEN draw = 0 THEN '' ELSE md5('{SEED}|' || draw || '|' || segment || '|' || p) END, p) AS p, c, d FROM pl, dr),
+@query(f"""WITH {BASE_SQL}, dr AS (SELECT unnest(range(0, {DRAWS + 1})) AS draw), sh AS (SELECT domain, segment, draw, row_number() OVER (PARTITION BY domain, segment, draw ORDER BY CASE WHEN draw = 0 THEN '' ELSE md5('{SEED}|' || draw || '|' || CASE segment WHEN 'test' THEN 'dec' ELSE segment END || '|' || p) END, p) AS p, c, d FROM pl, dr),
 r2 AS (SELECT domain, draw, segment, y, sh.c AS a, sh.d AS b FROM pl JOIN sh USING (domain, segment, p)), {_solved("domain draw")}, al AS (SELECT domain, mse AS aligned, plain AS fallback FROM best WHERE draw = 0)
 SELECT domain, count(*) AS draws, round((1 + count(*) FILTER (round(mse, 9) <= round(aligned, 9))) / (count(*) + 1), 6) AS p, round(any_value(aligned), 6) AS mse, any_value(aligned) < any_value(fallback) AND (1 + count(*) FILTER (round(mse, 9) <= round(aligned, 9))) / (count(*) + 1) <= 0.025 AS eligible FROM best JOIN al USING (domain) WHERE draw > 0 GROUP BY domain""")
 def probe_permutation_null(spark, sf_dir):
     """p of the text probe against its texts permuted within every segment, the penalty chosen anew for each draw."""
-    rows = placed(spark, sf_dir)
-    moved = shuffled(rows, spark.range(1, DRAWS + 1).select(F.col("id").cast("int").alias("draw")))
-    each = rows.withColumn("draw", F.lit(0)).unionByName(moved).select("domain", "draw", "segment", F.col("text").alias("x"), "y")
-    scores = ridge.grid(each, ["domain", "draw"]).withColumn("score", F.round("test_mse", 9))
-    aligned = scores.where("draw = 0").select("domain", F.col("score").alias("aligned"))
-    p = R.empirical_p(scores.where("draw > 0").join(aligned, "domain"), ["domain"], null="score").join(aligned, "domain").join(fallback(rows), "domain")
+    rows = settled(as_task(placed(spark, sf_dir)))
+    scores = permuted.null_scores(rows, ["domain"], ("q",), DRAWS, SEED, "digest", residual=False).withColumns({c: F.round(c, 9) for c in ("null_score", "aligned")})
+    y = F.col("y")[0]
+    plain = rows.where("segment = 'dec'").groupBy("domain").agg(F.avg(y * y).alias("fallback_mse"))
+    p = R.empirical_p(scores, ["domain"]).join(scores.groupBy("domain").agg(F.first("aligned").alias("aligned")), "domain").join(plain, "domain")
     return p.select("domain", "draws", F.round("p", 6).alias("p"), rounded("aligned").alias("mse"), ((F.col("aligned") < F.col("fallback_mse")) & (F.col("p") <= 0.025)).alias("eligible"))
 
 
+@query(f"""WITH {BASE_SQL}, r2 AS (SELECT domain, segment, y, c AS a, d AS b FROM pl), {_solved("domain")}
+SELECT best.domain, n AS rows, alpha, round(cal, 6) AS validation_mse, round(mse, 6) AS test_mse FROM best JOIN (SELECT domain, CAST(count(*) AS INT) AS n FROM pl GROUP BY domain) USING (domain)""")
+def dual_text_probe(spark, sf_dir):
+    """The text probe solved in the space of rows: the same errors as from sums of products of its two columns."""
+    rows = placed(spark, sf_dir)
+    train = rows.where("segment = 'train'").groupBy("domain").agg(*(f(F.col("text")[k]).alias(f"{n}{k}") for k in (0, 1) for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    x = F.array(*((F.col("text")[k] - F.col(f"m{k}")) / F.when(F.col(f"s{k}") < 1e-8, 1.0).otherwise(F.col(f"s{k}")) for k in (0, 1)))
+    out = dual.dual_grid(rows.join(train, "domain").select("domain", "segment", F.col("p").alias("i"), x.alias("x"), "y"), ["domain"])
+    return out.select("domain", "rows", "alpha", rounded("validation_mse").alias("validation_mse"), rounded("test_mse").alias("test_mse"))
+
+
 SHIFTS, GUARD = 999, 6
 _LOW = f"least(greatest(1, {GUARD}), n - 1)"
 _LOW = f"CASE WHEN n - {_LOW} < {_LOW} THEN 1 ELSE {_LOW} END"
