@@ -12,7 +12,7 @@ from tidemark.plans.series import positioned, rounded
 from tidemark.sources.sealed import evidence_order, freeze, open_frozen
 from tidemark.sources.shared import fresh_path
 from tidemark.sources.sinks import remaining
-from tidemark.sources.tables import table
+from tidemark.sources.tables import finite, table
 
 #: Per test origin of the longest horizon, the squared error that the window's mean saves on the last value.
 LOSS_SQL = LONG_SQL + """, loss AS (SELECT domain, CAST(row_number() OVER (PARTITION BY domain ORDER BY i) - 1 AS BIGINT) AS i, d FROM (SELECT domain, i, avg(CASE WHEN model = 'Last' THEN (prediction - actual) ** 2 WHEN model = 'WindowMean' THEN -((prediction - actual) ** 2) END) * 2 AS d FROM predictions WHERE horizon = 24 AND model <> 'SeasonalNaive' GROUP BY domain, i))"""
@@ -61,18 +61,33 @@ def holm_bh(spark, sf_dir):
     return out.select("family", "id", "p", F.round("holm", 6).alias("holm"), F.round("bh", 6).alias("bh"))
 
 
-CANDIDATES_SQL = """c AS (SELECT l_suppkey AS task, u.variant, avg(u.v) AS mse, avg(l_tax) AS fallback_mse, avg(u.v) FILTER (l_linenumber <= 3) AS mse_first, avg(l_tax) FILTER (l_linenumber <= 3) AS fallback_first,
- avg(u.v) FILTER (l_linenumber > 5) AS mse_second, avg(l_tax) FILTER (l_linenumber > 5) AS fallback_second, (l_suppkey % 8) / 200.0::DOUBLE AS p FROM lineitem, LATERAL (VALUES ('semantic', l_discount * 0.8::DOUBLE), ('frequency', l_discount * 0.79::DOUBLE + 0.0005::DOUBLE)) u(variant, v) GROUP BY l_suppkey, u.variant)"""
+#: Errors in whole units of 1e-8, so that no order of rows changes a sum; a mean and the one it is held against are both multiplied by both their counts.
+CANDIDATES_SQL = """units AS (SELECT l_suppkey AS task, l_linenumber AS line, CAST(floor(CASE WHEN isfinite(l_discount) THEN l_discount END * 1000000 + 0.5) AS BIGINT) AS d, CAST(floor(CASE WHEN isfinite(l_tax) THEN l_tax END * 1000000 + 0.5) AS BIGINT) * 100 AS t, NOT isfinite(l_discount) OR NOT isfinite(l_tax) AS odd FROM lineitem),
+sums AS (SELECT task, u.variant, coalesce(bool_or(odd), false) AS odd, sum(u.v) AS v, sum(t) AS t, count(u.v)::HUGEINT AS vn, count(t)::HUGEINT AS tn,
+ sum(u.v) FILTER (line <= 3) AS v1, sum(t) FILTER (line <= 3) AS t1, count(u.v) FILTER (line <= 3) AS vn1, count(t) FILTER (line <= 3) AS tn1, sum(u.v) FILTER (line > 5) AS v2, sum(t) FILTER (line > 5) AS t2, count(u.v) FILTER (line > 5) AS vn2, count(t) FILTER (line > 5) AS tn2
+ FROM units, LATERAL (VALUES ('semantic', d * 80), ('frequency', d * 79 + 50000)) u(variant, v) GROUP BY task, u.variant),
+c AS (SELECT task, variant, CASE WHEN NOT odd THEN v * tn END AS mse, t * vn AS fallback_mse, v1 * tn1 AS mse_first, t1 * vn1 AS fallback_first, v2 * tn2 AS mse_second, t2 * vn2 AS fallback_second, vn * tn AS pairs, (task % 8) / 200.0::DOUBLE AS p FROM sums)"""
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Made-up variants of a task from lineitem: errors on the whole decision span and in its halves, beside the fallback's."""
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_tax", (F.col("l_discount") * 0.8).alias("semantic"), (F.col("l_discount") * 0.79 + 0.0005).alias("frequency"))
-    tall = rows.unpivot(["l_suppkey", "l_linenumber", "l_tax"], ["semantic", "frequency"], "variant", "v")
-    first, second = F.col("l_linenumber") <= 3, F.col("l_linenumber") > 5
-    return tall.groupBy(F.col("l_suppkey").alias("task"), "variant").agg(
-        F.avg("v").alias("mse"), F.avg("l_tax").alias("fallback_mse"), F.avg(F.when(first, F.col("v"))).alias("mse_first"), F.avg(F.when(first, F.col("l_tax"))).alias("fallback_first"),
-        F.avg(F.when(second, F.col("v"))).alias("mse_second"), F.avg(F.when(second, F.col("l_tax"))).alias("fallback_second"), ((F.first("l_suppkey") % 8) / F.lit(200.0)).alias("p"),
+    """Made-up variants of a task from lineitem: errors on the whole decision span and in its halves, beside the fallback's.
+
+    Comparisons are exact, ties included: values are taken to six places and summed as whole numbers, in units of 1e-8, and
+    each mean and its fallback's are multiplied by the counts of both, whose product is pairs. A task with a value that is
+    not finite has no error. A variant is discounts times a weight plus a constant, so its sums come from those of discounts.
+    """
+    units = lambda c: F.floor(finite(F.col(c)) * 1000000 + 0.5).cast("long")
+    odd = lambda c: F.col(c).isNotNull() & finite(F.col(c)).isNull()
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task"), F.col("l_linenumber").alias("line"), units("l_discount").alias("d"), (units("l_tax") * 100).alias("t"), (odd("l_discount") | odd("l_tax")).alias("odd"))
+    spans = {"all": F.lit(True), "first": F.col("line") <= 3, "second": F.col("line") > 5}
+    sums = (f(F.when(span, F.col(c))).cast(kind).alias(f"{c}_{part}_{k}") for k, span in spans.items() for c in "dt" for f, kind, part in ((F.sum, "decimal(19,0)", "sum"), (F.count, "decimal(12,0)", "n")))
+    variants = F.array(*(F.struct(F.lit(v).alias("variant"), F.lit(w).cast("decimal(2,0)").alias("weight"), F.lit(plus).cast("decimal(5,0)").alias("plus")) for v, w, plus in (("semantic", 80, 0), ("frequency", 79, 50000))))
+    each = rows.groupBy("task").agg(F.bool_or("odd").alias("odd"), *sums).withColumn("v", F.explode(variants))
+    error = lambda k: (F.col(f"d_sum_{k}") * F.col("v.weight") + F.col(f"d_n_{k}") * F.col("v.plus")) * F.col(f"t_n_{k}")
+    fallback = lambda k: F.col(f"t_sum_{k}") * F.col(f"d_n_{k}")
+    return each.select(
+        "task", "v.variant", F.when(~F.col("odd"), error("all")).alias("mse"), fallback("all").alias("fallback_mse"), *(f(k).alias(f"{name}_{k}") for k in ("first", "second") for name, f in (("mse", error), ("fallback", fallback))),
+        (F.col("d_n_all") * F.col("t_n_all")).alias("pairs"), (F.col("task") % 8 / F.lit(200.0)).alias("p"),
     )
 
 
