@@ -1,5 +1,6 @@
 """Gates over errors that tie exactly: held against fractions in plain Python and against the queries' own SQL."""
 
+import hashlib
 import random
 from fractions import Fraction
 
@@ -87,3 +88,37 @@ def test_development_gate_decides_exact_ties(spark, ties):
         want[task] = (len(chosen), min(chosen)[1] if chosen else "numeric")
     assert {r["task"]: (r["chosen"], r["variant"]) for r in answers(spark, sf_dir, "development_gate")} == want
     assert {n for n, _ in want.values()} == {0, 1, 2}
+
+
+def routes(found):
+    """Per task (eligible variants, route) by the gate's rule, in fractions."""
+    out = {}
+    for task in {task for task, _ in found}:
+        eligible = []
+        for place, variant in enumerate(("semantic", "frequency")):
+            spans = found[task, variant]
+            if task is not None and Fraction(task % 8, 200) <= Fraction(25, 1000) and all(a < b for a, b in spans):
+                eligible.append((spans[0][0], place, variant))
+        out[task] = (len(eligible), min(eligible)[2] if eligible else "numeric_fallback")
+    return out
+
+
+def seals(decided):
+    """Per hundred tasks (number of decisions, their seal)."""
+    parts = {}
+    for task in sorted(decided, key=lambda t: (t is not None, t)):
+        parts.setdefault(None if task is None else task // 100, []).append(f"{'' if task is None else task}={decided[task][1]}")
+    return {part: (len(some), hashlib.sha256(";".join(some).encode()).hexdigest()) for part, some in parts.items()}
+
+
+def test_frozen_decisions_seal_exact_ties(spark, ties):
+    sf_dir, found = ties
+    assert {r["part"]: (r["decisions"], r["seal"]) for r in answers(spark, sf_dir, "frozen_decisions")} == seals(routes(found))
+
+
+def test_frozen_decisions_seal_every_task(spark, tmp_path):
+    """Tasks without a number and below 0 are in a part of their own, and in its seal."""
+    rows = [(task, line, 5, 6) for task in (None, -8, 8, -104, 104) for line in (1, 4, 6)]
+    got = {r["part"]: (r["decisions"], r["seal"]) for r in answers(spark, table(tmp_path, rows), "frozen_decisions")}
+    assert got == seals(routes(errors(rows)))
+    assert set(got) == {None, -1, 0, -2, 1}

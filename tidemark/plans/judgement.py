@@ -156,12 +156,15 @@ def gate_replay(spark, sf_dir):
 
 
 @query(f"""WITH {CANDIDATES_SQL}, g AS (SELECT *, coalesce(mse < fallback_mse AND mse_first < fallback_first AND mse_second < fallback_second AND p <= 0.025, false) AS eligible FROM c), r AS (SELECT task, coalesce(arg_min(variant, (mse, variant = 'frequency')) FILTER (eligible), 'numeric_fallback') AS route FROM g GROUP BY task)
-SELECT task // 100 AS part, count(*) AS decisions, sha256(string_agg(task || '=' || route, ';' ORDER BY task)) AS seal FROM r GROUP BY 1""")
+SELECT (task - ((task % 100) + 100) % 100) // 100 AS part, count(*) AS decisions, sha256(string_agg(coalesce(CAST(task AS VARCHAR), '') || '=' || route, ';' ORDER BY task)) AS seal FROM r GROUP BY 1""")
 def frozen_decisions(spark, sf_dir):
-    """A seal on the decisions, taken before any test error is known: a digest per hundred tasks, to be compared later."""
+    """A seal on the decisions, taken before any test error is known: a digest per hundred tasks, to be compared later.
+
+    A task without a number is sealed too, under an empty name.
+    """
     routes = R.route(R.gate(candidates(spark, sf_dir), ["task"]), ["task"], ["semantic", "frequency"])
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("task", F.concat_ws("=", F.col("task").cast("string"), "route").alias("line")))), lambda x: x["line"]), ";")
-    return routes.groupBy(F.floor(F.col("task") / 100).alias("part")).agg(F.count("*").alias("decisions"), F.sha2(lines, 256).alias("seal"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("task", F.concat(F.coalesce(F.col("task").cast("string"), F.lit("")), F.lit("="), "route").alias("line")))), lambda x: x["line"]), ";")
+    return routes.groupBy(F.expr("(task - pmod(task, 100)) div 100").alias("part")).agg(F.count("*").alias("decisions"), F.sha2(lines, 256).alias("seal"))
 
 
 @query(f"""WITH {LONG_SQL}, b AS (SELECT *, 1 - mse / max(CASE WHEN model = 'SeasonalNaive' THEN mse END) OVER (PARTITION BY domain, horizon) AS skill FROM e)
