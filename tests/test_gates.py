@@ -122,3 +122,21 @@ def test_frozen_decisions_seal_every_task(spark, tmp_path):
     got = {r["part"]: (r["decisions"], r["seal"]) for r in answers(spark, table(tmp_path, rows), "frozen_decisions")}
     assert got == seals(routes(errors(rows)))
     assert set(got) == {None, -1, 0, -2, 1}
+
+
+def replayed(decided):
+    """Per task (route, stored) where the stored decision differs."""
+    stored = {task: "semantic" if task is not None and task % 10 == 3 else None if task is not None and task % 10 == 7 else route for task, (_, route) in decided.items()}
+    return {task: (route, stored[task]) for task, (_, route) in decided.items() if route != stored[task]}
+
+
+def test_gate_replay_decides_exact_ties(spark, ties):
+    sf_dir, found = ties
+    assert {r["task"]: (r["route"], r["stored"]) for r in answers(spark, sf_dir, "gate_replay")} == replayed(routes(found))
+
+
+def test_gate_replay_of_a_task_without_number(spark, tmp_path):
+    """Its stored decision was not altered, so it doesn't differ."""
+    rows = [(task, line, 5, 6) for task in (None, 1, 7, 23) for line in (1, 4, 6)]
+    got = {r["task"]: (r["route"], r["stored"]) for r in answers(spark, table(tmp_path, rows), "gate_replay")}
+    assert got == replayed(routes(errors(rows))) == {7: ("numeric_fallback", None), 23: ("numeric_fallback", "semantic")}

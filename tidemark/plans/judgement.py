@@ -151,7 +151,7 @@ SELECT task, route, stored FROM s WHERE route IS DISTINCT FROM stored""")
 def gate_replay(spark, sf_dir):
     """Decisions made again from the stored errors, and where they differ from the stored decisions, some altered here."""
     routes = R.route(R.gate(candidates(spark, sf_dir), ["task"]), ["task"], ["semantic", "frequency"]).select("task", "route")
-    stored = F.when(F.col("task") % 10 == 3, "semantic").when(F.col("task") % 10 != 7, F.col("route"))
+    stored = F.when(F.col("task") % 10 == 3, "semantic").when(~(F.col("task") % 10).eqNullSafe(7), F.col("route"))
     return routes.withColumn("stored", stored).where(~F.col("route").eqNullSafe(F.col("stored")))
 
 
