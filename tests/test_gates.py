@@ -29,7 +29,7 @@ def lines():
     out = []
     for task in range(160):
         n = 10 + 10 * (task % 3)
-        d, t = ((5 * n, 6 * n), (5 * n, 4 * n), (37 * n // 10, 3 * n), (4 * n, 5 * n))[task // 8 % 4]
+        d, t = ((5 * n, 6 * n), (5 * n, 4 * n), (37 * n // 10, 3 * n), (4 * n, 5 * n), (6 * n, 6 * n))[task // 8 % 5]
         for span, at in enumerate((1, 4, 6)):
             size = n if span else n * (1 + task % 2)
             grow = size // n
@@ -38,10 +38,15 @@ def lines():
     return out
 
 
+#: Stand for values that are not finite.
+ODD = {-1: "NaN", -2: "Infinity", -3: "-Infinity"}
+
+
 def table(folder, rows):
-    """The folder with rows as its lineitem."""
+    """The folder with rows as its lineitem, ODD values as what they stand for."""
     frame = pd.DataFrame(rows, columns=["l_suppkey", "l_linenumber", "d", "t"]).astype({"l_suppkey": "Int64", "l_linenumber": "Int32", "d": "Int64", "t": "Int64"})  # noqa: F841  DuckDB reads it by its name
-    duckdb.connect().sql(f"COPY (SELECT l_suppkey, l_linenumber, d / 100 AS l_discount, t / 100 AS l_tax FROM frame) TO '{folder}/lineitem.parquet' (FORMAT parquet)")
+    value = lambda c: f"CASE {c} {' '.join(f"WHEN {k} THEN '{v}'::DOUBLE" for k, v in ODD.items())} ELSE {c} / 100 END"
+    duckdb.connect().sql(f"COPY (SELECT l_suppkey, l_linenumber, {value('d')} AS l_discount, {value('t')} AS l_tax FROM frame) TO '{folder}/lineitem.parquet' (FORMAT parquet)")
     return str(folder)
 
 
@@ -57,16 +62,23 @@ def answers(spark, sf_dir, name):
 
 
 def errors(rows):
-    """Per task and variant (error, fallback) of the whole span and of both halves, as fractions."""
-    groups = {}
+    """Per task and variant (error, fallback) of the whole span and of both halves, as fractions; None where there is no mean."""
+    groups, exact = {}, lambda v: None if v is None else Fraction(v, 100)
+    odd = {task for task, _, *values in rows if set(values) & set(ODD)}
     for task, line, d, t in rows:
-        groups.setdefault(task, []).append((line, Fraction(d, 100), Fraction(t, 100)))
-    mean = lambda values: sum(values) / len(values)
+        groups.setdefault(task, []).append((line, exact(d), exact(t)))
+
+    def mean(values):
+        known = [v for v in values if v is not None]
+        return sum(known) / len(known) if known else None
+
     out = {}
     for task, some in groups.items():
         for variant, weight, plus in (("semantic", Fraction(80, 100), 0), ("frequency", Fraction(79, 100), Fraction(5, 10000))):
             spans = [[r for r in some if keep(r[0])] for keep in (lambda k: True, lambda k: k <= 3, lambda k: k > 5)]
-            out[task, variant] = [(mean([d * weight + plus for _, d, _ in s]), mean([t for _, _, t in s])) for s in spans]
+            out[task, variant] = [(mean([d if d is None else d * weight + plus for _, d, _ in s]), mean([t for _, _, t in s])) for s in spans]
+            if task in odd:
+                out[task, variant][0] = (None, None)
     return out
 
 
@@ -97,7 +109,7 @@ def routes(found):
         eligible = []
         for place, variant in enumerate(("semantic", "frequency")):
             spans = found[task, variant]
-            if task is not None and Fraction(task % 8, 200) <= Fraction(25, 1000) and all(a < b for a, b in spans):
+            if task is not None and Fraction(task % 8, 200) <= Fraction(25, 1000) and all(None not in pair and pair[0] < pair[1] for pair in spans):
                 eligible.append((spans[0][0], place, variant))
         out[task] = (len(eligible), min(eligible)[2] if eligible else "numeric_fallback")
     return out
@@ -140,3 +152,20 @@ def test_gate_replay_of_a_task_without_number(spark, tmp_path):
     rows = [(task, line, 5, 6) for task in (None, 1, 7, 23) for line in (1, 4, 6)]
     got = {r["task"]: (r["route"], r["stored"]) for r in answers(spark, table(tmp_path, rows), "gate_replay")}
     assert got == replayed(routes(errors(rows))) == {7: ("numeric_fallback", None), 23: ("numeric_fallback", "semantic")}
+
+
+def test_gate_route_decides_exact_ties(spark, ties):
+    sf_dir, found = ties
+    want = routes(found)
+    assert {r["task"]: (r["eligible"], r["route"]) for r in answers(spark, sf_dir, "gate_route")} == want
+    assert {r for _, r in want.values()} == {"semantic", "frequency", "numeric_fallback"}
+
+
+def test_gate_route_of_unknown_and_odd_values(spark, tmp_path):
+    """Means are over the known values, of which discounts and taxes may have different numbers; odd values leave no error."""
+    rows = [(task, line, 5, 6) for task in range(6) for line in (1, 4, 6)] + [(task, 4, None, 2) for task in (0, 8)]
+    rows += [(1, 4, -1, 6), (2, 4, 5, -2), (3, 4, -3, 6), (4, 4, 5, -1), (4, 6, None, None)]
+    rows += [(8, 1, 5, 4), (8, 6, 5, 6)] + [(16, line, d, 4) for line in (1, 6) for d in (5, None, None)] + [(24, line, None, 6) for line in (1, 6)] + [(None, 1, 5, 6)]
+    got = {r["task"]: (r["eligible"], r["route"]) for r in answers(spark, table(tmp_path, rows), "gate_route")}
+    assert got == routes(errors(rows))
+    assert {task for task, (n, _) in got.items() if n} == {0, 5}
