@@ -169,3 +169,24 @@ def test_gate_route_of_unknown_and_odd_values(spark, tmp_path):
     got = {r["task"]: (r["eligible"], r["route"]) for r in answers(spark, table(tmp_path, rows), "gate_route")}
     assert got == routes(errors(rows))
     assert {task for task, (n, _) in got.items() if n} == {0, 5}
+
+
+def test_gate_route_of_great_values(spark, tmp_path):
+    """Sums that no long holds are exact: a difference of 0.02 counts beside 24 trillions, and equal sums tie."""
+    t = 10**14
+    spans = {0: [(5 * t, 4 * t)], 1: [(900 * 10**12, 900 * 10**12)], 2: [(-900 * 10**12, -700 * 10**12)], 3: [(5, 10**14)], 4: [(10**14, 6)]}
+    rows = [(task, line, d, x) for task, some in spans.items() for d, x in some for line in (1, 6) for _ in range(3)]
+    rows += [(5, line, 5 * t, 4 * t) for line in (1, 6) for _ in range(3)] + [(5, line, 5, 6) for line in (1, 6)]
+    got = {r["task"]: (r["eligible"], r["route"]) for r in answers(spark, table(tmp_path, rows), "gate_route")}
+    assert got == routes(errors(rows))
+    assert got == {0: (1, "frequency"), 1: (2, "frequency"), 2: (2, "semantic"), 3: (2, "semantic"), 4: (0, "numeric_fallback"), 5: (2, "frequency")}
+
+
+@pytest.mark.parametrize("value", [(10**15, 6), (-(10**15), 6), (5, 10**15)])
+def test_gate_route_refuses_values_beyond_a_long(spark, tmp_path, value):
+    """A value of ten trillions has no exact units in a long: the query fails as its SQL does, and doesn't cut it to the greatest long."""
+    sf_dir = table(tmp_path, [(task, line, 5, 6) for task in range(6) for line in (1, 4, 6)] + [(0, 4, *value)])
+    with pytest.raises(duckdb.Error, match="out of range"):
+        duckdb.connect().sql(oracle_sql()["gate_route"].replace("FROM lineitem", f"FROM read_parquet('{sf_dir}/lineitem.parquet')")).fetchall()
+    with pytest.raises(Exception, match="too great"):
+        queries()["gate_route"](spark, sf_dir).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -13,6 +14,18 @@ def int_frac(n: Column, fraction: float) -> Column:
     return F.floor(n * F.lit(float(fraction))).cast("int")
 
 
+def long_floor(value: Column, complaint: str) -> Column:
+    """The floor of a number as a long; one that no long holds fails the job, where floor gives the nearest long."""
+    beyond = (value < -(2.0**63)) | (value >= 2.0**63)
+    return F.when(beyond, F.raise_error(F.lit(complaint)).cast("long")).otherwise(F.floor(value).cast("long"))
+
+
+def long_sum(value: Column) -> Column:
+    """The sum of longs as a decimal, also where no long holds it: upper and lower 32 bits are summed apart, in longs."""
+    upper, lower = F.sum(F.shiftright(value, 32)), F.sum(value.bitwiseAND(F.lit(2**32 - 1)))
+    return upper.cast("decimal(19,0)") * Decimal(2**32) + lower.cast("decimal(19,0)")
+
+
 def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 

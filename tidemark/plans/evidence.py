@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions.numbers import int_frac
+from tidemark.functions.numbers import int_frac, long_floor, long_sum
 from tidemark.operators import statistics as R
 from tidemark.plans import query
 from tidemark.plans.forecast import LONG_SQL, error_table, predictions_between, test_predictions
@@ -62,10 +64,10 @@ def holm_bh(spark, sf_dir):
 
 
 #: Errors in whole units of 1e-8, so that no order of rows changes a sum; a mean and the one it is held against are both multiplied by both their counts.
-CANDIDATES_SQL = """units AS (SELECT l_suppkey AS task, l_linenumber AS line, CAST(floor(CASE WHEN isfinite(l_discount) THEN l_discount END * 1000000 + 0.5) AS BIGINT) AS d, CAST(floor(CASE WHEN isfinite(l_tax) THEN l_tax END * 1000000 + 0.5) AS BIGINT) * 100 AS t, NOT isfinite(l_discount) OR NOT isfinite(l_tax) AS odd FROM lineitem),
+CANDIDATES_SQL = """units AS (SELECT l_suppkey AS task, l_linenumber AS line, CAST(floor(CASE WHEN isfinite(l_discount) THEN l_discount END * 1000000 + 0.5) AS BIGINT) AS d, CAST(floor(CASE WHEN isfinite(l_tax) THEN l_tax END * 1000000 + 0.5) AS BIGINT)::HUGEINT * 100 AS t, NOT isfinite(l_discount) OR NOT isfinite(l_tax) AS odd FROM lineitem),
 sums AS (SELECT task, u.variant, coalesce(bool_or(odd), false) AS odd, sum(u.v) AS v, sum(t) AS t, count(u.v)::HUGEINT AS vn, count(t)::HUGEINT AS tn,
  sum(u.v) FILTER (line <= 3) AS v1, sum(t) FILTER (line <= 3) AS t1, count(u.v) FILTER (line <= 3) AS vn1, count(t) FILTER (line <= 3) AS tn1, sum(u.v) FILTER (line > 5) AS v2, sum(t) FILTER (line > 5) AS t2, count(u.v) FILTER (line > 5) AS vn2, count(t) FILTER (line > 5) AS tn2
- FROM units, LATERAL (VALUES ('semantic', d * 80), ('frequency', d * 79 + 50000)) u(variant, v) GROUP BY task, u.variant),
+ FROM units, LATERAL (VALUES ('semantic', d::HUGEINT * 80), ('frequency', d::HUGEINT * 79 + 50000)) u(variant, v) GROUP BY task, u.variant),
 c AS (SELECT task, variant, CASE WHEN NOT odd THEN v * tn END AS mse, t * vn AS fallback_mse, v1 * tn1 AS mse_first, t1 * vn1 AS fallback_first, v2 * tn2 AS mse_second, t2 * vn2 AS fallback_second, vn * tn AS pairs, (task % 8) / 200.0::DOUBLE AS p FROM sums)"""
 
 
@@ -75,16 +77,19 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     Comparisons are exact, ties included: values are taken to six places and summed as whole numbers, in units of 1e-8, and
     each mean and its fallback's are multiplied by the counts of both, whose product is pairs. A task with a value that is
     not finite has no error. A variant is discounts times a weight plus a constant, so its sums come from those of discounts.
+    A finite value whose millionths no long holds fails the job, as it fails the SQL: floor alone would cut it.
     """
-    units = lambda c: F.floor(finite(F.col(c)) * 1000000 + 0.5).cast("long")
+    units = lambda c: long_floor(finite(F.col(c)) * 1000000 + 0.5, f"{c} is too great")
     odd = lambda c: F.col(c).isNotNull() & finite(F.col(c)).isNull()
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task"), F.col("l_linenumber").alias("line"), units("l_discount").alias("d"), (units("l_tax") * 100).alias("t"), (odd("l_discount") | odd("l_tax")).alias("odd"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task"), F.col("l_linenumber").alias("line"), units("l_discount").alias("d"), units("l_tax").alias("t"), (odd("l_discount") | odd("l_tax")).alias("odd"))
     spans = {"all": F.lit(True), "first": F.col("line") <= 3, "second": F.col("line") > 5}
-    sums = (f(F.when(span, F.col(c))).cast(kind).alias(f"{c}_{part}_{k}") for k, span in spans.items() for c in "dt" for f, kind, part in ((F.sum, "decimal(19,0)", "sum"), (F.count, "decimal(12,0)", "n")))
+    count = lambda v: F.count(v).cast("decimal(12,0)")
+    sums = (f(F.when(span, F.col(c))).alias(f"{c}_{part}_{k}") for k, span in spans.items() for c in "dt" for f, part in ((long_sum, "sum"), (count, "n")))
     variants = F.array(*(F.struct(F.lit(v).alias("variant"), F.lit(w).cast("decimal(2,0)").alias("weight"), F.lit(plus).cast("decimal(5,0)").alias("plus")) for v, w, plus in (("semantic", 80, 0), ("frequency", 79, 50000))))
     each = rows.groupBy("task").agg(F.bool_or("odd").alias("odd"), *sums).withColumn("v", F.explode(variants))
-    error = lambda k: (F.col(f"d_sum_{k}") * F.col("v.weight") + F.col(f"d_n_{k}") * F.col("v.plus")) * F.col(f"t_n_{k}")
-    fallback = lambda k: F.col(f"t_sum_{k}") * F.col(f"d_n_{k}")
+    # Of 36 digits, so that a comparison with a placebo keeps its two decimal places.
+    error = lambda k: ((F.col(f"d_sum_{k}") * F.col("v.weight") + F.col(f"d_n_{k}") * F.col("v.plus")) * F.col(f"t_n_{k}")).cast("decimal(36,0)")
+    fallback = lambda k: (F.col(f"t_sum_{k}") * Decimal(100) * F.col(f"d_n_{k}")).cast("decimal(36,0)")
     return each.select(
         "task", "v.variant", F.when(~F.col("odd"), error("all")).alias("mse"), fallback("all").alias("fallback_mse"), *(f(k).alias(f"{name}_{k}") for k in ("first", "second") for name, f in (("mse", error), ("fallback", fallback))),
         (F.col("d_n_all") * F.col("t_n_all")).alias("pairs"), (F.col("task") % 8 / F.lit(200.0)).alias("p"),
